@@ -11,11 +11,16 @@ lose a link:
 * for each set, which of its segments need to be probed: those whose signatures nobody shares are
   free, and of the others the dearest may be left out as long as enough weight stays.
 
-Sets, not documents, are joined: copies of a set are one node. Buckets never emit all pairs of a
-group of near copies: each round compares a bucket's members with one member of it, links merge,
-and only pairs of members that are still in different components are compared in the end.
-Every candidate pair is verified on the whole shingle sets, as 64-bit hashes: two of a corpus's
-N different sets or words are mistaken for each other with a chance of about N^2 / 2^65.
+Sets, not documents, are joined: copies of a set are one node. A bucket's members are first
+compared with one of them, links merge, and then only members of different components are
+compared; pairs whose parity sketches differ too much are left out unseen. No bucket emits all
+pairs of a large group: hot buckets that share members form a group with a virtual centre, the
+shingles that most of its sets have. With D the difference of a set to that centre, two sets
+differ in |D1| + |D2| - 2 |D1 and D2| shingles. So either both link with the member nearest to the
+centre, without any comparison, or D1 and D2 share some of their rarest elements: those make the
+next, smaller buckets. Every other candidate pair is verified on the whole shingle sets, as 64-bit
+hashes: two of a corpus's N different sets or words are mistaken for each other with a chance of
+about N^2 / 2^65.
 """
 
 from __future__ import annotations
@@ -34,12 +39,13 @@ from .scratch import Scratch
 from .textbatch import U, mixed, shingles, slices
 
 BAND_GROWTH = 1.7  #: sizes of a band grow by this
-SLACK = 1.1  #: weight of a band's segments against what its largest sets need
+SLACK = 1.2  #: weight of a band's segments against what its largest sets need
 CHANCE_COST = 50.0  #: what a chance meeting costs, in signature rows
 COMMON = 0.3  #: chance that a shingle is one that many documents share
 MAX_DELETION_SEGMENTS = 200
-MAX_ROUNDS = 6  #: star rounds before the rest is compared exhaustively
-ROUND_FACTOR = 4  #: the rest is compared exhaustively once that costs fewer pairs than this times the rows
+HOT = 32  #: members of a bucket from which it is split by differences to a centre
+MAX_LEVELS = 5  #: times that hot buckets are split
+SHRINK = 0.7  #: they are split again if their rows have shrunk to less than that; else what is hot is compared exhaustively
 #: Bits of a row's meta value: set size, surplus weight, namespace, weight - 1, deletion segment + 1.
 SIZE_BITS, SURPLUS_BITS, NAMESPACE_BITS = 28, 20, 6
 
@@ -175,19 +181,63 @@ def _rows_of_signatures(size: int, percent: int):
     return run
 
 
+def _parities(hashes: np.ndarray) -> bytes:
+    """One bit for each of a power of two of parts of the universe, no fewer than the set has shingles: the parity of its shingles there."""
+    width = max(64, 1 << (len(hashes) - 1).bit_length())
+    counts = np.bincount((mixed(hashes ^ U(0xC2B2AE3D27D4EB4F)) & U(width - 1)).astype(np.int64), minlength=width)
+    return np.packbits((counts & 1).astype(np.uint8), bitorder="little").tobytes()
+
+
 def _shingle_sets(size: int):
-    """(text) to (node, shingles): the sorted 64-bit hashes as bytes."""
+    """(text) to (node, shingles, parity): the sorted 64-bit hashes as bytes, and their parity sketch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for _, hashes, at, a, _ in _sets_of(batch, 0, size):
-                offsets = pa.py_buffer((at * 8).astype(np.int64))
-                values = pa.Array.from_buffers(pa.large_binary(), len(a), [None, offsets, pa.py_buffer(np.ascontiguousarray(hashes))])
-                yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), values.cast(pa.binary())], ["node", "shingles"])
+                values = [hashes[x:y].tobytes() for x, y in zip(at[:-1], at[1:])]
+                sketches = [_parities(hashes[x:y]) for x, y in zip(at[:-1], at[1:])]
+                yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(values, pa.binary()), pa.array(sketches, pa.binary())], ["node", "shingles", "parity"])
 
     return run
 
 
+def _apart(percent: int):
+    """(a, b, parity_a, size_a, parity_b, size_b) to (a, b) without the pairs that differ in more parities than linked sets can differ in shingles."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            near = np.zeros(batch.num_rows, bool)
+            most = bound(batch.column(3).to_numpy(), batch.column(5).to_numpy(), percent)
+            for k, (x, y) in enumerate(zip(batch.column(2), batch.column(4))):
+                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
+                while len(x) > len(y):
+                    x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+                while len(y) > len(x):
+                    y = y[: len(y) // 2] ^ y[len(y) // 2 :]
+                near[k] = int(np.bitwise_count(x ^ y).sum()) <= most[k]
+            yield batch.select([0, 1]).filter(pa.array(near))
+
+    return run
+
+
+def _elements(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(group, shingles) to (group, element)."""
+    for batch in batches:
+        sets = [np.frombuffer(x.as_buffer(), np.int64) for x in batch.column(1)]
+        if sets:
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(batch.column(0).to_numpy(), [len(x) for x in sets])), pa.array(np.concatenate(sets))], ["group", "element"])
+
+
+def _differences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(group, node, size, shingles, centre) to (group, node, size, delta): the elements of just one of the set and the centre."""
+    for batch in batches:
+        out = []
+        for x, centre in zip(batch.column(3), batch.column(4).to_pylist()):
+            out.append(np.setxor1d(np.frombuffer(x.as_buffer(), np.int64), np.array(centre or [], np.int64), assume_unique=True))
+        offsets = np.append(0, np.cumsum([len(x) for x in out])).astype(np.int32)
+        yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(out) if out else np.zeros(0, np.int64)))], ["group", "node", "size", "delta"])
+
+
 def _verify(percent: int):
     """(a, b, set_a, set_b) to (a, b, linked)."""
 
@@ -253,6 +303,107 @@ def _pairs(rows: DataFrame, other: list[str], percent: int) -> DataFrame:
     )
 
 
+class _Join:
+    """The comparison of the nodes: what has been verified, and the components so far."""
+
+    def __init__(self, scratch: Scratch, sets: DataFrame, percent: int) -> None:
+        self.scratch, self.sets, self.percent = scratch, sets, percent
+        self.verified: DataFrame | None = None
+        self.links: DataFrame | None = None
+        self.labels: DataFrame | None = None
+        self.step = 0
+
+    def add_links(self, links: DataFrame) -> None:
+        self.links = links if self.links is None else self.links.unionByName(links)
+
+    def relabel(self) -> None:
+        self.step += 1
+        if self.links is not None:
+            self.labels = connected_components(self.scratch, self.links, f"labels-{self.step}")
+
+    def labelled(self, rows: DataFrame) -> DataFrame:
+        if self.labels is None:
+            return rows.withColumn("comp", F.col("node"))
+        return rows.join(self.labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+
+    def verify(self, pairs: DataFrame) -> None:
+        """Compare the pairs that aren't yet; links are added."""
+        self.step += 1
+        if self.verified is not None:
+            pairs = pairs.join(self.verified, ["a", "b"], "left_anti")
+        sketches = self.sets.select("node", "parity", "size")
+        side = lambda x: sketches.select(F.col("node").alias(x), F.col("parity").alias(f"parity_{x}"), F.col("size").alias(f"size_{x}"))
+        pairs = self.scratch.save(pairs, f"pairs-{self.step}")
+        near = pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "parity_a", "size_a", "parity_b", "size_b")
+        near = self.scratch.save(near.mapInArrow(_apart(self.percent), "a long, b long"), f"near-{self.step}")
+        whole = lambda x: self.sets.select(F.col("node").alias(x), F.col("shingles").alias(f"set_{x}"))
+        full = near.join(whole("b"), "b").join(whole("a"), "a").select("a", "b", "set_a", "set_b")
+        found = self.scratch.save(full.mapInArrow(_verify(self.percent), "a long, b long, linked boolean"), f"found-{self.step}")
+        self.verified = pairs if self.verified is None else self.verified.unionByName(pairs)
+        links = found.where("linked").select("a", "b")
+        if links.limit(1).count():
+            self.add_links(links)
+            self.relabel()
+
+    def small_buckets(self, rows: DataFrame) -> None:
+        """All links within the buckets: first with one member, then between the components that remain."""
+        bucket = Window.partitionBy("sig")
+        centre = F.min(F.struct(F.xxhash64("node").alias("h"), "node", "size", "comp", "probed")).over(bucket)
+        self.verify(_pairs(self.labelled(rows).withColumn("c", centre), ["c.node", "c.size", "c.comp", "c.probed"], self.percent))
+        now = self.labelled(rows).withColumns({"one": F.min("comp").over(bucket), "other": F.max("comp").over(bucket)}).where("one < other").drop("one", "other")
+        now = self.scratch.save(now, f"open-{self.step}")
+        twin = now.select("sig", *(F.col(c).alias(f"{c}_2") for c in ("node", "size", "comp", "probed"))).where("probed_2")
+        self.verify(_pairs(now.join(twin, "sig"), ["node_2", "size_2", "comp_2", "probed_2"], self.percent))
+
+    def hot_buckets(self, rows: DataFrame) -> DataFrame:
+        """Link what is near a group's centre; the buckets in which all other links meet."""
+        t, save = self.percent, lambda df, name: self.scratch.save(df, f"{name}-{self.step}")
+        self.step += 1
+        heads = rows.groupBy("sig").agg(F.min("node").alias("head"))
+        by_node = rows.join(heads, "sig").groupBy("node").agg(F.min("head").alias("head"))
+        groups = save(rows.join(by_node, "node").groupBy("sig").agg(F.min("head").alias("group")), "groups")
+        members = save(rows.join(groups, "sig").select("group", "node", "size").distinct(), "group-members")
+        with_sets = save(members.join(self.sets.select("node", "shingles"), "node"), "group-sets")
+        counts = with_sets.select("group", "shingles").mapInArrow(_elements, "group long, element long").groupBy("group", "element").agg(F.count(F.lit(1)).alias("n"))
+        half = members.groupBy("group").agg(F.count(F.lit(1)).alias("all"))
+        # a centre has at most twice as many elements as its sets have on average
+        centres = save(counts.join(half, "group").where(2 * F.col("n") > F.col("all")).groupBy("group").agg(F.collect_list("element").alias("centre")), "centres")
+        deltas = save(with_sets.join(centres, "group", "left").select("group", "node", "size", "shingles", "centre").mapInArrow(_differences, "group long, node long, size long, delta array<long>"), "deltas")
+        deltas = deltas.withColumn("gap", (100 + t) * F.size("delta") - (100 - t) * F.col("size"))
+        nearest = save(deltas.groupBy("group").agg(F.min(F.struct("gap", "node")).alias("best")), "nearest")
+        measured = deltas.join(nearest, "group").withColumn("linked", F.col("gap") + F.col("best.gap") <= 0)
+        outer = save(measured.where("NOT linked").groupBy("group").agg(F.min("gap").alias("outer_gap")), "outer")
+        links = measured.where((F.col("node") != F.col("best.node")) & F.col("linked"))
+        self.add_links(save(links.select(F.least("node", "best.node").alias("a"), F.greatest("node", "best.node").alias("b")).distinct(), "near-links"))
+        # two sets that link share at least this many elements of their differences; what is linked with
+        # the nearest member needs to meet only what isn't, and a group that is linked as a whole is done
+        measured = measured.join(outer, "group").withColumn("least", F.when(F.col("linked"), F.col("outer_gap")).otherwise(F.col("best.gap")))
+        farthest = ((F.col("size") + F.floor(F.col("size") * 100 / t)) * (100 - t) / (100 + t)).cast("long")
+        common = F.greatest(F.lit(1), F.ceil((F.col("gap") + F.col("least")) / (2 * (100 + t))), F.size("delta") - farthest)
+        spread = save(measured.select("group", "node", "size", (F.size("delta") - common + 1).alias("prefix"), F.explode("delta").alias("element")), "spread")
+        rarity = save(spread.groupBy("group", "element").agg(F.count(F.lit(1)).alias("n")), "rarity")
+        order = Window.partitionBy("group", "node").orderBy("n", "element")
+        ranked = spread.join(rarity, ["group", "element"]).withColumn("place", F.row_number().over(order))
+        return ranked.where("place <= prefix AND n > 1").select(F.xxhash64("group", "element").alias("sig"), "node", "size", F.lit(True).alias("probed")).distinct()
+
+    def run(self, rows: DataFrame) -> None:
+        bucket, before = Window.partitionBy("sig"), float("inf")
+        for level in range(MAX_LEVELS + 1):
+            seen = {"one": F.min("comp").over(bucket), "other": F.max("comp").over(bucket), "met": F.count(F.lit(1)).over(bucket), "any": F.max("probed").over(bucket)}
+            now = self.labelled(rows).withColumns(seen).where("one < other AND any").select("sig", "node", "size", "probed", "met")
+            now = self.scratch.save(now, f"rows-{level}")
+            hot = now.where(F.col("met") > HOT).drop("met")
+            n_hot = hot.count()
+            more = level < MAX_LEVELS and 0 < n_hot < SHRINK * before
+            before = n_hot
+            if more:
+                rows = self.scratch.save(self.hot_buckets(hot), f"split-{level}")
+                self.relabel()
+            self.small_buckets((now.where(F.col("met") <= HOT) if more else now).drop("met"))
+            if not more:
+                return
+
+
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
     """Link documents whose shingle sets have a Jaccard similarity of at least ``percent`` / 100.
 
@@ -279,37 +430,11 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     involved = rows.select("node").distinct()
     holders = members.where("node IS NOT NULL").groupBy("node").agg(F.min("id").alias("id")).join(involved, "node", "left_semi").select(F.col("id").alias("holder"))
     texts = docs.where("text IS NOT NULL").join(holders.distinct(), F.col("id").eqNullSafe(F.col("holder")), "left_semi").select("text")
-    sets = scratch.save(texts.mapInArrow(_shingle_sets(words), "node long, shingles binary").dropDuplicates(["node"]), "sets")
-
-    n_rows = rows.count()
-    verified: DataFrame | None = None
-    labels: DataFrame | None = None
-    for step in range(MAX_ROUNDS + 1):
-        now = rows.withColumn("comp", F.col("node")) if labels is None else rows.join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-        sizes = now.groupBy("sig", "comp").agg(F.count(F.lit(1)).alias("n")).groupBy("sig").agg(F.sum("n").alias("all"), F.max(F.struct("n", "comp")).alias("major"))
-        sizes = sizes.where(F.col("all") > F.col("major.n"))
-        work = sizes.agg(F.sum((F.col("all") - F.col("major.n")).cast("double") * F.col("all"))).first()[0] or 0.0
-        if not work:
-            break
-        last = work <= ROUND_FACTOR * n_rows or step == MAX_ROUNDS
-        if last:
-            major = sizes.select("sig", F.col("major.comp").alias("major"))
-            open_rows = scratch.save(now.join(major, "sig"), f"open-{step}")
-            odd = open_rows.where("comp <> major").select("sig", *(F.col(c).alias(f"{c}_2") for c in ("node", "size", "comp", "probed")))
-            pairs = _pairs(open_rows.join(odd, "sig"), ["node_2", "size_2", "comp_2", "probed_2"], percent)
-        else:
-            centre = F.min(F.struct(F.xxhash64("node", F.lit(step)).alias("h"), "node", "size", "comp", "probed")).over(bucket)
-            pairs = _pairs(now.withColumn("c", centre), ["c.node", "c.size", "c.comp", "c.probed"], percent)
-        if verified is not None:
-            pairs = pairs.join(verified.select("a", "b"), ["a", "b"], "left_anti")
-        pairs = scratch.save(pairs, f"pairs-{step}")
-        with_b = pairs.join(sets.withColumnsRenamed({"node": "b", "shingles": "set_b"}), "b")
-        full = with_b.join(sets.withColumnsRenamed({"node": "a", "shingles": "set_a"}), "a").select("a", "b", "set_a", "set_b")
-        found = scratch.save(full.mapInArrow(_verify(percent), "a long, b long, linked boolean"), f"found-{step}")
-        verified = found if verified is None else verified.unionByName(found)
-        labels = connected_components(scratch, verified.where("linked").select("a", "b"), f"labels-{step}")
-        if last:
-            break
+    sets = texts.mapInArrow(_shingle_sets(words), "node long, shingles binary, parity binary").dropDuplicates(["node"])
+    sets = scratch.save(sets.withColumn("size", (F.octet_length("shingles") / 8).cast("long")), "sets")
+    join = _Join(scratch, sets, percent)
+    join.run(rows)
+    labels = join.labels
 
     nodes = members.where("node IS NOT NULL").groupBy("node").agg(F.min("id").alias("low"))
     if labels is not None:

@@ -13,6 +13,8 @@ SPACES = np.zeros(256, bool)
 SPACES[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[ord("A") : ord("Z") + 1] += 32
+#: ASCII other than letters and digits.
+PUNCTUATION = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
 _BASE = 0x9E3779B97F4A7C15 | 1
 _POWERS: dict[str, np.ndarray] = {}
 
@@ -54,12 +56,12 @@ def slices(column: pa.Array, limit: int = 1 << 20) -> Iterator[tuple[int, np.nda
         row = stop
 
 
-def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(hash of each word, first word of each row and the end): words are runs of bytes other than ASCII white space, A-Z lower-cased."""
+def words(data: np.ndarray, offsets: np.ndarray, breaks: np.ndarray = SPACES) -> tuple[np.ndarray, np.ndarray]:
+    """(hash of each word, first word of each row and the end): words are runs of bytes not in ``breaks``, A-Z lower-cased."""
     n = len(data)
     if not n:
         return np.zeros(0, U), np.zeros(len(offsets), np.int64)
-    inside = ~SPACES[data]
+    inside = ~breaks[data]
     edge = np.zeros(n + 1, bool)
     edge[offsets] = True
     first = inside.copy()
