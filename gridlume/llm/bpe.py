@@ -156,7 +156,7 @@ def decode(encoded: DataFrame, ranks: Broadcast, ids_col: str = "ids") -> DataFr
     An id outside the vocabulary is an error. A column named ``decoded`` is replaced.
     """
     encoded = encoded.drop("decoded")
-    place = encoded.columns.index(ids_col)
+    place, names = encoded.columns.index(ids_col), [*encoded.columns, "decoded"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -170,7 +170,7 @@ def decode(encoded: DataFrame, ranks: Broadcast, ids_col: str = "ids") -> DataFr
                 for x, end in zip(rows, ends.tolist()):
                     out.append(None if x is None else raw[start:end])
                     start = end
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(out, pa.binary())], [*encoded.columns, "decoded"])
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(out, pa.binary())], names)
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in encoded.schema.fields)
     return encoded.mapInArrow(run, f"{fields}, decoded binary")

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from .bpe import BATCH_BYTES, _encoding
 
-LEAF = 512  #: characters of a leaf, about
+LEAF = 256  #: characters of a leaf, about
 OVERFULL = 4  #: the tree is laid out anew once a leaf is this many times too long
 _BLANK = " \t\n\r\x0b\x0c"
 

@@ -129,7 +129,7 @@ def scan(docs: DataFrame, text_col: str = "text", allowed: tuple[str, ...] = ALL
     replaced; others, repeated rows and null ids stay as they are.
     """
     docs = docs.drop("spans")
-    place = docs.columns.index(text_col)
+    place, names = docs.columns.index(text_col), [*docs.columns, "spans"]
     rule = "|".join(f"(?:{a})" for a in allowed) or r"(?!)"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -139,7 +139,7 @@ def scan(docs: DataFrame, text_col: str = "text", allowed: tuple[str, ...] = ALL
             for row, data, offsets in slices(batch.column(place)):
                 for k in suspects(data, offsets).tolist():
                     out[row + k] = spans_of(data[offsets[k] : offsets[k + 1]].tobytes().decode(), allow)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, _SPANS)], [*docs.columns, "spans"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, _SPANS)], names)
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
     return docs.mapInArrow(run, f"{fields}, spans array<struct<kind: string, start: bigint, end: bigint>>")

@@ -135,13 +135,13 @@ def score(docs: DataFrame, model: FactorizationMachine, text_col: str = "text")
     """
     docs = docs.drop("score", "predicted")
     shared: Broadcast = docs.sparkSession.sparkContext.broadcast(model)
-    place = docs.columns.index(text_col)
+    place, names = docs.columns.index(text_col), [*docs.columns, "score", "predicted"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [shared.value.score(data, offsets) for _, data, offsets in slices(batch.column(place))]
             values = np.concatenate(found) if found else np.zeros(0)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(values), pa.array((values >= 0.5).astype(np.int32))], [*docs.columns, "score", "predicted"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(values), pa.array((values >= 0.5).astype(np.int32))], names)
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
     return docs.mapInArrow(run, f"{fields}, score double, predicted int")
