@@ -2,11 +2,66 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-STAGES: list = []
+from gridlume.llm import bpe, mixing, secrets, toxicity
+from gridlume.llm.queries import RANKS
+from gridlume.llm.scratch import Scratch
+from gridlume.llm.setjoin import jaccard_components
+
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the model, fitted on the labelled ones, rejects go."""
+    model = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return toxicity.score(docs.select(*COLUMNS), model).where("predicted = 0").select(*COLUMNS)
+
+
+def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near copies the document with the smallest id stays, once; a group without ids keeps its different texts."""
+    keepers = jaccard_components(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("keeper")).distinct()
+    docs = docs.select(*COLUMNS)
+    kept = docs.join(keepers, F.col("doc_id").eqNullSafe(F.col("keeper")), "left_semi")
+    return kept.withColumn("copy", F.when(F.col("doc_id").isNull(), F.col("text"))).dropDuplicates(["doc_id", "copy"]).drop("copy")
+
+
+def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Spans that hold secrets are replaced by a mark; every document stays."""
+    clean = secrets.redact(docs.select(*COLUMNS))
+    return clean.withColumn("n_chars", F.char_length("text").cast("long")).select(*COLUMNS)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as many times as the mix takes it."""
+    mixed = mixing.mix(docs.select(*COLUMNS))
+    return mixed.select(*COLUMNS, F.explode(F.array_repeat(F.lit(0), F.col("copies")))).select(*COLUMNS)
+
+
+def encode_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """(doc_id, n_tokens, ids, decoded_sha256): the ids and the digest of the bytes that they decode to."""
+    ranks = bpe.load_ranks(spark, public_tokenizers.path(RANKS))
+    coded = bpe.decode(bpe.encode(docs, ranks, public_tokenizers.PATTERN), ranks)
+    return coded.select("doc_id", "n_tokens", "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("n-gram Jaccard join", keep_one_of_each_group),
+    ("secret scans", redact_secrets),
+    ("mixing sources to target weights", mix_sources),
+    ("byte-level BPE encoding and decoding", encode_texts),
+]
+
+#: SQL can express neither the factorization machine nor the dual's solution.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    scratch = Scratch(spark, "pipeline")
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for k, (_, stage) in enumerate(STAGES):
+        docs = scratch.save(stage(spark, docs, sf_dir), f"stage-{k}")
+    return docs
