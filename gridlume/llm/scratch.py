@@ -53,3 +53,7 @@ class Scratch:
 
     def drop(self, name: str) -> None:
         self._delete(f"{self.root}/{name}")
+
+    def release(self) -> None:
+        """Have the driver collect its garbage: shuffle files of what has been saved go only then."""
+        self.spark.sparkContext._jvm.System.gc()

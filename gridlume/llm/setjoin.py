@@ -39,12 +39,12 @@ from .scratch import Scratch
 from .textbatch import U, mixed, shingles, slices
 
 BAND_GROWTH = 1.7  #: sizes of a band grow by this
-SLACK = 1.2  #: weight of a band's segments against what its largest sets need
+SLACK = 1.35  #: weight of a band's segments against what its largest sets need
 CHANCE_COST = 50.0  #: what a chance meeting costs, in signature rows
 COMMON = 0.3  #: chance that a shingle is one that many documents share
 MAX_DELETION_SEGMENTS = 200
-HOT = 32  #: members of a bucket from which it is split by differences to a centre
-MAX_LEVELS = 5  #: times that hot buckets are split
+HOT = 16  #: probing members of a bucket from which it is split by differences to a centre
+MAX_LEVELS = 3  #: times that hot buckets are split
 SHRINK = 0.7  #: they are split again if their rows have shrunk to less than that; else what is hot is compared exhaustively
 #: Bits of a row's meta value: set size, surplus weight, namespace, weight - 1, deletion segment + 1.
 SIZE_BITS, SURPLUS_BITS, NAMESPACE_BITS = 28, 20, 6
@@ -340,16 +340,16 @@ class _Join:
         full = near.join(whole("b"), "b").join(whole("a"), "a").select("a", "b", "set_a", "set_b")
         found = self.scratch.save(full.mapInArrow(_verify(self.percent), "a long, b long, linked boolean"), f"found-{self.step}")
         self.verified = pairs if self.verified is None else self.verified.unionByName(pairs)
-        links = found.where("linked").select("a", "b")
-        if links.limit(1).count():
-            self.add_links(links)
-            self.relabel()
+        self.add_links(found.where("linked").select("a", "b"))
 
-    def small_buckets(self, rows: DataFrame) -> None:
-        """All links within the buckets: first with one member, then between the components that remain."""
+    def compare_with_one(self, rows: DataFrame) -> None:
+        """Each bucket's members with one of them, the same for groups that share many buckets."""
+        centre = F.min(F.struct(F.xxhash64("node").alias("h"), "node", "size", "comp", "probed")).over(Window.partitionBy("sig"))
+        self.verify(_pairs(rows.withColumn("comp", F.col("node")).withColumn("c", centre), ["c.node", "c.size", "c.comp", "c.probed"], self.percent))
+
+    def compare_components(self, rows: DataFrame) -> None:
+        """All pairs of a bucket's members, one of them probing, that are in different components so far."""
         bucket = Window.partitionBy("sig")
-        centre = F.min(F.struct(F.xxhash64("node").alias("h"), "node", "size", "comp", "probed")).over(bucket)
-        self.verify(_pairs(self.labelled(rows).withColumn("c", centre), ["c.node", "c.size", "c.comp", "c.probed"], self.percent))
         now = self.labelled(rows).withColumns({"one": F.min("comp").over(bucket), "other": F.max("comp").over(bucket)}).where("one < other").drop("one", "other")
         now = self.scratch.save(now, f"open-{self.step}")
         twin = now.select("sig", *(F.col(c).alias(f"{c}_2") for c in ("node", "size", "comp", "probed"))).where("probed_2")
@@ -389,19 +389,23 @@ class _Join:
     def run(self, rows: DataFrame) -> None:
         bucket, before = Window.partitionBy("sig"), float("inf")
         for level in range(MAX_LEVELS + 1):
-            seen = {"one": F.min("comp").over(bucket), "other": F.max("comp").over(bucket), "met": F.count(F.lit(1)).over(bucket), "any": F.max("probed").over(bucket)}
-            now = self.labelled(rows).withColumns(seen).where("one < other AND any").select("sig", "node", "size", "probed", "met")
+            seen = {"one": F.min("comp").over(bucket), "other": F.max("comp").over(bucket), "probers": F.count_if("probed").over(bucket)}
+            now = self.labelled(rows).withColumns(seen).where("one < other AND probers > 0").select("sig", "node", "size", "probed", "probers")
             now = self.scratch.save(now, f"rows-{level}")
-            hot = now.where(F.col("met") > HOT).drop("met")
+            hot = now.where(F.col("probers") > HOT).drop("probers")
             n_hot = hot.count()
             more = level < MAX_LEVELS and 0 < n_hot < SHRINK * before
             before = n_hot
+            small = (now.where(F.col("probers") <= HOT) if more else now).drop("probers")
             if more:
                 rows = self.scratch.save(self.hot_buckets(hot), f"split-{level}")
+            if level == 0:
+                self.compare_with_one(small)
                 self.relabel()
-            self.small_buckets((now.where(F.col("met") <= HOT) if more else now).drop("met"))
+            self.compare_components(small)
             if not more:
-                return
+                break
+        self.relabel()
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
@@ -426,12 +430,14 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     shared = _shared_rows(signatures)
     bucket = Window.partitionBy("sig")
     rows = scratch.save(shared.withColumn("any", F.max("probed").over(bucket)).where("any").drop("any"), "rows")
+    scratch.release()
 
     involved = rows.select("node").distinct()
     holders = members.where("node IS NOT NULL").groupBy("node").agg(F.min("id").alias("id")).join(involved, "node", "left_semi").select(F.col("id").alias("holder"))
     texts = docs.where("text IS NOT NULL").join(holders.distinct(), F.col("id").eqNullSafe(F.col("holder")), "left_semi").select("text")
     sets = texts.mapInArrow(_shingle_sets(words), "node long, shingles binary, parity binary").dropDuplicates(["node"])
     sets = scratch.save(sets.withColumn("size", (F.octet_length("shingles") / 8).cast("long")), "sets")
+    scratch.release()
     join = _Join(scratch, sets, percent)
     join.run(rows)
     labels = join.labels
