@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 
 def half_even(x: Column) -> Column:
@@ -52,15 +54,10 @@ def decimal_text(x: Column) -> Column:
     return F.when(text.contains("."), F.regexp_replace(text, r"\.?0+$", "")).otherwise(text)
 
 
-def digits17(x: Column) -> Column:
-    """A double with 17 significant digits at most, as C's ``%.17g`` writes it, between 1e-4 and 1e17."""
-    exponent = F.floor(F.log10(F.abs(x)))
-    places = F.greatest(F.lit(0), 16 - exponent).cast("int")
-    exact = x.cast("decimal(38,21)")
-    rounded = F.expr("0").cast("decimal(38,21)")
-    for p in range(21):
-        rounded = F.when(places == p, F.round(exact, p).cast("decimal(38,21)")).otherwise(rounded)
-    return F.when(x == 0, F.lit("0")).otherwise(decimal_text(rounded))
+@F.pandas_udf(StringType())
+def digits17(x: pd.Series) -> pd.Series:
+    """A double with 17 significant digits at most, as C's ``%.17g``; Spark has only the shortest text that reads back."""
+    return x.map(lambda v: None if pd.isna(v) else f"{v:.17g}")
 
 
 def seconds_of_ticks(ticks: Column, numerator: Column, denominator: Column) -> Column:

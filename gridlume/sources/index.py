@@ -18,7 +18,7 @@ def read_text_index(spark: SparkSession, path: str) -> DataFrame:
     Whole files are read as rows, so a frame's lines stay together; other lines are left out, and the
     smallest 64-bit number stands for an unknown time.
     """
-    text = spark.read.option("wholetext", "true").text(path).select(F.col("_metadata.file_path").alias("path"), F.regexp_replace("value", "\r", "").alias("value"))
+    text = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.regexp_replace("value", "\r", "").alias("value"))
     pairs = text.select("path", F.posexplode(F.regexp_extract_all("value", F.lit(r"(Index=[^\n]*\n[^\n]*Key=[^\n]*)"), 1)).alias("line", "pair"))
     field = lambda k: F.nullif(F.regexp_extract("pair", rf"(?:^|[,\n ]){k}=(-?[0-9]+)", 1), F.lit("")).cast("long")
     unknown = F.lit(-(1 << 63))
