@@ -45,7 +45,7 @@ COMMON = 0.3  #: chance that a shingle is one that many documents share
 MAX_DELETION_SEGMENTS = 200
 HOT = 16  #: probing members of a bucket from which it is split by differences to a centre
 MAX_LEVELS = 3  #: times that hot buckets are split
-SHRINK = 0.7  #: they are split again if their rows have shrunk to less than that; else what is hot is compared exhaustively
+SHRINK = 0.1  #: they are split again if their rows have shrunk to less than that; else what is hot is compared exhaustively
 #: Bits of a row's meta value: set size, surplus weight, namespace, weight - 1, deletion segment + 1.
 SIZE_BITS, SURPLUS_BITS, NAMESPACE_BITS = 28, 20, 6
 
