@@ -43,9 +43,10 @@ SLACK = 1.35  #: weight of a band's segments against what its largest sets need
 CHANCE_COST = 50.0  #: what a chance meeting costs, in signature rows
 COMMON = 0.3  #: chance that a shingle is one that many documents share
 MAX_DELETION_SEGMENTS = 200
-HOT = 16  #: probing members of a bucket from which it is split by differences to a centre
+HOT = 12  #: probing members of a bucket from which it is split by differences to a centre
 MAX_LEVELS = 3  #: times that hot buckets are split
-SHRINK = 0.1  #: they are split again if their rows have shrunk to less than that; else what is hot is compared exhaustively
+EXHAUSTIVE = 10  #: after the first time, only while comparing the rest would meet more pairs than this times the first rows
+MOST_COMMON = 3  #: common elements that pairs of a split bucket must show before they are compared
 #: Bits of a row's meta value: set size, surplus weight, namespace, weight - 1, deletion segment + 1.
 SIZE_BITS, SURPLUS_BITS, NAMESPACE_BITS = 28, 20, 6
 
@@ -288,18 +289,7 @@ def _shared_rows(signatures: DataFrame) -> DataFrame:
         shared.repartition(F.col("node"))
         .withColumns({"cost": F.sum("met").over(by_part), "turn": F.row_number().over(by_part.orderBy("sig"))})
         .withColumn("dearer", F.sum(F.when(F.col("turn") == 1, F.col("weight")).otherwise(0)).over(by_cost))
-        .select("sig", "node", "size", (F.col("dearer") > F.col("surplus")).alias("probed"))
-    )
-
-
-def _pairs(rows: DataFrame, other: list[str], percent: int) -> DataFrame:
-    """Distinct (a, b), a < b, of rows (node, size, comp, probed) and the columns named ``other`` of the member it is compared with."""
-    node, size, comp, probed = other
-    return (
-        rows.where((F.col("comp") != F.col(comp)) & (F.col("probed") | F.col(probed)))
-        .where(100 * F.least("size", size) >= percent * F.greatest("size", size))
-        .select(F.least("node", node).alias("a"), F.greatest("node", node).alias("b"))
-        .distinct()
+        .select("sig", "node", "size", (F.col("dearer") > F.col("surplus")).alias("probed"), F.lit(1).alias("need"))
     )
 
 
@@ -344,16 +334,22 @@ class _Join:
 
     def compare_with_one(self, rows: DataFrame) -> None:
         """Each bucket's members with one of them, the same for groups that share many buckets."""
-        centre = F.min(F.struct(F.xxhash64("node").alias("h"), "node", "size", "comp", "probed")).over(Window.partitionBy("sig"))
-        self.verify(_pairs(rows.withColumn("comp", F.col("node")).withColumn("c", centre), ["c.node", "c.size", "c.comp", "c.probed"], self.percent))
+        centre = F.min(F.struct(F.xxhash64("node").alias("h"), "node", "size", "probed")).over(Window.partitionBy("sig"))
+        met = rows.withColumn("c", centre).where((F.col("node") != F.col("c.node")) & (F.col("probed") | F.col("c.probed")))
+        met = met.where(100 * F.least("size", "c.size") >= self.percent * F.greatest("size", "c.size"))
+        self.verify(met.select(F.least("node", "c.node").alias("a"), F.greatest("node", "c.node").alias("b")).distinct())
 
     def compare_components(self, rows: DataFrame) -> None:
         """All pairs of a bucket's members, one of them probing, that are in different components so far."""
         bucket = Window.partitionBy("sig")
         now = self.labelled(rows).withColumns({"one": F.min("comp").over(bucket), "other": F.max("comp").over(bucket)}).where("one < other").drop("one", "other")
         now = self.scratch.save(now, f"open-{self.step}")
-        twin = now.select("sig", *(F.col(c).alias(f"{c}_2") for c in ("node", "size", "comp", "probed"))).where("probed_2")
-        self.verify(_pairs(now.join(twin, "sig"), ["node_2", "size_2", "comp_2", "probed_2"], self.percent))
+        one, two = now.alias("one"), now.where("probed").alias("two")
+        # each pair once a bucket: its second member probes, and the first is smaller or doesn't
+        meets = F.expr("one.sig = two.sig AND one.comp <> two.comp AND (NOT one.probed OR one.node < two.node)")
+        alike = 100 * F.least("one.size", "two.size") >= self.percent * F.greatest("one.size", "two.size")
+        met = one.join(two, meets & alike).select(F.least("one.node", "two.node").alias("a"), F.greatest("one.node", "two.node").alias("b"), F.greatest("one.need", "two.need").alias("need"))
+        self.verify(met.groupBy("a", "b").agg(F.count(F.lit(1)).alias("met"), F.max("need").alias("need")).where("met >= need").select("a", "b"))
 
     def hot_buckets(self, rows: DataFrame) -> DataFrame:
         """Link what is near a group's centre; the buckets in which all other links meet."""
@@ -380,22 +376,26 @@ class _Join:
         measured = measured.join(outer, "group").withColumn("least", F.when(F.col("linked"), F.col("outer_gap")).otherwise(F.col("best.gap")))
         farthest = ((F.col("size") + F.floor(F.col("size") * 100 / t)) * (100 - t) / (100 + t)).cast("long")
         common = F.greatest(F.lit(1), F.ceil((F.col("gap") + F.col("least")) / (2 * (100 + t))), F.size("delta") - farthest)
-        spread = save(measured.select("group", "node", "size", (F.size("delta") - common + 1).alias("prefix"), F.explode("delta").alias("element")), "spread")
+        # with as many common elements in the prefixes as they are longer by, and one more
+        need = F.least(common, F.lit(MOST_COMMON))
+        spread = save(measured.select("group", "node", "size", need.alias("need"), (F.size("delta") - common + need).alias("prefix"), F.explode("delta").alias("element")), "spread")
         rarity = save(spread.groupBy("group", "element").agg(F.count(F.lit(1)).alias("n")), "rarity")
         order = Window.partitionBy("group", "node").orderBy("n", "element")
         ranked = spread.join(rarity, ["group", "element"]).withColumn("place", F.row_number().over(order))
-        return ranked.where("place <= prefix AND n > 1").select(F.xxhash64("group", "element").alias("sig"), "node", "size", F.lit(True).alias("probed")).distinct()
+        return ranked.where("place <= prefix AND n > 1").select(F.xxhash64("group", "element").alias("sig"), "node", "size", F.lit(True).alias("probed"), F.col("need").cast("int").alias("need")).distinct()
 
     def run(self, rows: DataFrame) -> None:
-        bucket, before = Window.partitionBy("sig"), float("inf")
+        bucket, budget = Window.partitionBy("sig"), 0
         for level in range(MAX_LEVELS + 1):
             seen = {"one": F.min("comp").over(bucket), "other": F.max("comp").over(bucket), "probers": F.count_if("probed").over(bucket)}
-            now = self.labelled(rows).withColumns(seen).where("one < other AND probers > 0").select("sig", "node", "size", "probed", "probers")
+            now = self.labelled(rows).withColumns(seen).where("one < other AND probers > 0").select("sig", "node", "size", "probed", "need", "probers")
             now = self.scratch.save(now, f"rows-{level}")
-            hot = now.where(F.col("probers") > HOT).drop("probers")
-            n_hot = hot.count()
-            more = level < MAX_LEVELS and 0 < n_hot < SHRINK * before
-            before = n_hot
+            hot = now.where(F.col("probers") > HOT)
+            work = hot.agg(F.sum(F.col("probers").cast("double"))).first()[0] or 0.0
+            more = level < MAX_LEVELS and work > budget
+            hot = hot.drop("probers")
+            if level == 0:
+                budget = EXHAUSTIVE * now.count()
             small = (now.where(F.col("probers") <= HOT) if more else now).drop("probers")
             if more:
                 rows = self.scratch.save(self.hot_buckets(hot), f"split-{level}")
