@@ -30,6 +30,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -47,6 +48,8 @@ HOT = 12  #: probing members of a bucket from which it is split by differences t
 MAX_LEVELS = 3  #: times that hot buckets are split
 EXHAUSTIVE = 10  #: after the first time, only while comparing the rest would meet more pairs than this times the first rows
 MOST_COMMON = 3  #: common elements that pairs of a split bucket must show before they are compared
+FILTER_BITS = 26  #: of the filter that picks the sets to compare, 8 MB however many there are; when it fills up, more sets than needed travel
+FILTER_PARTS, FILTER_HASHES = 64, 3
 #: Bits of a row's meta value: set size, surplus weight, namespace, weight - 1, deletion segment + 1.
 SIZE_BITS, SURPLUS_BITS, NAMESPACE_BITS = 28, 20, 6
 
@@ -189,15 +192,53 @@ def _parities(hashes: np.ndarray) -> bytes:
     return np.packbits((counts & 1).astype(np.uint8), bitorder="little").tobytes()
 
 
-def _shingle_sets(size: int):
-    """(text) to (node, shingles, parity): the sorted 64-bit hashes as bytes, and their parity sketch."""
+def _places(nodes: np.ndarray) -> np.ndarray:
+    """The bits of the filter that stand for each node, a row for each hash."""
+    salts = mixed(np.arange(1, FILTER_HASHES + 1, dtype=U))
+    return np.stack([(mixed(nodes ^ s) >> U(64 - FILTER_BITS)).astype(np.int64) for s in salts])
+
+
+def _filter_bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(node) to (part, bit)."""
+    for batch in batches:
+        places = _places(batch.column(0).to_numpy().view(U)).ravel()
+        yield pa.RecordBatch.from_arrays([pa.array(places * FILTER_PARTS >> FILTER_BITS), pa.array(places)], ["part", "bit"])
+
+
+def _filter_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(part, bit) to (part, bits), the parts' bytes; a task holds a few parts of fixed size."""
+    parts: dict[int, np.ndarray] = {}
+    width = (1 << FILTER_BITS) // FILTER_PARTS
+    for batch in batches:
+        part, bit = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+        for p in np.unique(part).tolist():
+            parts.setdefault(p, np.zeros(width, bool))[bit[part == p] - p * width] = True
+    yield pa.RecordBatch.from_arrays([pa.array(list(parts), pa.int64()), pa.array([np.packbits(x, bitorder="little").tobytes() for x in parts.values()], pa.binary())], ["part", "bits"])
+
+
+def _node_filter(nodes: DataFrame) -> np.ndarray:
+    """A Bloom filter of the nodes: built in FILTER_PARTS parts by the executors, of which the driver gets the bytes."""
+    parts = nodes.mapInArrow(_filter_bits, "part long, bit long").repartition(FILTER_PARTS, "part").mapInArrow(_filter_parts, "part long, bits binary").collect()
+    out = np.zeros((FILTER_PARTS, (1 << FILTER_BITS) // FILTER_PARTS // 8), np.uint8)
+    for r in parts:
+        out[r.part] = np.frombuffer(r.bits, np.uint8)
+    return out.ravel()
+
+
+def _shingle_sets(size: int, wanted: Broadcast):
+    """(text) to (node, shingles, parity) of nodes in the filter: the sorted 64-bit hashes as bytes, and their parity sketch; once a partition."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
+        bits = wanted.value
         for batch in batches:
             for _, hashes, at, a, _ in _sets_of(batch, 0, size):
-                values = [hashes[x:y].tobytes() for x, y in zip(at[:-1], at[1:])]
-                sketches = [_parities(hashes[x:y]) for x, y in zip(at[:-1], at[1:])]
-                yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(values, pa.binary()), pa.array(sketches, pa.binary())], ["node", "shingles", "parity"])
+                places = _places(a)
+                hits = np.flatnonzero((bits[places >> 3] >> (places & 7) & 1).all(0) & (np.diff(at) > 0))
+                kept = [k for k in hits.tolist() if not (a[k] in seen or seen.add(a[k]))]
+                if kept:
+                    sets = [hashes[at[k] : at[k + 1]] for k in kept]
+                    yield pa.RecordBatch.from_arrays([pa.array(a[kept].view(np.int64)), pa.array([x.tobytes() for x in sets], pa.binary()), pa.array([_parities(x) for x in sets], pa.binary())], ["node", "shingles", "parity"])
 
     return run
 
@@ -432,10 +473,10 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     rows = scratch.save(shared.withColumn("any", F.max("probed").over(bucket)).where("any").drop("any"), "rows")
     scratch.release()
 
-    involved = rows.select("node").distinct()
-    holders = members.where("node IS NOT NULL").groupBy("node").agg(F.min("id").alias("id")).join(involved, "node", "left_semi").select(F.col("id").alias("holder"))
-    texts = docs.where("text IS NOT NULL").join(holders.distinct(), F.col("id").eqNullSafe(F.col("holder")), "left_semi").select("text")
-    sets = texts.mapInArrow(_shingle_sets(words), "node long, shingles binary, parity binary").dropDuplicates(["node"])
+    involved = scratch.save(rows.select("node").distinct(), "involved")
+    wanted = spark.sparkContext.broadcast(_node_filter(involved))
+    sets = docs.where("text IS NOT NULL").select("text").mapInArrow(_shingle_sets(words, wanted), "node long, shingles binary, parity binary")
+    sets = sets.dropDuplicates(["node"]).join(involved, "node", "left_semi")
     sets = scratch.save(sets.withColumn("size", (F.octet_length("shingles") / 8).cast("long")), "sets")
     scratch.release()
     join = _Join(scratch, sets, percent)
