@@ -122,7 +122,8 @@ def mix(docs: DataFrame, text_col: str = "text", source_col: str = "source", id_
         raise ValueError("cap is a whole number of copies, no less than share")
     spark = docs.sparkSession
     scratch = Scratch(spark, "mixing")
-    keyed = docs.select(F.struct("*").alias("row"), word_count(text_col).alias("size"), _source_key(source_col).alias("key"), F.xxhash64(id_col, text_col).alias("tie"), F.col(id_col).alias("id"))
+    own = {c: f"own_{k}" for k, c in enumerate(docs.columns)}
+    keyed = docs.select(*(F.col(f"`{c}`").alias(o) for c, o in own.items()), word_count(text_col).alias("size"), _source_key(source_col).alias("key"), F.xxhash64(id_col, text_col).alias("tie"), F.col(id_col).alias("id"))
     keyed = keyed.withColumn("part", F.pmod("tie", F.lit(SPREAD)))
     parts = scratch.save(keyed.groupBy("key", "size", "part").agg(F.count(F.lit(1)).alias("n")), "parts")
     cells = scratch.save(parts.groupBy("key", "size").agg(F.sum("n").alias("n")), "cells")
@@ -137,7 +138,7 @@ def mix(docs: DataFrame, text_col: str = "text", source_col: str = "source", id_
     out = out.withColumn("each", copies.cast("int"))
     new = {"size", "source_size", "target", "copies", "taken"}
     return out.select(
-        *(F.col(f"row.`{c}`") for c in docs.columns if c not in new),
+        *(F.col(o).alias(c) for c, o in own.items() if c not in new),
         "size",
         "source_size",
         "target",
