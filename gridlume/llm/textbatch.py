@@ -56,24 +56,50 @@ def slices(column: pa.Array, limit: int = 1 << 20) -> Iterator[tuple[int, np.nda
         row = stop
 
 
-def words(data: np.ndarray, offsets: np.ndarray, breaks: np.ndarray = SPACES) -> tuple[np.ndarray, np.ndarray]:
-    """(hash of each word, first word of each row and the end): words are runs of bytes not in ``breaks``, A-Z lower-cased."""
-    n = len(data)
-    if not n:
-        return np.zeros(0, U), np.zeros(len(offsets), np.int64)
+def _edges(data: np.ndarray, offsets: np.ndarray, breaks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(starts, ends) of the words: runs of bytes not in ``breaks``, within rows."""
     inside = ~breaks[data]
-    edge = np.zeros(n + 1, bool)
+    edge = np.zeros(len(data) + 1, bool)
     edge[offsets] = True
     first = inside.copy()
     first[1:] &= ~inside[:-1] | edge[1:-1]
     last = inside.copy()
     last[:-1] &= ~inside[1:] | edge[1:-1]
-    starts, ends = np.flatnonzero(first), np.flatnonzero(last) + 1
-    up, down = _powers(n)
-    total = np.zeros(n + 1, U)
-    np.cumsum((LOWER[data].astype(U) + U(1)) * up[:n], out=total[1:])
-    values = mixed((total[ends] - total[starts]) * down[starts] ^ (ends - starts).astype(U) * U(0xD6E8FEB86659FD93))
-    return values, np.searchsorted(starts, offsets)
+    return np.flatnonzero(first), np.flatnonzero(last) + 1
+
+
+def _sums(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(running sums of the bytes, A-Z lower-cased, times powers of the hash base; its inverse powers)."""
+    up, down = _powers(len(data))
+    total = np.zeros(len(data) + 1, U)
+    np.cumsum((LOWER[data].astype(U) + U(1)) * up[: len(data)], out=total[1:])
+    return total, down
+
+
+def _hashed(total: np.ndarray, down: np.ndarray, starts: np.ndarray, ends: np.ndarray, salt: int = 0) -> np.ndarray:
+    return mixed((total[ends] - total[starts]) * down[starts] ^ (ends - starts + salt).astype(U) * U(0xD6E8FEB86659FD93))
+
+
+def words(data: np.ndarray, offsets: np.ndarray, breaks: np.ndarray = SPACES) -> tuple[np.ndarray, np.ndarray]:
+    """(hash of each word, first word of each row and the end): words are runs of bytes not in ``breaks``, A-Z lower-cased."""
+    if not len(data):
+        return np.zeros(0, U), np.zeros(len(offsets), np.int64)
+    starts, ends = _edges(data, offsets, breaks)
+    return _hashed(*_sums(data), starts, ends), np.searchsorted(starts, offsets)
+
+
+def words_and_prefixes(data: np.ndarray, offsets: np.ndarray, breaks: np.ndarray, lengths: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes, rows) of all words and of their first bytes, for each of the lengths that a word exceeds."""
+    if not len(data):
+        return np.zeros(0, U), np.zeros(0, np.int64)
+    starts, ends = _edges(data, offsets, breaks)
+    rows, sums = np.searchsorted(offsets, starts, "right") - 1, _sums(data)
+    values, owners = [_hashed(*sums, starts, ends)], [rows]
+    for n in lengths:
+        longer = ends - starts > n
+        values.append(_hashed(*sums, starts[longer], starts[longer] + n, 1 << 32))
+        owners.append(rows[longer])
+    return np.concatenate(values), np.concatenate(owners)
 
 
 def shingles(data: np.ndarray, offsets: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:

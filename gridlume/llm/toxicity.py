@@ -16,21 +16,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .learning import bounded_sample, held_out, may_learn
-from .textbatch import PUNCTUATION, U, slices, words
+from .textbatch import PUNCTUATION, U, slices, words_and_prefixes
 
 BUCKET_BITS = 18
+PREFIXES = (5, 8)  #: bytes of a word's beginnings that are terms too, for words formed from the same stem
 FACTORS = 8
 MAX_TRAINING_ROWS = 20_000  #: labelled documents that a model is fitted on, whole texts
 MIN_DOCUMENTS = 5  #: a term must be in that many of them
 MIN_EVIDENCE = 3.0  #: and its share of toxic documents that many standard errors from the rest's
 MAX_TERMS = 20_000  #: and it must be among the most telling ones
-STEPS, RATE, PENALTY = 300, 0.05, 2e-4
+STEPS, RATE, PENALTY = 400, 0.05, 2e-5
 
 
 def terms(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(bucket of each word, first word of each row and the end)."""
-    values, at = words(data, offsets, PUNCTUATION)
-    return (values >> U(64 - BUCKET_BITS)).astype(np.int64), at
+    """(bucket, row) of the words and their beginnings."""
+    values, row = words_and_prefixes(data, offsets, PUNCTUATION, PREFIXES)
+    return (values >> U(64 - BUCKET_BITS)).astype(np.int64), row
 
 
 def _distinct(bucket: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -54,9 +55,8 @@ class FactorizationMachine:
         return out
 
     def score(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-        bucket, at = terms(data, offsets)
+        bucket, row = terms(data, offsets)
         n = len(offsets) - 1
-        row = np.repeat(np.arange(n), np.diff(at))
         known = self.place[bucket] >= 0
         bucket, row = _distinct(bucket[known], row[known])
         return 1 / (1 + np.exp(-np.clip(self.raw(self.place[bucket], row, n), -30, 30)))
@@ -116,8 +116,9 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         for batch in batches:
             lists: list[np.ndarray] = []
             for _, data, offsets in slices(batch.column(2)):
-                bucket, at = terms(data, offsets)
-                lists += [np.unique(bucket[a:b]).astype(np.int32) for a, b in zip(at[:-1], at[1:])]
+                bucket, row = _distinct(*terms(data, offsets))
+                at = np.searchsorted(row, np.arange(len(offsets)))
+                lists += [bucket[a:b].astype(np.int32) for a, b in zip(at[:-1], at[1:])]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(lists, pa.list_(pa.int32()))], ["id", "label", "terms"])
 
     table = texts.mapInArrow(run, f"id {kind}, label int, terms array<int>").toArrow()
