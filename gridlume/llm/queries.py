@@ -98,4 +98,26 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_media_copies": op10_media_copies,
 }
 
-ORACLES: dict[str, str] = {}
+_LOWER = f"'{urls.UPPER}', '{urls.LOWER}'"
+_PARTS = f"""SELECT page_id, coalesce(translate(regexp_extract(url, '^.*?://([^/?#]*)', 1, 's'), {_LOWER}), '') AS host, coalesce(regexp_extract(url, '^.*?://[^/?#]*([^?#]*)', 1, 's'), '') AS path,
+ coalesce(translate(url, {_LOWER}), '') AS low, contains(coalesce(url, ''), '://') AS whole FROM pages"""
+_ANY_HOST = "://([^/?#]*[.@])?"
+_END = "([^a-z0-9_.%-]|$)"
+
+ORACLES: dict[str, str] = {
+    "op3_ngram_jaccard_join": rf"""WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), {_LOWER}), '[^\x20\x09-\x0D]+') AS w FROM documents),
+ s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS h FROM w),
+ n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+ p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.h = b.h AND a.doc_id < b.doc_id GROUP BY 1, 2),
+ l AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 80 * (x.n + y.n - c)),
+ e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+ r(doc_id, comp) AS (SELECT DISTINCT a, a FROM e UNION SELECT e.b, r.comp FROM r JOIN e ON e.a = r.doc_id)
+ SELECT d.doc_id, coalesce(n, 0) AS n_shingles, coalesce(c, d.doc_id) AS component_id FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN (SELECT doc_id, min(comp) AS c FROM r GROUP BY 1) m ON m.doc_id = d.doc_id""",
+    "op4_url_filters": f"""SELECT page_id, host, path, rule, CASE WHEN rule IN ('com/', 'www.example.com/en/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block' WHEN whole AND NOT regexp_matches(low, '/wiki/') AND (
+ regexp_matches(low, '{_ANY_HOST}casino-') OR regexp_matches(low, '{_ANY_HOST}free-bets[.]') OR regexp_matches(low, '{_ANY_HOST}cheap-pills[.]') OR regexp_matches(low, '/(login|signup|cart){_END}')
+ OR regexp_matches(low, '/ads/') OR regexp_matches(low, '[^a-z0-9_.%-]utm_source=spam{_END}')) THEN 'block' ELSE 'allow' END AS verdict FROM (
+ SELECT *, CASE WHEN host = 'www.example.com' AND starts_with(path, '/en/') OR ends_with(host, '.www.example.com') AND starts_with(path, '/en/') THEN 'www.example.com/en/'
+ WHEN (host = 'example.com' OR ends_with(host, '.example.com')) AND starts_with(path, '/en/') THEN 'example.com/en/'
+ WHEN (host = 'net' OR ends_with(host, '.net')) AND starts_with(path, '/es/') THEN 'net/es/' WHEN (host = 'net' OR ends_with(host, '.net')) AND starts_with(path, '/fr/') THEN 'net/fr/'
+ WHEN (host = 'com' OR ends_with(host, '.com')) AND starts_with(path, '/') THEN 'com/' END AS rule FROM ({_PARTS}))""",
+}
