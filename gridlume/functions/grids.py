@@ -125,3 +125,16 @@ def work_estimate(samples, kernels, candidates):
     """Units of work; a negative count is none."""
     clip = lambda x: F.greatest(F.lit(0), x)
     return clip(samples) * clip(kernels) * clip(candidates)
+
+
+def height_defaults(spark: SparkSession) -> DataFrame:
+    """What a new height draft starts with, for each profile: its grid, crop, threshold and kernel, both axes."""
+    rows = profiles(spark)
+    kind = F.when(F.col("step").cast("decimal(10,4)") == 1, "integer_coarse").otherwise("custom")
+    return rows.select("profile_id", "start", "stop", "step", kind.alias("preset"), F.lit("h_plus_w").alias("axis_mode"), "crop", "threshold", "kernel_id", "b", "c", F.lit(1).alias("norm"))
+
+
+def missing_base(preset, axis_mode, base_height, base_width):
+    """The axis whose base a fractional refinement lacks, or null; the standard rule derives the width's from the height's."""
+    fractional = preset == "fractional_refine"
+    return F.when(fractional & axis_mode.isin("h_only", "h_plus_w") & base_height.isNull(), "height").when(fractional & (axis_mode == "w_only") & base_width.isNull(), "width")

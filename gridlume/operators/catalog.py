@@ -364,3 +364,34 @@ def cache_to_prune(files: DataFrame, most_files: int = 64, most_bytes: int = 512
     order = Window.orderBy(F.desc("modified"), "path")
     rows = files.withColumns({"_n": F.row_number().over(order), "_b": F.sum("bytes").over(order.rowsBetween(Window.unboundedPreceding, 0))})
     return rows.where((F.col("_n") > most_files) | (F.col("_b") > most_bytes)).drop("_n", "_b")
+
+
+def run_scope(result: Column, snapshot: Column) -> Column:
+    """(selection, every_n, start_frame, end_frame) from a result's JSON, or else its request's; all frames if neither tells."""
+    get = lambda n, kind: F.coalesce(F.get_json_object(result, f"$.scan_scope.{n}"), F.get_json_object(snapshot, f"$.scan_scope.{n}")).try_cast(kind)
+    return F.struct(F.coalesce(get("selection", "string"), F.lit("all")).alias("selection"), F.coalesce(get("every_n", "long"), F.lit(1)).alias("every_n"), get("start_frame", "long").alias("start_frame"), get("end_frame", "long").alias("end_frame"))
+
+
+def stored_coverage(result: Column, completed: Column, total: Column) -> Column:
+    """(eligible, selected, processed, failed) from a result's JSON; without one, what the run has counted."""
+    get = lambda n: F.get_json_object(result, f"$.coverage.{n}").try_cast("long")
+    return F.struct(F.coalesce(get("eligible"), total).alias("eligible"), F.coalesce(get("selected"), total).alias("selected"), F.coalesce(get("processed"), completed).alias("processed"), F.coalesce(get("failed"), F.lit(0)).alias("failed"))
+
+
+def scope_problem(selection: Column, every_n: Column, start: Column, end: Column, stream: Column) -> Column:
+    """Why a drafted scope can't be used, or null."""
+    return (
+        F.when(~F.coalesce(selection.isin("all", "every_n", "decoded_i_picture"), F.lit(False)), "selection_unknown")
+        .when((selection == "every_n") & F.coalesce(every_n < 1, F.lit(True)), "every_n_out_of_range")
+        .when(F.coalesce(stream < 0, F.lit(True)), "stream_missing")
+        .when((start < 0) | (end < 0), "range_negative")
+        .when(end < start, "range_reversed")
+    )
+
+
+def applied_payload(recipes: DataFrame, active: DataFrame, payload: dict[str, Column]) -> DataFrame:
+    """The recipes with the payload put on the active one, or else the one changed last; if there is none, a new one."""
+    current = current_recipe(recipes, active).withColumns(payload)
+    fresh = recipes.sparkSession.range(1).select(*(payload[c].alias(c) if c in payload else (F.lit("recipe-1") if c == "recipe_id" else F.lit(None)).cast(recipes.schema[c].dataType).alias(c) for c in recipes.columns))
+    new = fresh.join(recipes.select(F.lit(1).alias("_has")).limit(1), F.lit(True), "left_anti")
+    return upsert(recipes, current.unionByName(new), "recipe_id")

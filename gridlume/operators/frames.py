@@ -174,3 +174,9 @@ def ordered_subset_problem(selected: DataFrame, frames: DataFrame) -> DataFrame:
     rows = selected.withColumn("_before", F.lag("frame_index").over(order)).join(frames.select("frame_index", F.lit(True).alias("_exists")), "frame_index", "left")
     problem = F.when(F.col("_exists").isNull(), "missing").when(F.col("frame_index") <= F.col("_before"), "not_ascending")
     return rows.select("place", problem.alias("problem")).where("problem IS NOT NULL")
+
+
+def presentation_mismatches(decoded: DataFrame, index: DataFrame) -> DataFrame:
+    """(frame_index) of decoded frames whose pts, where both are known, isn't the index's."""
+    pairs = decoded.select("frame_index", F.col("pts").alias("_decoded")).join(index.select("frame_index", "pts"), "frame_index")
+    return pairs.where("_decoded <> pts").select("frame_index")
