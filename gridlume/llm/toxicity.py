@@ -25,7 +25,7 @@ MAX_TRAINING_ROWS = 20_000  #: labelled documents that a model is fitted on, who
 MIN_DOCUMENTS = 5  #: a term must be in that many of them
 MIN_EVIDENCE = 3.0  #: and its share of toxic documents that many standard errors from the rest's
 MAX_TERMS = 20_000  #: and it must be among the most telling ones
-STEPS, RATE, PENALTY = 400, 0.05, 2e-5
+STEPS, RATE, PENALTY = 400, 0.05, 5e-5
 
 
 def terms(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -62,27 +62,27 @@ class FactorizationMachine:
         return 1 / (1 + np.exp(-np.clip(self.raw(self.place[bucket], row, n), -30, 30)))
 
 
-def train(bucket: np.ndarray, row: np.ndarray, label: np.ndarray) -> FactorizationMachine:
-    """Fit on the present terms of the rows; the same input gives the same model.
-
-    Without rows of both labels the score is the labels' share of 1 everywhere (0 without rows).
-    """
-    n, size = len(label), 1 << BUCKET_BITS
-    share = float(label.mean()) if n else 0.0
-    if not 0 < share < 1:
-        return FactorizationMachine(np.full(size, -1), 30.0 if share else -30.0, np.zeros(0), np.zeros((0, FACTORS)))
-    seen = np.bincount(bucket, minlength=size)
-    toxic = np.bincount(bucket, label[row], size)
+def screened(seen: np.ndarray, toxic: np.ndarray, share: float) -> np.ndarray:
+    """The place of each bucket's term in the model, -1 for those that tell too little; ``seen`` and ``toxic`` count documents by bucket."""
     with np.errstate(invalid="ignore", divide="ignore"):
         evidence = np.abs(toxic - seen * share) / np.sqrt(seen * share * (1 - share))
     evidence[(seen < MIN_DOCUMENTS) | ~np.isfinite(evidence)] = 0
     chosen = np.argsort(-evidence, kind="stable")[:MAX_TERMS]
     chosen = chosen[evidence[chosen] >= MIN_EVIDENCE]
-    place = np.full(size, -1)
+    place = np.full(len(seen), -1)
     place[chosen] = np.arange(len(chosen))
-    kept = place[bucket] >= 0
-    term, row = place[bucket[kept]], row[kept]
-    m = len(chosen)
+    return place
+
+
+def train(term: np.ndarray, row: np.ndarray, label: np.ndarray, place: np.ndarray) -> FactorizationMachine:
+    """Fit on the present terms, as places, of the rows; the same input gives the same model.
+
+    Without rows of both labels the score is the labels' share of 1 everywhere (0 without rows).
+    """
+    n, m = len(label), int(place.max(initial=-1)) + 1
+    share = float(label.mean()) if n else 0.0
+    if not 0 < share < 1:
+        return FactorizationMachine(np.full(len(place), -1), 30.0 if share else -30.0, np.zeros(0), np.zeros((0, FACTORS)))
     model = FactorizationMachine(place, float(np.log(share / (1 - share))), np.zeros(m), np.random.default_rng(7).normal(0, 0.05, (m, FACTORS)))
     values = [model.weights, *(model.factors[:, f] for f in range(FACTORS))]
     first, second = [np.zeros(m) for _ in values], [np.zeros(m) for _ in values]
@@ -106,27 +106,47 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     """Learn from at most ``most`` labelled documents that may be learned from.
 
     A document labelled more than once takes the largest label; null labels and ids teach nothing.
-    Only the sample's bucket lists reach the driver.
+    The driver gets two counts for each bucket, from which it screens the terms, and then the
+    sample's lists of screened terms.
     """
     known = labels.where(may_learn(id_col) & F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.max(F.col(label_col).cast("int")).alias("label"))
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(bounded_sample(known, "id", most)), "id").select("id", "label", "text")
     kind = texts.schema["id"].dataType.simpleString()
 
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = np.zeros((4, 1 << BUCKET_BITS), np.int64)  # documents by bucket and label, and in all
+        for batch in batches:
+            toxic = batch.column(1).to_numpy() == 1
+            sums[2, 0], sums[3, 0] = sums[2, 0] + len(toxic), sums[3, 0] + toxic.sum()
+            for first, data, offsets in slices(batch.column(2)):
+                bucket, row = _distinct(*terms(data, offsets))
+                sums[0] += np.bincount(bucket, minlength=1 << BUCKET_BITS)
+                sums[1] += np.bincount(bucket[toxic[first + row]], minlength=1 << BUCKET_BITS)
+        at = np.flatnonzero(sums[0])
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1)), pa.array(np.append(sums[0, at], sums[2, 0])), pa.array(np.append(sums[1, at], sums[3, 0]))], ["bucket", "seen", "toxic"])
+
+    counts = texts.mapInArrow(count, "bucket long, seen long, toxic long").groupBy("bucket").agg(F.sum("seen").alias("seen"), F.sum("toxic").alias("toxic")).toArrow()
+    bucket, seen, toxic = (counts.column(c).to_numpy() for c in ("bucket", "seen", "toxic"))
+    sums = np.zeros((2, 1 << BUCKET_BITS))
+    sums[:, bucket[bucket >= 0]] = seen[bucket >= 0], toxic[bucket >= 0]
+    n = max(1, int(seen[bucket < 0].sum()))
+    place = screened(*sums, int(toxic[bucket < 0].sum()) / n)
+    shared: Broadcast = docs.sparkSession.sparkContext.broadcast(place)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             lists: list[np.ndarray] = []
             for _, data, offsets in slices(batch.column(2)):
                 bucket, row = _distinct(*terms(data, offsets))
-                at = np.searchsorted(row, np.arange(len(offsets)))
-                lists += [bucket[a:b].astype(np.int32) for a, b in zip(at[:-1], at[1:])]
+                known = shared.value[bucket] >= 0
+                term, at = shared.value[bucket[known]].astype(np.int32), np.searchsorted(row[known], np.arange(len(offsets)))
+                lists += [term[a:b] for a, b in zip(at[:-1], at[1:])]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(lists, pa.list_(pa.int32()))], ["id", "label", "terms"])
 
-    table = texts.mapInArrow(run, f"id {kind}, label int, terms array<int>").toArrow()
-    table = table.sort_by([("id", "ascending")])
+    table = texts.mapInArrow(run, f"id {kind}, label int, terms array<int>").toArrow().sort_by([("id", "ascending")])
     lists = table.column("terms").combine_chunks()
-    counts = np.diff(lists.offsets.to_numpy()) if table.num_rows else np.zeros(0, np.int64)
-    bucket = lists.flatten().to_numpy().astype(np.int64)
-    return train(bucket, np.repeat(np.arange(table.num_rows), counts), table.column("label").to_numpy().astype(float))
+    sizes = np.diff(lists.offsets.to_numpy()) if table.num_rows else np.zeros(0, np.int64)
+    return train(lists.flatten().to_numpy().astype(np.int64), np.repeat(np.arange(table.num_rows), sizes), table.column("label").to_numpy().astype(float), place)
 
 
 def score(docs: DataFrame, model: FactorizationMachine, text_col: str = "text") -> DataFrame:

@@ -326,14 +326,19 @@ def test_toxicity_learns_pairs_that_no_sum_can():
         rows += present
         row += [k] * len(present)
         label.append(float(a and b))
-    model = toxicity.train(np.array(rows), np.array(row), np.array(label))
+    place = np.arange(200)
+    model = toxicity.train(np.array(rows), np.array(row), np.array(label), place)
     place = model.place[[10, 20]]
-    assert (place >= 0).all()
     pair = model.raw(place, np.array([0, 0]), 1)[0]
     alone = [model.raw(place[[k]], np.array([0]), 1)[0] for k in (0, 1)]
     assert pair > 0 > max(alone) and float(model.factors[place[0]] @ model.factors[place[1]]) > 0
 
 
+def test_terms_are_screened_by_evidence():
+    place = toxicity.screened(np.array([100.0, 100.0, 3.0, 50.0]), np.array([60.0, 10.0, 3.0, 0.0]), 0.1)
+    assert place[0] == 0 and list(place < 0) == [False, True, True, True]
+
+
 def test_toxicity(spark):
     r = random.Random(6)
     texts, toxic = [], []
