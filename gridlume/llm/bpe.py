@@ -83,19 +83,20 @@ def pieces(text: str, pattern: str, chunk: int = CHUNK) -> Iterator[str]:
     yield text[start:]
 
 
-def _encode_rows(ranks: Broadcast, pattern: str, names: list[str]):
-    """(..., text) to (..., ids); a null text has no ids."""
+def _encode_rows(ranks: Broadcast, pattern: str, names: list[str], decoded: bool):
+    """(..., text) to (..., ids) and, if asked for, what they decode to; a null text has no ids."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoding = _encoding(ranks.value, pattern)
         for batch in batches:
             first, size, out = 0, 0, []
             for k, text in enumerate(batch.column(batch.num_columns - 1)):
-                out.append(encode_text(encoding, text.as_py() or "").tobytes())
-                size += len(out[-1])
+                ids = encode_text(encoding, text.as_py() or "")
+                out.append((ids.tobytes(), decode_ids(ranks.value, ids.astype(np.int64))[0].tobytes()) if decoded else (ids.tobytes(),))
+                size += sum(map(len, out[-1]))
                 if size >= BATCH_BYTES or k == batch.num_rows - 1:
                     kept = [c.slice(first, len(out)) for c in batch.columns[:-1]]
-                    yield pa.RecordBatch.from_arrays([*kept, pa.array(out, pa.binary())], names)
+                    yield pa.RecordBatch.from_arrays([*kept, *(pa.array(x, pa.binary()) for x in zip(*out))], names)
                     first, size, out = k + 1, 0, []
 
     return run
@@ -113,16 +114,20 @@ def _cut_rows(pattern: str, chunk: int):
     return run
 
 
-def _join_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(id, parts) to (id, ids)."""
-    for batch in batches:
-        for k in range(batch.num_rows):
-            ids = b"".join(p["ids"] for p in batch.column(1)[k].as_py())
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(k, 1), pa.array([ids], pa.binary())], ["id", "ids"])
+def _join_parts(names: list[str]):
+    """(id, parts) to (id, *names): the parts' bytes in order."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                parts = batch.column(1)[k].as_py()
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(k, 1), *(pa.array([b"".join(p[n] for p in parts)], pa.binary()) for n in names)], ["id", *names])
+
+    return run
 
 
-def encode(docs: DataFrame, ranks: Broadcast, pattern: str, id_col: str = "doc_id", text_col: str = "text", chunk: int = CHUNK) -> DataFrame:
-    """Encode whole texts: ``id_col``, ``n_tokens`` (long), ``ids`` (binary, little-endian unsigned 32-bit).
+def encode(docs: DataFrame, ranks: Broadcast, pattern: str, id_col: str = "doc_id", text_col: str = "text", chunk: int = CHUNK, decoded: bool = False) -> DataFrame:
+    """Encode whole texts: ``id_col``, ``n_tokens`` (long), ``ids`` (binary, little-endian unsigned 32-bit) and, if asked for, ``decoded``, as ``decode`` would add it.
 
     Special tokens are ordinary text. One row per input row, repeated rows and null ids included;
     a null text is empty, an empty one has no ids. Other columns are ignored, so names can't clash.
@@ -130,14 +135,16 @@ def encode(docs: DataFrame, ranks: Broadcast, pattern: str, id_col: str = "doc_i
     """
     docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     kind = docs.schema["id"].dataType.simpleString()
+    out = ["ids", "decoded"] if decoded else ["ids"]
+    tail = "".join(f", {n} binary" for n in out)
     is_long = F.coalesce(F.char_length("text") > chunk, F.lit(False))
-    whole = docs.where(~is_long).mapInArrow(_encode_rows(ranks, pattern, ["id", "ids"]), f"id {kind}, ids binary")
+    whole = docs.where(~is_long).mapInArrow(_encode_rows(ranks, pattern, ["id", *out], decoded), f"id {kind}{tail}")
     cut = docs.where(is_long).select("id", F.sha2("text", 256).alias("digest"), "text").mapInArrow(_cut_rows(pattern, chunk), f"id {kind}, digest string, part long, piece string")
-    dealt = cut.repartition("digest", "part").mapInArrow(_encode_rows(ranks, pattern, ["id", "digest", "part", "ids"]), f"id {kind}, digest string, part long, ids binary")
+    dealt = cut.repartition("digest", "part").mapInArrow(_encode_rows(ranks, pattern, ["id", "digest", "part", *out], decoded), f"id {kind}, digest string, part long{tail}")
     # equal rows have equal parts: the set holds them once, and the first part tells how many rows there are
-    parts = dealt.groupBy("id", "digest").agg(F.array_sort(F.collect_set(F.struct("part", "ids"))).alias("parts"), F.count_if(F.col("part") == 0).alias("rows"))
-    joined = parts.select("id", F.explode(F.array_repeat("parts", F.col("rows").cast("int"))).alias("parts")).mapInArrow(_join_parts, f"id {kind}, ids binary")
-    return whole.unionByName(joined).select(F.col("id").alias(id_col), (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), "ids")
+    parts = dealt.groupBy("id", "digest").agg(F.array_sort(F.collect_set(F.struct("part", *out))).alias("parts"), F.count_if(F.col("part") == 0).alias("rows"))
+    joined = parts.select("id", F.explode(F.array_repeat("parts", F.col("rows").cast("int"))).alias("parts")).mapInArrow(_join_parts(out), f"id {kind}{tail}")
+    return whole.unionByName(joined).select(F.col("id").alias(id_col), (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), *out)
 
 
 def decode_ids(ranks: bytes, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

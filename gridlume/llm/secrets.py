@@ -8,6 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -145,29 +146,38 @@ def scan(docs: DataFrame, text_col: str = "text", allowed: tuple[str, ...] = ALL
     return docs.mapInArrow(run, f"{fields}, spans array<struct<kind: string, start: bigint, end: bigint>>")
 
 
+def redacted(text: str, spans: list[dict], mark: str) -> str:
+    """The text with each union of overlapping spans replaced by the mark."""
+    out, at = [], 0
+    for s in spans:
+        if s["end"] > at:
+            if s["start"] >= at:
+                out += [text[at : s["start"]], mark]
+            at = s["end"]
+    return "".join([*out, text[at:]])
+
+
 def redact(docs: DataFrame, text_col: str = "text", mark: str = "[REDACTED]", allowed: tuple[str, ...] = ALLOWED) -> DataFrame:
-    """The same columns with each union of overlapping spans replaced by ``mark``; null stays null."""
-    docs_scanned = scan(docs, text_col, allowed)
-    place = docs_scanned.columns.index(text_col)
+    """The same columns with each union of overlapping spans replaced by ``mark``; null stays null, and texts without a span are passed on untouched."""
+    place = docs.columns.index(text_col)
+    rule = "|".join(f"(?:{a})" for a in allowed) or r"(?!)"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        allow = re.compile(rule)
         for batch in batches:
-            texts = batch.column(place).to_pylist()
-            for k, spans in enumerate(batch.column(batch.num_columns - 1).to_pylist()):
-                if spans:
-                    out, at, text = [], 0, texts[k]
-                    for s in spans:
-                        if s["end"] > at:
-                            if s["start"] >= at:
-                                out += [text[at : s["start"]], mark]
-                            at = s["end"]
-                    texts[k] = "".join([*out, text[at:]])
-            columns = list(batch.columns[:-1])
-            columns[place] = pa.array(texts, batch.schema.field(place).type)
-            yield pa.RecordBatch.from_arrays(columns, batch.schema.names[:-1])
-
-    kept = docs_scanned.columns[:-1]
-    return docs_scanned.mapInArrow(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs_scanned.schema.fields if f.name in kept))
+            column, texts = batch.column(place), {}
+            for row, data, offsets in slices(column):
+                for k in suspects(data, offsets).tolist():
+                    text = data[offsets[k] : offsets[k + 1]].tobytes().decode()
+                    if spans := spans_of(text, allow):
+                        texts[row + k] = redacted(text, spans, mark)
+            if texts:
+                chosen = np.zeros(batch.num_rows, bool)
+                chosen[list(texts)] = True
+                column = pc.replace_with_mask(column, pa.array(chosen), pa.array([texts[k] for k in sorted(texts)], column.type))
+            yield batch.set_column(place, batch.schema.field(place), column)
+
+    return docs.mapInArrow(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields))
 
 
 def digest(spans: str = "spans") -> dict:

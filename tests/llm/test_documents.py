@@ -162,6 +162,8 @@ def test_encoding_equals_the_library(spark, ranks):
     expected = [(k, np.array(ENCODING.encode_ordinary(t or ""), "<u4").tobytes(), (t or "").encode()) for k, t in enumerate(texts)]
     assert same_rows([(c.doc_id, bytes(c.ids), bytes(c.decoded)) for c in coded], expected)
     assert all(c.n_tokens * 4 == len(c.ids) for c in coded)
+    at_once = bpe.encode(documents(spark, texts), ranks, PATTERN, chunk=512, decoded=True).collect()
+    assert same_rows([(c.doc_id, bytes(c.ids), bytes(c.decoded)) for c in at_once], expected)
     repeated = bpe.encode(documents(spark, [mixed, mixed], ids=[1, 1]), ranks, PATTERN, chunk=512)
     assert repeated.count() == 2 and repeated.distinct().count() == 1
     assert bpe.encode(documents(spark, []), ranks, PATTERN).count() == 0
