@@ -58,9 +58,8 @@ def pattern_rule(text: str, action: str) -> Rule:
     anchored = body != text.lower()
     parts = {"*": r"[\s\S]*", "^": r"(?:[^a-z0-9_.%-]|$)"}
     regex = "".join(parts.get(c, _literal(c)) for c in body)
-    edge = r"(?:^|[^a-z0-9])"
     whole = tuple(m[0] for m in re.finditer(r"[a-z0-9]+", body) if (m.start() > 0 and body[m.start() - 1] != "*" or anchored and m.start() == 0) and m.end() < len(body) and body[m.end()] != "*")
-    return Rule(text, action, False, (r"://(?:[^/?#]*[.@])?" if anchored else "") + regex, whole) if edge else None
+    return Rule(text, action, False, (r"://(?:[^/?#]*[.@])?" if anchored else "") + regex, whole)
 
 
 def host_of(url: Column) -> Column:
