@@ -174,8 +174,6 @@ def coverage_wire(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def kernel_row_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from pyspark.sql.window import Window
-
     rows = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("run_id"), F.expr("CASE p_size % 3 WHEN 0 THEN 'lanczos' WHEN 1 THEN 'bicubic' ELSE 'zz' END").alias("kernel_id"), F.when(F.col("p_size") % 3 == 1, F.col("p_size") / 10).alias("b"), F.lit(None).cast("double").alias("c"), F.when(F.col("p_size") % 3 == 0, F.col("p_size")).alias("taps"), F.col("p_brand").alias("sample_label"))
     return catalog.sorted_kernel_rows(rows).limit(50).select("run_id", "kernel_id", "sample_label")
 

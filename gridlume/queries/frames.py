@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import frames, fusion
 from ..sources import project
-from .common import PRESENTED, STREAM, rounded, stream, table
+from .common import PRESENTED, STREAM, stream, table
 
 BY = ("stream",)
 
@@ -16,7 +16,7 @@ def _presented(spark: SparkSession, sf_dir: str) -> DataFrame:
     return frames.presented(stream(spark, sf_dir), BY)
 
 
-def _scope(name: str, *scope, **options):
+def _scope(*scope, **options):
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
         return frames.select_frames(_presented(spark, sf_dir), *scope, **options).select("stream", "frame_index", "event_id")
 
@@ -146,9 +146,9 @@ def fusion_compatibility(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
-    "scan_all": _scope("all", "all", 1, 3, 40),
-    "scan_every_n": _scope("every_n", "every_n", 4, 1, None),
-    "scan_i_picture": _scope("i", "decoded_i_picture"),
+    "scan_all": _scope("all", 1, 3, 40),
+    "scan_every_n": _scope("every_n", 4, 1, None),
+    "scan_i_picture": _scope("decoded_i_picture"),
     **{f.__name__: f for f in (coverage, presentation_order, keyframe_anchor, preceding_rap, keyframe_neighbours, nearest_frame, frame_window, decode_runs, monotonic, seek_method, identity_match, ordered_subset)},
     **{f.__name__: f for f in (fusion_min_error, fusion_statistics, fusion_wins, fusion_csv, fusion_eligibility, fusion_compatibility)},
 }

@@ -9,12 +9,12 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import geometry, grids, kernels, labels
+from ..functions import geometry, grids, kernels
 from ..operators import catalog, frames, scans
 from ..plans import axis, store
 from ..sources import files, project
 from ..streaming import verify
-from .common import STREAM, rounded, stream, table
+from .common import STREAM, stream, table
 from .scans import LINES, METRIC, image_frames
 
 
