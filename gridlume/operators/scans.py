@@ -22,6 +22,7 @@ from . import metrics
 FRAME_DDL = "frame_id BIGINT, width INT, height INT, pixels ARRAY<FLOAT>"
 BATCH = 32  #: candidates of a batch
 MOST_KERNELS = 4096
+MOST_BROADCAST = 200_000  #: work items that are broadcast instead of shuffled
 DEFAULT_METRIC = {"crop": (10, 10, 10, 10), "threshold": 0.015, "norm": 1}
 
 
@@ -111,20 +112,26 @@ def _run(axis_mode: str, metric: dict, strict: bool):
     return run
 
 
-def analyse(frames: DataFrame, works: DataFrame, axis_mode: str, metric: dict, strict: bool = False, batch: int = BATCH) -> DataFrame:
+def analyse(frames: DataFrame, works: DataFrame, axis_mode: str, metric: dict, strict: bool = False, batch: int = BATCH, spread: bool = True) -> DataFrame:
     """(frame_id, ordinal, error, problem) of every frame with every work item of its shape.
 
     ``works`` is (width, height, ordinal, geometry, kernel) and, from a store, h_plan and v_plan:
     small, one row per candidate and frame shape. A problem, such as a frame whose pixels aren't
     width times height or a canvas that isn't smaller than the frame, gives a null error; with
-    ``strict`` it is an error of the job.
+    ``strict`` it is an error of the job. ``spread`` deals a frame's batches over tasks; without it
+    frames are analysed where they are read and their pixels aren't shuffled.
     """
     plans = [c for c in ("h_plan", "v_plan") if c in works.columns]
     item = F.struct("ordinal", "geometry", "kernel", *plans)
     batches = works.withColumn("batch", F.floor(F.col("ordinal") / batch)).groupBy("width", "height", "batch").agg(F.collect_list(item).alias("works"))
+    # without plans an item is about 150 bytes, so a checked number of them is small enough to broadcast
+    if not plans and works.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST:
+        batches = F.broadcast(batches)
     pairs = frames.select("frame_id", "width", "height", "pixels").join(batches, ["width", "height"])
     metrics.bounds(1 << 30, 1 << 30, metric["crop"])
-    return pairs.repartition("frame_id", "batch").drop("batch").mapInPandas(_run(axis_mode, metric, strict), "frame_id BIGINT, ordinal INT, error DOUBLE, problem STRING")
+    if spread:
+        pairs = pairs.repartition("frame_id", "batch")
+    return pairs.drop("batch").mapInPandas(_run(axis_mode, metric, strict), "frame_id BIGINT, ordinal INT, error DOUBLE, problem STRING")
 
 
 def with_plans(works: DataFrame, axis_mode: str, path: str) -> tuple[DataFrame, int]:
@@ -171,7 +178,7 @@ def kernel_scan(frames: DataFrame, kernel_list: DataFrame, geometry: Column, axi
 def verify(frames: DataFrame, geometry: Column, kernel: Column, axis_mode: str = "h_plus_w", metric: dict | None = None, strict: bool = False) -> DataFrame:
     """(frame_id, error, problem): one recipe over all frames. A bad frame has a null error, or with ``strict`` ends the job."""
     works = frames.select("width", "height").distinct().select("width", "height", F.lit(0).alias("ordinal"), geometry.alias("geometry"), kernel.alias("kernel"))
-    return analyse(frames, works, axis_mode, metric or DEFAULT_METRIC, strict).drop("ordinal")
+    return analyse(frames, works, axis_mode, metric or DEFAULT_METRIC, strict, spread=False).drop("ordinal")
 
 
 def capabilities(spark) -> DataFrame:
