@@ -471,10 +471,10 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     shared = _shared_rows(signatures)
     bucket = Window.partitionBy("sig")
     rows = scratch.save(shared.withColumn("any", F.max("probed").over(bucket)).where("any").drop("any"), "rows")
-    scratch.release()
 
     involved = scratch.save(rows.select("node").distinct(), "involved")
     wanted = spark.sparkContext.broadcast(_node_filter(involved))
+    scratch.release()
     sets = docs.where("text IS NOT NULL").select("text").mapInArrow(_shingle_sets(words, wanted), "node long, shingles binary, parity binary")
     sets = sets.dropDuplicates(["node"]).join(involved, "node", "left_semi")
     sets = scratch.save(sets.withColumn("size", (F.octet_length("shingles") / 8).cast("long")), "sets")
