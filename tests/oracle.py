@@ -1,9 +1,9 @@
 """A query's rows against its SQL's in DuckDB, in any order."""
 
-import math
 import os
 
 import duckdb
+import pandas as pd
 
 DATA = "/root/testdata/sf0.001"
 
@@ -17,7 +17,7 @@ def connect(folder=DATA):
 
 
 def _cell(value):
-    if value is None or isinstance(value, float) and math.isnan(value):
+    if pd.isna(value):
         return ""
     kind = type(value).__name__
     if "bool" in kind:
