@@ -83,7 +83,7 @@ def base_spans(text: str) -> list[tuple[int, str, int]]:
 def dense_windows(word: str, window: int, floor: float) -> list[tuple[int, int]]:
     """Unions of the windows whose Shannon entropy is over ``floor`` bits a character, by incremental counts."""
     counts: dict[str, int] = {}
-    log = [0.0, *(c * math.log2(c) for c in range(1, window + 1))]
+    log = [0.0, *(c * math.log2(c) for c in range(1, window + 2))]  # a count passes the window by one before the oldest goes
     total, most, out = 0.0, window * (math.log2(window) - floor), []
     for k, c in enumerate(word):
         n = counts.get(c, 0)

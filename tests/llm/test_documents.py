@@ -229,6 +229,7 @@ def test_secrets(spark):
         assert [r.n_assign, r.n_access, r.n_hex] == [sum(k == i for _, k, _ in spans) for i in range(3)]
     found = {r.doc_id - len(EDGES): r.spans for r in rows}
     assert found[4].count("entropy") == 2 and "entropy" not in found[5]
+    assert secrets.dense_windows("a" * 40 + "1", 20, 3.7) == []
     clean = {r.doc_id: r.text for r in secrets.redact(documents(spark, texts)).collect()}
     assert clean[len(EDGES)] == "[REDACTED]\" and passwd:abc" and clean[0] is None and clean[6] == EDGES[6]
     assert secrets.redact(documents(spark, [])).columns == documents(spark, []).columns
