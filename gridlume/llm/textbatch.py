@@ -37,7 +37,7 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _POWERS["up"], _POWERS["down"]
 
 
-def slices(column: pa.Array, limit: int = 1 << 20) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+def slices(column: pa.Array, limit: int = 1 << 19) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(first row, bytes, offsets) of consecutive rows of about ``limit`` bytes; a longer text stands alone; null is empty."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
