@@ -195,3 +195,16 @@ def test_empty_pipeline_stages(spark):
     empty = spark.read.parquet(f"{SMALL}/documents.parquet").limit(0)
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, empty, SMALL).count() == 0
+
+
+def test_stages_take_nulls_repeats_and_long_texts(spark):
+    ddl = "doc_id long, text string, lang string, source string, n_chars long, copies int, spans string"
+    rows = [(1, "a b c d e f", "en", "s", 1), (1, "a b c d e f", "en", "s", 1), (2, None, None, None, None), (None, "x y", None, "s", 2), (None, None, None, None, None), (3, "", "en", None, 0), (4, "long " * 40_000, "en", "s", 5), (5, "token = abcdefgh12", "en", "t", 6)]
+    docs = spark.createDataFrame([(*r, 9, "clash") for r in rows], ddl)
+    kept = {name: stage(spark, docs, SMALL) for name, stage in corpus_pipeline.STAGES}
+    counts = {name: df.count() for name, df in kept.items()}
+    assert counts["toxicity"] == counts["secret scans"] == counts["byte-level BPE encoding and decoding"] == len(rows)
+    assert counts["n-gram Jaccard join"] == len(rows) - 1
+    assert {r.text for r in kept["secret scans"].where("doc_id = 5").collect()} == {"[REDACTED]"}
+    mixed = kept["mixing sources to target weights"]
+    assert mixed.columns == list(corpus_pipeline.COLUMNS) and mixed.groupBy("doc_id", "text").count().where("count > 4").count() == 0
