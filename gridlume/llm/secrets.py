@@ -12,7 +12,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .textbatch import LOWER, slices
+from .textbatch import LOWER, _edges, slices
 
 #: Kinds in the order that breaks ties of a start.
 KINDS = ("assign", "access", "hex", "entropy")
@@ -53,10 +53,10 @@ _HEX_BYTES = _members(b"0123456789abcdef")
 _WORD_BYTES = _members(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-")
 
 
-def _long_runs(inside: np.ndarray, least: int) -> np.ndarray:
-    """Starts of the runs of at least ``least``."""
-    edges = np.flatnonzero(np.diff(inside, prepend=False, append=False))
-    return edges[::2][edges[1::2] - edges[::2] >= least]
+def _long_runs(data: np.ndarray, offsets: np.ndarray, members: np.ndarray, least: int) -> np.ndarray:
+    """Starts of the runs of at least ``least`` members, within rows."""
+    starts, ends = _edges(data, offsets, ~members)
+    return starts[ends - starts >= least]
 
 
 def _finds(data: bytes, word: bytes) -> Iterator[int]:
@@ -69,7 +69,7 @@ def _finds(data: bytes, word: bytes) -> Iterator[int]:
 def suspects(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """Which rows can hold a span at all, from the bytes of a slice."""
     raw, low = data.tobytes(), LOWER[data].tobytes()
-    places = [_long_runs(_HEX_BYTES[data], HEX_LEAST), _long_runs(_WORD_BYTES[data], WINDOW)]
+    places = [_long_runs(data, offsets, _HEX_BYTES, HEX_LEAST), _long_runs(data, offsets, _WORD_BYTES, WINDOW)]
     places += [np.fromiter(_finds(low, w), np.int64) for w in KEYWORDS] + [np.fromiter(_finds(raw, b"AKIA"), np.int64)]
     return np.unique(np.searchsorted(offsets, np.concatenate(places), "right") - 1)
 
