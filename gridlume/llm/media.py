@@ -26,7 +26,7 @@ TURNS = 32  #: directions that tests are turned to
 BITS = 256
 TABLES, TABLE_BITS = 10, 25
 MAX_DISTANCE = 40  #: bits that near descriptors may differ in
-HOT = 32  #: features of a bucket that all meet; larger ones meet their first and next image
+BLOCK = 32  #: features of a bucket that meet in one group; larger buckets are dealt out as pairs of blocks
 PLACE, ANGLES = 8.0, 12  #: pixels and parts of a turn within which votes agree
 CONSENSUS = 4  #: agreeing features that make a copy
 
@@ -114,26 +114,29 @@ def _table_key(t: int):
 def find_copies(images: DataFrame, id_col: str = "image_id", width_col: str = "width", pixels_col: str = "pixels") -> DataFrame:
     """``id_col``, ``n_features``, ``class_id`` (smallest id among the copies, its own included), one row per image.
 
-    Images with the same id are one. Without features an image is in a class of its own. Buckets of
-    up to HOT features compare all of them; in larger ones, which hold copies of one image or a
-    pattern that many share, each is compared with the bucket's first image and the next one, so
-    that pairs grow with the rows and copies still reach their class. Null ids take no part.
+    Images with the same id are one. Without features an image is in a class of its own. Every two
+    features of a bucket are compared; a large bucket is dealt out as pairs of blocks, so that no
+    task has all of it. Images with the same features (by 128 bits of hash), if these are enough for
+    a copy, are compared as one, so that exact copies don't meet each other. Null ids take no part.
     """
     spark = images.sparkSession
     scratch = Scratch(spark, "media")
     images = images.where(F.col(id_col).isNotNull())
     found = scratch.save(features(images, id_col, width_col, pixels_col), "features")
     body = F.struct("id", "x", "y", "scale", "angle", "d0", "d1", "d2", "d3")
-    keyed = found.select(body.alias("f"), F.explode(F.array(*(_table_key(t) for t in range(TABLES)))).alias("key"))
+    whole = ("x", "y", "scale", "angle", "d0", "d1", "d2", "d3")
+    marks = found.select("id", *whole).distinct().select("id", F.struct("x", "y", "scale").alias("at"), *(F.xxhash64(F.lit(salt), *whole).alias(f"h{salt}") for salt in (0, 1)))
+    spots = marks.groupBy("id", "at").agg(*(F.bit_xor(f"h{salt}").alias(f"h{salt}") for salt in (0, 1)))
+    alike = spots.groupBy("id").agg(F.count(F.lit(1)).alias("places"), *(F.bit_xor(f"h{salt}").alias(f"h{salt}") for salt in (0, 1))).where(F.col("places") >= CONSENSUS)
+    twins = scratch.save(alike.select(F.min("id").over(Window.partitionBy("places", "h0", "h1")).alias("a"), F.col("id").alias("b")).where("a < b"), "twins")
+    keyed = found.join(twins.select(F.col("b").alias("id")), "id", "left_anti").select(body.alias("f"), F.explode(F.array(*(_table_key(t) for t in range(TABLES)))).alias("key"))
     bucket = Window.partitionBy("key")
     order = bucket.orderBy("f.id", "f.x", "f.y", "f.scale")
-    met = keyed.withColumns({"n": F.count(F.lit(1)).over(bucket), "place": F.row_number().over(order), "first": F.first("f").over(order), "next": F.lead("f").over(order)}).where("n > 1")
-    met = scratch.save(met, "met")
-    small = met.where(F.col("n") <= HOT)
-    left, right = small.select("key", F.col("f").alias("a"), "place"), small.select("key", F.col("f").alias("b"), F.col("place").alias("place_b"))
-    pairs = left.join(right, "key").where("place < place_b").select("a", "b")
-    hot = met.where(F.col("n") > HOT)
-    pairs = pairs.unionByName(hot.select(F.col("first").alias("a"), F.col("f").alias("b"))).unionByName(hot.where("next IS NOT NULL").select(F.col("f").alias("a"), F.col("next").alias("b")))
+    met = keyed.withColumns({"n": F.count(F.lit(1)).over(bucket), "place": F.row_number().over(order) - 1}).where("n > 1")
+    met = scratch.save(met.withColumns({"block": F.floor(F.col("place") / BLOCK).cast("int"), "last": F.floor((F.col("n") - 1) / BLOCK).cast("int")}), "met")
+    left = met.select("key", F.col("f").alias("a"), "place", F.col("block").alias("i"), F.explode(F.sequence("block", "last")).alias("j"))
+    right = met.select("key", F.col("f").alias("b"), F.col("place").alias("place_b"), F.col("block").alias("j"), F.explode(F.sequence(F.lit(0), "block")).alias("i"))
+    pairs = left.join(right, ["key", "i", "j"]).where("place < place_b").select("a", "b")
     distance = sum((F.bit_count(F.col(f"a.d{w}").bitwiseXOR(F.col(f"b.d{w}"))) for w in range(4)), F.lit(0))
     near = pairs.where((F.col("a.id") < F.col("b.id")) & (distance <= MAX_DISTANCE)).distinct()
     turn = F.pmod(F.col("b.angle") - F.col("a.angle"), F.lit(1.0))
@@ -146,7 +149,7 @@ def find_copies(images: DataFrame, id_col: str = "image_id", width_col: str = "w
     grids = F.explode(F.array(*(F.struct(F.lit(2 * i + j).alias("grid"), cell(dx, i).alias("cx"), cell(dy, j).alias("cy")) for i in (0, 1) for j in (0, 1))))
     votes = near.select(F.col("a.id").alias("a"), F.col("b.id").alias("b"), angle.alias("angle"), F.log2(ratio).cast("int").alias("ratio"), F.struct("a.x", "a.y", "a.scale").alias("at"), grids.alias("g"))
     agreed = votes.groupBy("a", "b", "angle", "ratio", "g").agg(F.count_distinct("at").alias("n")).where(F.col("n") >= CONSENSUS)
-    links = scratch.save(agreed.groupBy("a", "b").agg(F.max("n").alias("agreeing")), "links")
+    links = scratch.save(agreed.select("a", "b").distinct().unionByName(twins), "links")
     labels = connected_components(scratch, links, "labels")
     counts = found.groupBy("id").agg(F.count(F.lit(1)).alias("n_features"))
     classes = images.select(F.col(id_col).alias("id")).distinct().join(counts, "id", "left").join(labels.withColumnRenamed("node", "id"), "id", "left")

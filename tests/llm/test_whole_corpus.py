@@ -1,9 +1,10 @@
 import random
 import re
 
+import numpy as np
 import pyarrow as pa
 
-from gridlume.llm import secrets
+from gridlume.llm import media, secrets
 from gridlume.llm.textbatch import slices
 
 
@@ -21,3 +22,30 @@ def test_secrets_of_bare_keys_are_scanned(spark):
     df = spark.createDataFrame(list(enumerate(keys)), "doc_id long, text string").coalesce(1)
     assert {r.doc_id for r in secrets.scan(df).where("size(spans) > 0").collect()} == set(range(20))
     assert {r.text for r in secrets.redact(df).collect()} == {"[REDACTED]"}
+
+
+def test_media_of_families_in_one_bucket(spark, monkeypatch):
+    """The features of two interleaved families share one bit table's bits and, within a family, hardly any other."""
+    r = np.random.default_rng(3)
+    rows, shared = [], r.integers(0, 2, media.TABLE_BITS)
+    own = r.integers(0, 2, (2, 5, media.BITS))
+    own[:, :, : media.TABLE_BITS] = shared
+    for k in range(80):
+        for f in range(5):
+            bits = own[k % 2, f].copy()
+            for t in range(1, media.TABLES):
+                bits[t * media.TABLE_BITS + r.choice(media.TABLE_BITS, 2, replace=False)] ^= 1
+            words = np.packbits(bits, bitorder="little").view("<i8").tolist()
+            rows.append((k, 30.0 * f + 10, 20.0 * f + 10, 1.0, 0.0, *words))
+    crafted = spark.createDataFrame(rows, "id long, x double, y double, scale double, angle double, d0 long, d1 long, d2 long, d3 long")
+    monkeypatch.setattr(media, "features", lambda *_: crafted)
+    found = media.find_copies(spark.range(80).withColumnRenamed("id", "image_id")).collect()
+    assert all(r.class_id == r.image_id % 2 for r in found) and len(found) == 80
+
+
+def test_media_of_exact_copies_meet_once(spark):
+    r = np.random.default_rng(2)
+    image = r.normal(size=(8, 8)).repeat(8, 0).repeat(8, 1)
+    rows = [(k, 64, [float(v) for v in image.ravel()]) for k in range(300)] + [(300, 56, [float(v) for v in image[:, 8:].ravel()])]
+    found = media.find_copies(spark.createDataFrame(rows, "image_id long, width int, pixels array<float>").repartition(8)).collect()
+    assert len(found) == 301 and {r.class_id for r in found} == {0}
