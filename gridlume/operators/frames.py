@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+RANGES = 4096  #: of places, each ordered apart
+
 
 def in_scope(selection: str, every_n: int = 1, start: int | None = None, end: int | None = None, picture: str = "picture_type", key: str = "key_frame", index: str = "frame_index") -> Column:
     """``all``, ``every_n`` (counted from the start) or ``decoded_i_picture`` (the key flag where a frame has no picture type), within start to end, both included."""
@@ -169,9 +171,19 @@ def matched(decoded: DataFrame, index: DataFrame) -> DataFrame:
 
 
 def ordered_subset_problem(selected: DataFrame, frames: DataFrame) -> DataFrame:
-    """(place, problem) of selected frames that aren't strictly ascending or don't exist; ``selected`` is (place, frame_index)."""
-    order = Window.orderBy("place")
-    rows = selected.withColumn("_before", F.lag("frame_index").over(order)).join(frames.select("frame_index", F.lit(True).alias("_exists")), "frame_index", "left")
+    """(place, problem) of selected frames that aren't strictly ascending or don't exist; ``selected`` is (place, frame_index).
+
+    Places are dealt into RANGES equal ranges, so that no task orders all; a range's first frame
+    follows the last one of the ranges before it.
+    """
+    ends = selected.agg(F.min("place").cast("double").alias("_low"), F.max("place").cast("double").alias("_high"))
+    part = F.floor((F.col("place").cast("double") - F.col("_low")) / (F.col("_high") - F.col("_low") + 1) * RANGES)
+    rows = selected.crossJoin(F.broadcast(ends)).select("place", "frame_index", F.coalesce(part, F.lit(-1)).alias("_range"))
+    lasts = rows.groupBy("_range").agg(F.max(F.struct("place", "frame_index"))["frame_index"].alias("_last"))
+    lasts = lasts.select("_range", F.lag("_last").over(Window.orderBy("_range")).alias("_carried"))
+    order = Window.partitionBy("_range").orderBy("place", "frame_index")
+    before = F.when(F.row_number().over(order) == 1, F.col("_carried")).otherwise(F.lag("frame_index").over(order))
+    rows = rows.join(F.broadcast(lasts), "_range").withColumn("_before", before).join(frames.select("frame_index", F.lit(True).alias("_exists")), "frame_index", "left")
     problem = F.when(F.col("_exists").isNull(), "missing").when(F.col("frame_index") <= F.col("_before"), "not_ascending")
     return rows.select("place", problem.alias("problem")).where("problem IS NOT NULL")
 

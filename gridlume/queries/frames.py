@@ -80,6 +80,12 @@ def ordered_subset(spark: SparkSession, sf_dir: str) -> DataFrame:
     return frames.ordered_subset_problem(orders, table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("frame_index")))
 
 
+def ordered_subset_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As ordered_subset, of all orders."""
+    orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("place"), ((F.col("o_orderkey") * 37) % 5000).alias("frame_index"))
+    return frames.ordered_subset_problem(orders, table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("frame_index")))
+
+
 def _fusion_input(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Suppliers are recipes with a run each, parts are frames, discounts are errors."""
     lines = table(spark, sf_dir, "lineitem").groupBy(F.col("l_suppkey").alias("run_id"), F.col("l_partkey").alias("frame_index")).agg(F.min("l_discount").alias("error"))
@@ -149,7 +155,7 @@ QUERIES = {
     "scan_all": _scope("all", 1, 3, 40),
     "scan_every_n": _scope("every_n", 4, 1, None),
     "scan_i_picture": _scope("decoded_i_picture"),
-    **{f.__name__: f for f in (coverage, presentation_order, keyframe_anchor, preceding_rap, keyframe_neighbours, nearest_frame, frame_window, decode_runs, monotonic, seek_method, identity_match, ordered_subset)},
+    **{f.__name__: f for f in (coverage, presentation_order, keyframe_anchor, preceding_rap, keyframe_neighbours, nearest_frame, frame_window, decode_runs, monotonic, seek_method, identity_match, ordered_subset, ordered_subset_all)},
     **{f.__name__: f for f in (fusion_min_error, fusion_statistics, fusion_wins, fusion_csv, fusion_eligibility, fusion_compatibility)},
 }
 
@@ -187,6 +193,8 @@ ORACLES = {
  SELECT decoded_id, frame_index, CAST(score AS INTEGER) AS score FROM (SELECT *, row_number() OVER (PARTITION BY decoded_id ORDER BY score DESC, frame_index) AS r FROM p WHERE score > 0) WHERE r = 1""",
     "ordered_subset": """SELECT place, problem FROM (SELECT place, CASE WHEN c_custkey IS NULL THEN 'missing' WHEN frame_index <= b THEN 'not_ascending' END AS problem
  FROM (SELECT *, lag(frame_index) OVER (ORDER BY place) AS b FROM (SELECT o_orderkey AS place, (o_orderkey * 37) % 5000 AS frame_index FROM orders WHERE o_orderkey <= 200)) LEFT JOIN customer ON c_custkey = frame_index) WHERE problem IS NOT NULL""",
+    "ordered_subset_all": """SELECT place, problem FROM (SELECT place, CASE WHEN c_custkey IS NULL THEN 'missing' WHEN frame_index <= b THEN 'not_ascending' END AS problem
+ FROM (SELECT *, lag(frame_index) OVER (ORDER BY place) AS b FROM (SELECT o_orderkey AS place, (o_orderkey * 37) % 5000 AS frame_index FROM orders)) LEFT JOIN customer ON c_custkey = frame_index) WHERE problem IS NOT NULL""",
     "fusion_min_error": _FUSED,
     "fusion_statistics": f"SELECT count(*) AS total_frames, count(*) FILTER (candidate_count = 1) AS single_candidate_frames, count(*) FILTER (candidate_count <> 1) AS multi_candidate_frames, count(*) FILTER (tied) AS tied_frames FROM ({_FUSED})",
     "fusion_wins": f"SELECT s_suppkey AS recipe_id, coalesce(w, 0) AS wins FROM supplier LEFT JOIN (SELECT winner_recipe_id, count(*) AS w FROM ({_FUSED}) GROUP BY 1) ON winner_recipe_id = s_suppkey",
