@@ -157,17 +157,17 @@ def identity_score(decoded: str, indexed: str) -> Column:
     return F.when(both & (shown == 0), 0).otherwise(shown + rest)
 
 
-def matched(decoded: DataFrame, index: DataFrame) -> DataFrame:
-    """(decoded_id, frame_index, score): each decoded frame's best indexed one, the earliest of equals.
+def matched(decoded: DataFrame, index: DataFrame, stream: tuple[str, ...] = ()) -> DataFrame:
+    """(stream, decoded_id, frame_index, score): each decoded frame's best indexed one of its stream, the earliest of equals.
 
     Frames meet on equal times instead of all with all; one that shares no time matches none.
     """
     times = lambda df: df.withColumn("_key", F.explode(F.array_distinct(F.array_compact(F.array(*(F.concat(F.lit(k), F.col(c).cast("string")) for k, c in (("p", "pts"), ("p", "best_effort"), ("d", "dts"))))))))
-    left = times(decoded).select("_key", "decoded_id", F.struct("pts", "best_effort", "dts", "duration").alias("d"))
-    right = times(index).select("_key", "frame_index", F.struct("pts", "best_effort", "dts", "duration").alias("x"))
-    pairs = left.join(right, "_key").select("decoded_id", "frame_index", identity_score("d", "x").alias("score")).distinct().where("score > 0")
-    best = pairs.groupBy("decoded_id").agg(F.min(F.struct((-F.col("score")).alias("s"), "frame_index")).alias("b"))
-    return best.select("decoded_id", "b.frame_index", (-F.col("b.s")).alias("score"))
+    left = times(decoded).select(*stream, "_key", "decoded_id", F.struct("pts", "best_effort", "dts", "duration").alias("d"))
+    right = times(index).select(*stream, "_key", "frame_index", F.struct("pts", "best_effort", "dts", "duration").alias("x"))
+    pairs = left.join(right, [*stream, "_key"]).select(*stream, "decoded_id", "frame_index", identity_score("d", "x").alias("score")).distinct().where("score > 0")
+    best = pairs.groupBy(*stream, "decoded_id").agg(F.min(F.struct((-F.col("score")).alias("s"), "frame_index")).alias("b"))
+    return best.select(*stream, "decoded_id", "b.frame_index", (-F.col("b.s")).alias("score"))
 
 
 def ordered_subset_problem(selected: DataFrame, frames: DataFrame) -> DataFrame:
@@ -188,7 +188,7 @@ def ordered_subset_problem(selected: DataFrame, frames: DataFrame) -> DataFrame:
     return rows.select("place", problem.alias("problem")).where("problem IS NOT NULL")
 
 
-def presentation_mismatches(decoded: DataFrame, index: DataFrame) -> DataFrame:
-    """(frame_index) of decoded frames whose pts, where both are known, isn't the index's."""
-    pairs = decoded.select("frame_index", F.col("pts").alias("_decoded")).join(index.select("frame_index", "pts"), "frame_index")
-    return pairs.where("_decoded <> pts").select("frame_index")
+def presentation_mismatches(decoded: DataFrame, index: DataFrame, stream: tuple[str, ...] = ()) -> DataFrame:
+    """(stream, frame_index) of decoded frames whose pts, where both are known, isn't the index's."""
+    pairs = decoded.select(*stream, "frame_index", F.col("pts").alias("_decoded")).join(index.select(*stream, "frame_index", "pts"), [*stream, "frame_index"])
+    return pairs.where("_decoded <> pts").select(*stream, "frame_index")

@@ -75,6 +75,13 @@ def identity_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     return frames.matched(rows.select(F.col("event_id").alias("decoded_id"), "pts", "best_effort", "dts", "duration"), index)
 
 
+def identity_match_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As identity_match, of all streams."""
+    rows = stream(spark, sf_dir).withColumn("duration", F.lit(1001).cast("long"))
+    index = frames.presented(rows, BY).select("stream", "frame_index", (F.col("pts") + F.when(F.col("decode_index") % 5 == 0, 1).otherwise(0)).alias("pts"), "best_effort", "dts", "duration")
+    return frames.matched(rows.select("stream", F.col("event_id").alias("decoded_id"), "pts", "best_effort", "dts", "duration"), index, BY)
+
+
 def ordered_subset(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = table(spark, sf_dir, "orders").select((F.col("o_orderkey")).alias("place"), ((F.col("o_orderkey") * 37) % 5000).alias("frame_index")).where("place <= 200")
     return frames.ordered_subset_problem(orders, table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("frame_index")))
@@ -155,7 +162,7 @@ QUERIES = {
     "scan_all": _scope("all", 1, 3, 40),
     "scan_every_n": _scope("every_n", 4, 1, None),
     "scan_i_picture": _scope("decoded_i_picture"),
-    **{f.__name__: f for f in (coverage, presentation_order, keyframe_anchor, preceding_rap, keyframe_neighbours, nearest_frame, frame_window, decode_runs, monotonic, seek_method, identity_match, ordered_subset, ordered_subset_all)},
+    **{f.__name__: f for f in (coverage, presentation_order, keyframe_anchor, preceding_rap, keyframe_neighbours, nearest_frame, frame_window, decode_runs, monotonic, seek_method, identity_match, identity_match_all, ordered_subset, ordered_subset_all)},
     **{f.__name__: f for f in (fusion_min_error, fusion_statistics, fusion_wins, fusion_csv, fusion_eligibility, fusion_compatibility)},
 }
 
@@ -191,6 +198,10 @@ ORACLES = {
  p AS (SELECT decoded_id, frame_index, CASE WHEN d.pts IS NOT NULL AND i.pts IS NOT NULL AND d.pts <> i.pts THEN 0 ELSE CASE WHEN d.pts = i.pts THEN 16 ELSE 0 END + CASE WHEN d.dts = i.dts THEN 6 ELSE 0 END + 1 END AS score
  FROM d JOIN i ON d.pts = i.pts OR d.dts = i.dts)
  SELECT decoded_id, frame_index, CAST(score AS INTEGER) AS score FROM (SELECT *, row_number() OVER (PARTITION BY decoded_id ORDER BY score DESC, frame_index) AS r FROM p WHERE score > 0) WHERE r = 1""",
+    "identity_match_all": f"""WITH i AS (SELECT stream, frame_index, pts + CASE WHEN decode_index % 5 = 0 THEN 1 ELSE 0 END AS pts, dts FROM {_P}), d AS (SELECT stream, event_id AS decoded_id, pts, dts FROM ({STREAM})),
+ p AS (SELECT d.stream, decoded_id, frame_index, CASE WHEN d.pts IS NOT NULL AND i.pts IS NOT NULL AND d.pts <> i.pts THEN 0 ELSE CASE WHEN d.pts = i.pts THEN 16 ELSE 0 END + CASE WHEN d.dts = i.dts THEN 6 ELSE 0 END + 1 END AS score
+ FROM d JOIN i ON d.stream = i.stream AND (d.pts = i.pts OR d.dts = i.dts))
+ SELECT stream, decoded_id, frame_index, CAST(score AS INTEGER) AS score FROM (SELECT *, row_number() OVER (PARTITION BY stream, decoded_id ORDER BY score DESC, frame_index) AS r FROM p WHERE score > 0) WHERE r = 1""",
     "ordered_subset": """SELECT place, problem FROM (SELECT place, CASE WHEN c_custkey IS NULL THEN 'missing' WHEN frame_index <= b THEN 'not_ascending' END AS problem
  FROM (SELECT *, lag(frame_index) OVER (ORDER BY place) AS b FROM (SELECT o_orderkey AS place, (o_orderkey * 37) % 5000 AS frame_index FROM orders WHERE o_orderkey <= 200)) LEFT JOIN customer ON c_custkey = frame_index) WHERE problem IS NOT NULL""",
     "ordered_subset_all": """SELECT place, problem FROM (SELECT place, CASE WHEN c_custkey IS NULL THEN 'missing' WHEN frame_index <= b THEN 'not_ascending' END AS problem

@@ -14,7 +14,7 @@ from ..operators import catalog, frames, scans
 from ..plans import axis, store
 from ..sources import files, project
 from ..streaming import verify
-from .common import STREAM, stream, table
+from .common import PRESENTED, STREAM, stream, table
 from .scans import LINES, METRIC, image_frames
 
 
@@ -179,6 +179,12 @@ def desynchronised(spark: SparkSession, sf_dir: str) -> DataFrame:
     return frames.presentation_mismatches(index.withColumn("pts", F.when(F.col("frame_index") % 4 == 0, F.col("pts") + 1).otherwise(F.col("pts"))), index)
 
 
+def desynchronised_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As desynchronised, of all streams."""
+    index = frames.presented(stream(spark, sf_dir), ("stream",)).select("stream", "frame_index", "pts")
+    return frames.presentation_mismatches(index.withColumn("pts", F.when(F.col("frame_index") % 4 == 0, F.col("pts") + 1).otherwise(F.col("pts"))), index, ("stream",))
+
+
 def forward_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every vector, 64 native samples, enlarged to 96 by bilinear taps, as joins and sums."""
     r = axis.Request(96, 64, 64.0, 0.0, "bilinear")
@@ -236,7 +242,7 @@ def streamed_verification(spark: SparkSession, sf_dir: str) -> DataFrame:
 _ALL = (
     kernel_run_planning, verify_run_planning, materialised_runs, run_filters, numbered_options, sample_selection, next_sample_order, still_samples, default_streams, request_validation,
     geometry_validation, scan_selection, migrated_geometry, backend_choice, run_json_export, source_records, queue_times, stored_scopes, scope_validation, payload_application,
-    height_defaults, missing_bases, kernel_wire, desynchronised, forward_resample, plan_reuse, plan_grid_hash, streamed_sequence, streamed_verification,
+    height_defaults, missing_bases, kernel_wire, desynchronised, desynchronised_all, forward_resample, plan_reuse, plan_grid_hash, streamed_sequence, streamed_verification,
 )
 QUERIES = {f.__name__: f for f in _ALL}
 
@@ -274,6 +280,7 @@ ORACLES = {
  CASE id WHEN 'bicubic' THEN '{"id":"bicubic","b":0.25,"c":0.5}' WHEN 'lanczos' THEN '{"id":"lanczos","taps":' || p_size || '}' ELSE '{"id":"bilinear"}' END AS echo FROM (SELECT *, CASE p_size % 3 WHEN 0 THEN 'lanczos' WHEN 1 THEN 'bicubic' ELSE 'bilinear' END AS id FROM part)""",
     "desynchronised": f"""SELECT frame_index FROM (SELECT s.*, CASE WHEN t IS NULL THEN decode_index ELSE slot END AS frame_index FROM (SELECT *, row_number() OVER (PARTITION BY t IS NULL ORDER BY t, decode_index) AS rnk FROM (SELECT *, coalesce(pts, best_effort, dts) AS t FROM ({STREAM}) WHERE stream = 2)) s
  LEFT JOIN (SELECT decode_index AS slot, row_number() OVER (ORDER BY decode_index) AS turn FROM ({STREAM}) WHERE stream = 2 AND coalesce(pts, best_effort, dts) IS NOT NULL) k ON s.t IS NOT NULL AND s.rnk = k.turn) WHERE frame_index % 4 = 0 AND pts IS NOT NULL""",
+    "desynchronised_all": f"SELECT stream, frame_index FROM ({PRESENTED}) WHERE frame_index % 4 = 0 AND pts IS NOT NULL",
     "forward_resample": """WITH tap AS (SELECT i, p, CASE WHEN p - 1 < 0 THEN floor(p - 1 + 0.5) ELSE floor(p - 1 + 0.49999999999999994::DOUBLE) END + 0.5 + t AS c FROM (SELECT i, t, (i + 0.5::DOUBLE) / 1.5::DOUBLE AS p FROM range(96) r(i), range(2) u(t))),
  w AS (SELECT CAST(i AS INTEGER) AS i, CAST(floor(CASE WHEN c < 0 THEN -c WHEN c >= 64 THEN least(128 - c, 63.5) ELSE c END) AS INTEGER) AS x, greatest(1 - abs(c - p), 0) AS k, sum(greatest(1 - abs(c - p), 0)) OVER (PARTITION BY i) AS n FROM tap),
  v AS (SELECT label, unnest(range(64)) AS x, unnest(embedding) AS v FROM embeddings) SELECT label, i, round(sum(k / n * v), 5) AS total FROM v JOIN w USING (x) GROUP BY label, i""",

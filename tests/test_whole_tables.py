@@ -1,3 +1,6 @@
+import pytest
+from pyspark.sql import functions as F
+
 from gridlume.operators import frames
 from gridlume.queries import ORACLES, QUERIES
 from oracle import DATA, assert_same, connect
@@ -21,3 +24,20 @@ def test_ordered_subset_of_uneven_places(spark):
 def test_ordered_subset_of_nothing(spark):
     empty = spark.createDataFrame([], "place long, frame_index long")
     assert frames.ordered_subset_problem(empty, empty.select("frame_index")).count() == 0
+
+
+@pytest.mark.parametrize("name", ["identity_match_all", "desynchronised_all"])
+def test_all_streams_are_matched(spark, name):
+    found = QUERIES[name](spark, DATA)
+    assert found.select("stream").distinct().count() > 10
+    assert_same(found, connect(), ORACLES[name])
+
+
+def test_streams_do_not_meet(spark):
+    ddl = "stream long, {} long, pts long, best_effort long, dts long, duration long"
+    decoded = spark.createDataFrame([(1, 10, 5, None, 5, 1), (2, 20, 7, None, 7, 1), (3, 30, 5, None, 5, 1)], ddl.format("decoded_id"))
+    index = spark.createDataFrame([(1, 0, 5, None, 5, 1), (2, 0, 5, None, 5, 1), (2, 1, 7, None, 7, 1)], ddl.format("frame_index"))
+    found = frames.matched(decoded, index, ("stream",)).collect()
+    assert {(r.stream, r.decoded_id, r.frame_index, r.score) for r in found} == {(1, 10, 0, 23), (2, 20, 1, 23)}
+    shown = decoded.withColumnRenamed("decoded_id", "frame_index").withColumn("frame_index", F.lit(0).cast("long"))
+    assert [tuple(r) for r in frames.presentation_mismatches(shown, index, ("stream",)).collect()] == [(2, 0)]
