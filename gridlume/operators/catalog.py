@@ -271,6 +271,26 @@ def sorted_kernel_rows(rows: DataFrame) -> DataFrame:
     return rows.withColumn("_rank", rank).orderBy("_rank", "kernel_id", F.col("b").asc_nulls_first(), F.col("c").asc_nulls_first(), F.col("taps").asc_nulls_first(), "sample_label", "run_id").drop("_rank")
 
 
+def numbered_kernel_rows(rows: DataFrame) -> DataFrame:
+    """Adds ``row_number``, from 1, in the order of ``sorted_kernel_rows``.
+
+    Kernels, a kernel's samples and the runs of both are counted apart and added up, so that no
+    task orders all rows. A struct sorts by its fields, nulls first.
+    """
+    from ..functions.kernels import family_rank
+
+    rank = F.when(family_rank(F.col("kernel_id")) < 0, 99).otherwise(family_rank(F.col("kernel_id")))
+    keyed = rows.withColumn("_group", F.struct(F.struct(rank.alias("rank"), "kernel_id", "b", "c", "taps").alias("kernel"), "sample_label"))
+    groups = keyed.groupBy("_group").agg(F.count(F.lit(1)).alias("_n"))
+    before = lambda w, n: F.coalesce(F.sum(n).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    kernels = groups.groupBy(F.col("_group.kernel").alias("_kernel")).agg(F.sum("_n").alias("_all"))
+    kernels = kernels.select("_kernel", before(Window.orderBy("_kernel"), "_all").alias("_kernels"))
+    groups = groups.withColumn("_samples", before(Window.partitionBy("_group.kernel").orderBy("_group.sample_label"), "_n"))
+    starts = groups.join(kernels, F.col("_group.kernel") == F.col("_kernel")).select("_group", (F.col("_kernels") + F.col("_samples")).alias("_start"))
+    runs = F.row_number().over(Window.partitionBy("_group").orderBy("run_id"))
+    return keyed.join(starts, "_group").withColumn("row_number", F.col("_start") + runs).drop("_group", "_start")
+
+
 def exploded_results(runs: DataFrame) -> DataFrame:
     """(run_id, run_type, series_key, x, metric) of runs' result JSON by type; points that aren't finite are left out.
 

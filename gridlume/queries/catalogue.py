@@ -173,9 +173,17 @@ def coverage_wire(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", catalog.wire_coverage(json).alias("c")).where("c IS NOT NULL").select("event_id", "c.selection", "c.eligible", "c.selected")
 
 
+def _kernel_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("run_id"), F.expr("CASE p_size % 3 WHEN 0 THEN 'lanczos' WHEN 1 THEN 'bicubic' ELSE 'zz' END").alias("kernel_id"), F.when(F.col("p_size") % 3 == 1, F.col("p_size") / 10).alias("b"), F.lit(None).cast("double").alias("c"), F.when(F.col("p_size") % 3 == 0, F.col("p_size")).alias("taps"), F.col("p_brand").alias("sample_label"))
+
+
 def kernel_row_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("run_id"), F.expr("CASE p_size % 3 WHEN 0 THEN 'lanczos' WHEN 1 THEN 'bicubic' ELSE 'zz' END").alias("kernel_id"), F.when(F.col("p_size") % 3 == 1, F.col("p_size") / 10).alias("b"), F.lit(None).cast("double").alias("c"), F.when(F.col("p_size") % 3 == 0, F.col("p_size")).alias("taps"), F.col("p_brand").alias("sample_label"))
-    return catalog.sorted_kernel_rows(rows).limit(50).select("run_id", "kernel_id", "sample_label")
+    return catalog.sorted_kernel_rows(_kernel_rows(spark, sf_dir)).limit(50).select("run_id", "kernel_id", "sample_label")
+
+
+def kernel_row_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every row with its place in that order."""
+    return catalog.numbered_kernel_rows(_kernel_rows(spark, sf_dir)).select("run_id", "kernel_id", "sample_label", "row_number")
 
 
 def lost_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -210,7 +218,7 @@ def resumed_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (series_table, series_incompatible, ungrouped_runs, group_progress, throughput, terminal_rates, dedup_first_wins, integrity_violations, repeated_reviews, missing_sources, upsert_delete, cascade_delete, ready_sources, asset_work, uncached_assets, duplicate_samples, merged_sources, recent_projects, cache_pruning, samples_by_source, recipe_choice, removable_recipes, readiness, run_planning, group_types, exploded_results, coverage_badges, coverage_wire, kernel_row_order, lost_jobs, cancelled_prefix, event_reduction, sequence_check, display_windows, resumed_stream)
+    for f in (series_table, series_incompatible, ungrouped_runs, group_progress, throughput, terminal_rates, dedup_first_wins, integrity_violations, repeated_reviews, missing_sources, upsert_delete, cascade_delete, ready_sources, asset_work, uncached_assets, duplicate_samples, merged_sources, recent_projects, cache_pruning, samples_by_source, recipe_choice, removable_recipes, readiness, run_planning, group_types, exploded_results, coverage_badges, coverage_wire, kernel_row_order, kernel_row_numbers, lost_jobs, cancelled_prefix, event_reduction, sequence_check, display_windows, resumed_stream)
 }
 
 _JOBS = """SELECT o_orderkey AS job_id, CASE WHEN o_orderkey % 10 <> 0 THEN o_custkey END AS group_id, CASE o_orderstatus WHEN 'F' THEN 'completed' WHEN 'O' THEN CASE WHEN o_orderkey % 4 = 0 THEN 'running' ELSE 'queued' END ELSE 'failed' END AS phase,
@@ -257,6 +265,8 @@ ORACLES = {
     "coverage_wire": "SELECT event_id, CASE event_type WHEN 'view' THEN 'all' ELSE 'every_n' END AS selection, event_id AS eligible, event_id % 5 - 1 AS selected FROM events WHERE event_type IN ('view', 'click') AND event_id % 5 >= 1",
     "kernel_row_order": """SELECT p_partkey AS run_id, CASE p_size % 3 WHEN 0 THEN 'lanczos' WHEN 1 THEN 'bicubic' ELSE 'zz' END AS kernel_id, p_brand AS sample_label FROM part
  ORDER BY CASE p_size % 3 WHEN 0 THEN 2 WHEN 1 THEN 1 ELSE 99 END, CASE WHEN p_size % 3 < 2 THEN p_size END NULLS FIRST, p_brand, p_partkey LIMIT 50""",
+    "kernel_row_numbers": """SELECT p_partkey AS run_id, CASE p_size % 3 WHEN 0 THEN 'lanczos' WHEN 1 THEN 'bicubic' ELSE 'zz' END AS kernel_id, p_brand AS sample_label,
+ row_number() OVER (ORDER BY CASE p_size % 3 WHEN 0 THEN 2 WHEN 1 THEN 1 ELSE 99 END, CASE WHEN p_size % 3 < 2 THEN p_size END NULLS FIRST, p_brand, p_partkey) AS row_number FROM part""",
     "lost_jobs": f"SELECT job_id, 'failed' AS phase, 'worker_exit' AS code FROM ({_JOBS}) WHERE phase IN ('queued', 'running') AND job_id NOT IN (SELECT l_orderkey FROM lineitem WHERE l_quantity > 40)",
     "cancelled_prefix": "SELECT user_id, event_id FROM events e WHERE NOT EXISTS (SELECT 1 FROM events x WHERE x.user_id = e.user_id AND x.event_type = 'error' AND x.event_id <= e.event_id)",
     "event_reduction": """WITH e AS (SELECT *, min(CASE WHEN event_type IN ('purchase', 'error') THEN event_id END) OVER (PARTITION BY user_id) AS stop FROM events)

@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from gridlume.operators import frames
+from gridlume.operators import catalog, frames
 from gridlume.queries import ORACLES, QUERIES
 from oracle import DATA, assert_same, connect
 
@@ -41,3 +41,17 @@ def test_streams_do_not_meet(spark):
     assert {(r.stream, r.decoded_id, r.frame_index, r.score) for r in found} == {(1, 10, 0, 23), (2, 20, 1, 23)}
     shown = decoded.withColumnRenamed("decoded_id", "frame_index").withColumn("frame_index", F.lit(0).cast("long"))
     assert [tuple(r) for r in frames.presentation_mismatches(shown, index, ("stream",)).collect()] == [(2, 0)]
+
+
+def test_every_kernel_row_has_its_number(spark):
+    found = QUERIES["kernel_row_numbers"](spark, DATA)
+    assert found.count() == spark.read.parquet(f"{DATA}/part.parquet").count() > 50
+    assert_same(found, connect(), ORACLES["kernel_row_numbers"])
+
+
+def test_numbers_of_kernel_rows_with_nulls(spark):
+    rows = [(k, ("lanczos", "bicubic", None, "zz")[k % 4], (None, 0.5, 0.25)[k % 3], None, (None, 3)[k % 2], (None, "s", "t")[k // 4 % 3]) for k in range(60)]
+    df = spark.createDataFrame(rows, "run_id long, kernel_id string, b double, c double, taps int, sample_label string").repartition(5)
+    found = catalog.numbered_kernel_rows(df).orderBy("row_number").collect()
+    assert [r.row_number for r in found] == list(range(1, 61))
+    assert [r.run_id for r in found] == [r.run_id for r in catalog.sorted_kernel_rows(df).collect()]
