@@ -168,11 +168,18 @@ def height_scan(frames: DataFrame, grid: DataFrame, kernel: Column, axis_mode: s
 
 
 def kernel_scan(frames: DataFrame, kernel_list: DataFrame, geometry: Column, axis_mode: str = "h_plus_w", metric: dict | None = None) -> DataFrame:
-    """(frame_id, ordinal, kernel, error, problem): one geometry, a list (ordinal, kernel) of at most MOST_KERNELS; repeats are allowed."""
+    """(frame_id, ordinal, kernel, error, problem): one geometry, a list (ordinal, kernel) of at most MOST_KERNELS; repeats are allowed.
+
+    A longer list is an error; a kernel that can't be used has its problem and no error of a frame.
+    """
+    if kernel_list.limit(MOST_KERNELS + 1).count() > MOST_KERNELS:
+        raise ValueError(f"kernels exceed the {MOST_KERNELS}-entry cap")
+    wrong = kernels.problem(F.col("kernel"))
     shapes = frames.select("width", "height").distinct()
-    works = shapes.crossJoin(F.broadcast(kernel_list.where(F.col("ordinal") < MOST_KERNELS))).select("width", "height", "ordinal", geometry.alias("geometry"), "kernel")
-    found = analyse(frames, works.where(kernels.problem(F.col("kernel")).isNull()), axis_mode, metric or DEFAULT_METRIC)
-    return found.join(F.broadcast(kernel_list), "ordinal").select("frame_id", "ordinal", "kernel", "error", "problem")
+    works = shapes.crossJoin(F.broadcast(kernel_list.where(wrong.isNull()))).select("width", "height", "ordinal", geometry.alias("geometry"), "kernel")
+    found = analyse(frames, works, axis_mode, metric or DEFAULT_METRIC).join(F.broadcast(kernel_list), "ordinal").select("frame_id", "ordinal", "kernel", "error", "problem")
+    refused = frames.select("frame_id").crossJoin(F.broadcast(kernel_list.withColumn("problem", wrong).where("problem IS NOT NULL")))
+    return found.unionByName(refused.select("frame_id", "ordinal", "kernel", F.lit(None).cast("double").alias("error"), "problem"))
 
 
 def verify(frames: DataFrame, geometry: Column, kernel: Column, axis_mode: str = "h_plus_w", metric: dict | None = None, strict: bool = False) -> DataFrame:

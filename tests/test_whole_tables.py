@@ -1,7 +1,8 @@
 import pytest
 from pyspark.sql import functions as F
 
-from gridlume.operators import catalog, frames
+from gridlume.functions import geometry
+from gridlume.operators import catalog, frames, scans
 from gridlume.queries import ORACLES, QUERIES
 from oracle import DATA, assert_same, connect
 
@@ -55,3 +56,15 @@ def test_numbers_of_kernel_rows_with_nulls(spark):
     found = catalog.numbered_kernel_rows(df).orderBy("row_number").collect()
     assert [r.row_number for r in found] == list(range(1, 61))
     assert [r.run_id for r in found] == [r.run_id for r in catalog.sorted_kernel_rows(df).collect()]
+
+
+def test_kernel_lists_are_whole(spark):
+    image = [float(v % 7) / 7 for v in range(48 * 48)]
+    images = spark.createDataFrame([(1, 48, 48, image), (2, 48, 48, image)], scans.FRAME_DDL)
+    shape = geometry.plain_geometry(*geometry.active_lengths(F.col("width"), F.col("height"), F.lit("h_only"), F.lit("40")))
+    listed = spark.createDataFrame([(0, ("bilinear", None, None, None)), (1, ("nearest", None, None, None)), (5000, ("lanczos", None, None, 3))], "ordinal int, kernel struct<id: string, b: double, c: double, taps: int>")
+    found = {(r.frame_id, r.ordinal): r for r in scans.kernel_scan(images, listed, shape, "h_only").collect()}
+    assert len(found) == 6 and all(found[f, 1].problem == "unknown_kernel" and found[f, 1].error is None for f in (1, 2))
+    assert all(found[f, k].problem is None and found[f, k].error is not None for f in (1, 2) for k in (0, 5000))
+    with pytest.raises(ValueError, match="4096"):
+        scans.kernel_scan(images, spark.range(4097).select(F.col("id").cast("int").alias("ordinal"), F.struct(F.lit("bilinear").alias("id"), F.lit(None).cast("double").alias("b"), F.lit(None).cast("double").alias("c"), F.lit(None).cast("int").alias("taps")).alias("kernel")), shape, "h_only")
