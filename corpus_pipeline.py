@@ -21,11 +21,14 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the document with the smallest id stays, once; a group without ids keeps its different texts."""
-    keepers = jaccard_components(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("keeper")).distinct()
-    docs = docs.select(*COLUMNS)
-    kept = docs.join(keepers, F.col("doc_id").eqNullSafe(F.col("keeper")), "left_semi")
-    return kept.withColumn("copy", F.when(F.col("doc_id").isNull(), F.col("text"))).dropDuplicates(["doc_id", "copy"]).drop("copy")
+    """Of each group of near copies one row stays: the smallest id, null after all others, then hashes of the text and the other columns.
+
+    Rows are named by all of these, so that rows that share an id, or have none, are told apart.
+    """
+    rest = F.struct(*(c for c in COLUMNS if c not in ("doc_id", "text")))
+    docs = docs.select(*COLUMNS, F.struct(F.col("doc_id").isNull().alias("missing"), "doc_id", F.xxhash64("text").alias("text"), F.xxhash64(F.to_json(rest)).alias("rest")).alias("row_id"))
+    keepers = jaccard_components(docs, "row_id").where("row_id = component_id").select(F.col("row_id").alias("keeper")).distinct()
+    return docs.join(keepers, F.col("row_id") == F.col("keeper"), "left_semi").dropDuplicates(["row_id"]).select(*COLUMNS)
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

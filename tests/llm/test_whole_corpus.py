@@ -4,6 +4,7 @@ import re
 import numpy as np
 import pyarrow as pa
 
+import corpus_pipeline
 from gridlume.llm import media, secrets
 from gridlume.llm.textbatch import slices
 
@@ -49,3 +50,28 @@ def test_media_of_exact_copies_meet_once(spark):
     rows = [(k, 64, [float(v) for v in image.ravel()]) for k in range(300)] + [(300, 56, [float(v) for v in image[:, 8:].ravel()])]
     found = media.find_copies(spark.createDataFrame(rows, "image_id long, width int, pixels array<float>").repartition(8)).collect()
     assert len(found) == 301 and {r.class_id for r in found} == {0}
+
+
+def test_one_row_of_each_group_stays(spark):
+    near = " ".join(f"w{k}" for k in range(60))
+    rows = [
+        (1, "one two three four five six", "en", "s", 1),
+        (1, "another text that shares only its id with the first", "en", "s", 1),
+        (1, "another text that shares only its id with the first", "en", "s", 1),
+        (None, near + " a", "en", "s", 1),
+        (None, near + " b", "en", "s", 1),
+        (None, near + " b", "en", "t", 1),
+        (7, "alpha " + near + " z", "en", "s", 1),
+        (None, "quite another text without any id at all", "en", "s", 1),
+        (None, " ".join(f"v{k}" for k in range(60)) + " a", "en", "s", 1),
+        (None, " ".join(f"v{k}" for k in range(60)) + " b", "en", "s", 1),
+        (8, None, "en", "s", 1),
+        (8, "", "en", "s", 1),
+    ]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    kept = [sorted(map(tuple, corpus_pipeline.keep_one_of_each_group(spark, df, "").collect()), key=str) for df in (docs, docs.repartition(5).orderBy("text"))]
+    assert kept[0] == kept[1]
+    assert [r[1] for r in kept[0] if r[0] == 1] == ["another text that shares only its id with the first", "one two three four five six"]
+    assert len([r for r in kept[0] if r[1] and "w5" in r[1]]) == 1 and any(r[0] == 7 for r in kept[0])
+    assert len([r for r in kept[0] if r[1] and "v5" in r[1]]) == 1
+    assert len(kept[0]) == 7
