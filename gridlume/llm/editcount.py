@@ -3,7 +3,9 @@
 A leaf is a run of whole pre-tokens of about LEAF characters that starts at ASCII white space
 after a visible character, where no pre-token can cross, so leaves encode alone. The tree holds
 sums of characters and tokens. An edit finds its leaves by descent, re-encodes only those plus
-the neighbour whose border it touches, and renews the sums above them.
+the neighbour whose border it touches, and renews the sums above them. Where an insertion needs
+more leaves than the edit's slots, the smallest subtree around them with room deals its leaves out
+anew, their counts kept; the tree doubles when none has.
 """
 
 from __future__ import annotations
@@ -19,7 +21,8 @@ from pyspark.sql import functions as F
 from .bpe import BATCH_BYTES, _encoding
 
 LEAF = 256  #: characters of a leaf, about
-OVERFULL = 4  #: the tree is laid out anew once a leaf is this many times too long
+FILL = 0.75  #: share of a subtree's slots that leaves dealt out anew may take
+RESERVED = ("id", "text", "n_tokens", "n_chars", "tree_chars", "tree_tokens", "n_tokens_before", "encoded_chars")
 _BLANK = " \t\n\r\x0b\x0c"
 
 
@@ -98,23 +101,48 @@ class TokenTree:
         region = "".join(self.leaves[low : high + 1])
         region = region[: place - start] + inserted + region[end - start :]
         new = leaf_texts(region, size)
-        slots = high - low + 1
-        if len(new) > slots:
-            new[slots - 1 :] = ["".join(new[slots - 1 :])]
-        if len(new[-1]) > OVERFULL * size and len(leaf_texts(new[-1], size)) > 1:
-            text = "".join(self.leaves[:low]) + region + "".join(self.leaves[high + 1 :])
-            done = self.encoded
-            self.__dict__ = TokenTree.build(text, encoding, size).__dict__
-            self.encoded += done
+        if len(new) > high - low + 1:
+            self._make_room(low, high, new, encoding)
             return
-        for k, leaf in enumerate(new + [""] * (slots - len(new))):
+        for k, leaf in enumerate(new + [""] * (high - low + 1 - len(new))):
             self._set(low + k, leaf, encoding)
+        self._renew(low, high)
+
+    def _renew(self, low: int, high: int) -> None:
+        """The sums above the leaves low to high."""
         first, last = (self.width + low) // 2, (self.width + high) // 2
         while first:
             for k in range(first, last + 1):
                 self._sum(k)
             first, last = first // 2, last // 2
 
+    def _make_room(self, low: int, high: int, new: list[str], encoding: tiktoken.Encoding) -> None:
+        """Put the ``new`` leaves in place of low to high, which are too few; only they are encoded."""
+        span = 1
+        while True:
+            start = low // span * span
+            if start + span > high:
+                ahead = [k for k in range(start, low) if self.leaves[k]]
+                behind = [k for k in range(high + 1, min(start + span, self.width)) if self.leaves[k]]
+                needed = len(ahead) + len(new) + len(behind)
+                if needed <= FILL * span:
+                    break
+            span *= 2
+        kept = lambda places: [(self.leaves[k], self.tokens[self.width + k]) for k in places]
+        items = kept(ahead) + [(leaf, None) for leaf in new] + kept(behind)
+        if span > self.width:  # the tree's other leaves are all in ``items``
+            self.width = span
+            self.leaves, self.chars, self.tokens = [""] * span, [0] * (2 * span), [0] * (2 * span)
+        for k in range(start, start + span):
+            self.leaves[k], self.chars[self.width + k], self.tokens[self.width + k] = "", 0, 0
+        for n, (leaf, tokens) in enumerate(items):
+            k = start + n * span // needed
+            if tokens is None:
+                self._set(k, leaf, encoding)
+            else:
+                self.leaves[k], self.chars[self.width + k], self.tokens[self.width + k] = leaf, len(leaf), tokens
+        self._renew(start, start + span - 1)
+
 
 _FIELDS = "n_tokens long, n_chars long, tree_chars array<int>, tree_tokens array<int>"
 
@@ -139,10 +167,14 @@ def _schema(kind: pa.DataType, *more: tuple[str, pa.DataType]) -> pa.Schema:
 def count_tokens(docs: DataFrame, ranks: Broadcast, pattern: str, id_col: str = "doc_id", text_col: str = "text", extra: tuple[str, ...] = ()) -> DataFrame:
     """Trees of whole texts: ``id``, ``text``, ``n_tokens``, ``n_chars``, ``tree_chars``, ``tree_tokens`` and the columns named in ``extra``.
 
-    One row per input row. A null text is empty; an empty one has a tree of one empty leaf and no
-    tokens; null and repeated ids stay as they are.
+    One row per input row; the id comes back as ``id``. A null text is empty; an empty one has a
+    tree of one empty leaf and no tokens; null and repeated ids stay as they are. An extra column
+    with a name of the tree's own, or of what ``apply_edits`` adds, comes back as ``extra_`` and
+    that name; columns not named there are ignored.
     """
-    kept = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), *(F.col(c) for c in extra))
+    named = {c: f"extra_{c}" if c in RESERVED else c for c in extra}
+    kept = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), *(F.col(f"`{c}`").alias(n) for c, n in named.items()))
+    extra = tuple(named.values())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoding = _encoding(ranks.value, pattern)
@@ -158,7 +190,7 @@ def count_tokens(docs: DataFrame, ranks: Broadcast, pattern: str, id_col: str =
             yield from _as_batches(rows(), _schema(batch.schema.field(0).type, *more))
 
     kinds = {f.name: f.dataType.simpleString() for f in kept.schema.fields}
-    tail = "".join(f", {c} {kinds[c]}" for c in extra)
+    tail = "".join(f", `{c}` {kinds[c]}" for c in extra)
     return kept.mapInArrow(run, f"id {kinds['id']}, text string, {_FIELDS}{tail}")
 
 

@@ -23,11 +23,12 @@ def op1_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_edit_aware_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document's tree before and after three edits: a replacement, an insertion and a removal."""
+    """Every document's tree before and after edits: a replacement, a short and a long insertion, a removal and insertions at one place."""
     ranks = bpe.load_ranks(spark, public_tokenizers.path(RANKS))
     length = F.coalesce(F.char_length("text"), F.lit(0))
     edit = lambda place, removed, inserted: F.struct(place.cast("long").alias("place"), F.lit(removed).cast("long").alias("removed"), F.lit(inserted).alias("inserted"))
-    edits = F.array(edit(F.floor(length / 4), 5, "it's 42"), edit(F.floor(length / 2), 0, "\n[edited] "), edit(F.floor(3 * length / 4), 9, ""))
+    at_one_place = [edit(F.floor(length / 3), 0, f" remark number {k} of a reviewer who returns") for k in range(10)]
+    edits = F.array(edit(F.floor(length / 4), 5, "it's 42"), edit(F.floor(length / 2), 0, "\n[edited] "), edit(F.floor(3 * length / 4), 9, ""), edit(F.floor(length / 5), 0, " a passage that was moved here" * 70), *at_one_place)
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text", edits.alias("edits"))
     trees = editcount.count_tokens(docs, ranks, public_tokenizers.PATTERN, extra=("edits",))
     edited = editcount.apply_edits(trees, ranks, public_tokenizers.PATTERN)

@@ -191,6 +191,44 @@ def test_trees_follow_edits(text, edits):
         assert (tree.tokens[1], tree.chars[1]) == (len(ENCODING.encode_ordinary(text)), len(text))
 
 
+@settings(max_examples=40, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 500), st.integers(0, 30), st.integers(0, 200)), max_size=12))
+def test_trees_grow_in_place(edits):
+    text = "some words " * 30
+    tree = editcount.TokenTree.build(text, ENCODING, 12)
+    for place, removed, words in edits:
+        inserted = " ab c" * words
+        tree.edit(place, removed, inserted, ENCODING, 12)
+        place = min(place, len(text))
+        text = text[:place] + inserted + text[place + removed :]
+        again = editcount.TokenTree.restore(text, tree.chars, tree.tokens)
+        assert "".join(tree.leaves) == text and again.leaves == tree.leaves
+        assert tree.tokens[1] == len(ENCODING.encode_ordinary(text)) and tree.width == len(tree.leaves) == len(tree.chars) // 2
+
+
+def test_edits_encode_little_more_than_themselves():
+    text, few = "some words of a text " * 45_000, 4 * editcount.LEAF
+    long = editcount.TokenTree.build(text, ENCODING)
+    start, insertion = long.encoded, "an insertion " * 160
+    long.edit(480_000, 0, insertion, ENCODING)
+    assert long.encoded - start <= len(insertion) + few
+    assert long.tokens[1] == len(ENCODING.encode_ordinary(text[:480_000] + insertion + text[480_000:]))
+    often, small, expected = editcount.TokenTree.build(text, ENCODING), "thirty edits at the same place in a text ", text
+    start = often.encoded
+    for _ in range(30):
+        often.edit(480_000, 0, small, ENCODING)
+        expected = expected[:480_000] + small + expected[480_000:]
+    assert often.encoded - start <= 30 * (len(small) + few)
+    assert "".join(often.leaves) == expected and often.tokens[1] == len(ENCODING.encode_ordinary(expected))
+
+
+def test_extra_columns_may_clash(spark, ranks):
+    docs = documents(spark, ["a b", None], ids=[None, None])
+    trees = editcount.count_tokens(docs, ranks, PATTERN, extra=("id", "text", "size"))
+    assert trees.columns[-3:] == ["extra_id", "extra_text", "size"]
+    assert sorted((r.id, r.n_tokens, r.extra_id, r.extra_text or "", r["size"]) for r in trees.collect()) == [(None, 0, -2, "", -1), (None, 2, -2, "a b", -1)]
+
+
 def test_edit_counts(spark, ranks):
     docs = documents(spark, EDGES).withColumn("edits", F.expr("IF(doc_id = 3, NULL, array(named_struct('place', 2L, 'removed', 1L, 'inserted', CAST(NULL AS STRING)), NULL, named_struct('place', CAST(NULL AS BIGINT), 'removed', 0L, 'inserted', 'ab ')))"))
     trees = editcount.count_tokens(docs, ranks, PATTERN, extra=("edits",))
