@@ -12,6 +12,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import tiktoken
 from pyspark import Broadcast
@@ -148,15 +149,22 @@ _FIELDS = "n_tokens long, n_chars long, tree_chars array<int>, tree_tokens array
 
 
 def _as_batches(rows: Iterator[tuple], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    def batch(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), schema.types)], schema=schema)
+
     out, size = [], 0
     for row in rows:
         out.append(row)
         size += 4 * len(row[1]) + 64
         if size >= BATCH_BYTES:
-            yield pa.RecordBatch.from_pylist([dict(zip(schema.names, r)) for r in out], schema)
+            yield batch(out)
             out, size = [], 0
     if out:
-        yield pa.RecordBatch.from_pylist([dict(zip(schema.names, r)) for r in out], schema)
+        yield batch(out)
+
+
+def _ints(column: pa.Array, k: int) -> list[int]:
+    return column[k].values.to_numpy(zero_copy_only=False).tolist()
 
 
 def _schema(kind: pa.DataType, *more: tuple[str, pa.DataType]) -> pa.Schema:
@@ -185,7 +193,7 @@ def count_tokens(docs: DataFrame, ranks: Broadcast, pattern: str, id_col: str =
                 for k in range(batch.num_rows):
                     text = batch.column(1)[k].as_py()
                     tree = TokenTree.build(text, encoding)
-                    yield (batch.column(0)[k].as_py(), text, tree.tokens[1], tree.chars[1], tree.chars, tree.tokens, *(batch.column(2 + e)[k].as_py() for e in range(len(extra))))
+                    yield (batch.column(0)[k].as_py(), text, tree.tokens[1], tree.chars[1], np.array(tree.chars, np.int32), np.array(tree.tokens, np.int32), *(batch.column(2 + e)[k].as_py() for e in range(len(extra))))
 
             yield from _as_batches(rows(), _schema(batch.schema.field(0).type, *more))
 
@@ -207,13 +215,14 @@ def apply_edits(trees: DataFrame, ranks: Broadcast, pattern: str, edits_col: str
         for batch in batches:
 
             def rows(batch=batch):
-                for row in (batch.slice(k, 1).to_pylist()[0] for k in range(batch.num_rows)):
-                    tree = TokenTree.restore(row["text"], row["tree_chars"], row["tree_tokens"])
+                ids, texts, chars, tokens, edits = (batch.column(c) for c in ("id", "text", "tree_chars", "tree_tokens", edits_col))
+                for k in range(batch.num_rows):
+                    tree = TokenTree.restore(texts[k].as_py(), _ints(chars, k), _ints(tokens, k))
                     before = tree.tokens[1]
-                    for e in row[edits_col] or ():
+                    for e in edits[k].as_py() or ():
                         if e is not None:
                             tree.edit(e["place"] or 0, e["removed"] or 0, e["inserted"] or "", encoding)
-                    yield row["id"], "".join(tree.leaves), tree.tokens[1], tree.chars[1], tree.chars, tree.tokens, before, tree.encoded
+                    yield ids[k].as_py(), "".join(tree.leaves), tree.tokens[1], tree.chars[1], np.array(tree.chars, np.int32), np.array(tree.tokens, np.int32), before, tree.encoded
 
             yield from _as_batches(rows(), _schema(batch.schema.field("id").type, ("n_tokens_before", pa.int64()), ("encoded_chars", pa.int64())))
 
