@@ -352,8 +352,57 @@ def test_language(spark):
     assert [known[150 + k].lang_pred for k in (0, 1, 2)] == ["und"] * 3
     assert langid.identify(docs, langid.fit(docs.limit(0))).first().lang_pred == "und"
     assert langid.identify(docs.limit(0), langid.fit(docs)).count() == 0
-    by_hand = langid.LanguageModel(["x", "y"], np.log(np.array([[0.5, 0.1]] * langid.BUCKETS)), np.log([0.5, 0.5]))
-    assert by_hand.predict("abc")[0] == "x" and by_hand.predict("1 2")[0] == "und"
+    by_hand = langid.LanguageModel(["x", "y"], np.log(np.array([[0.5], [0.1]]).repeat(langid.BUCKETS, 1)), np.log([0.5, 0.5]))
+    assert by_hand.predict(["abc", "1 2", None])[0] == ["x", "und", "und"]
+
+
+def grams_by_hand(text):
+    text = f" {text.lower()} "
+    return Counter((n, text[k : k + n]) for n in langid.ORDERS for k in range(len(text) - n + 1))
+
+
+def _bucket(gram):
+    key = gram[0]
+    for c in gram[1]:
+        key = (key << 21 ^ ord(c)) & (1 << 64) - 1
+    return (int(textbatch.mixed(np.array([key], np.uint64))[0]) >> 40) % langid.BUCKETS
+
+
+def test_language_equals_naive_bayes_by_hand(spark, monkeypatch):
+    """Every score of the batches against counts of n-grams in dictionaries; texts across slices, repeated rows and null ids."""
+    texts, langs = _language_docs()
+    texts += ["Straße İstanbul ΣΑΣ", "x", "ta ki mo " * 60, "x"]
+    langs += ["aa", "bb", None, "cc"]
+    ids = [*range(len(texts) - 2), None, 3]
+    docs = documents(spark, texts, langs=langs, ids=ids)
+    monkeypatch.setattr(langid, "SLICE", 64)  # of the driver's check of the scores below
+    model = langid.fit(docs)
+    counts, rows = {}, Counter()
+    for i, t, lang in zip(ids, texts, langs):
+        if i is not None and lang and zlib.crc32(str(i).encode()) % 5:
+            rows[lang] += 1
+            for gram, n in grams_by_hand(t).items():
+                own = counts.setdefault(lang, np.zeros(langid.BUCKETS))
+                own[_bucket(gram)] += n
+    assert model.languages == sorted(counts)
+    names, scores = model.predict(texts)
+    found = sorted((r.doc_id is None, r.doc_id or 0, r.lang_pred, round(r.score, 9)) for r in langid.identify(docs, model).collect())
+    expected = []
+    for t in texts:
+        grams = grams_by_hand(t)
+        logs = [math.log(rows[lang] / sum(rows.values())) + sum(n * math.log((counts[lang][_bucket(g)] + 0.5) / (counts[lang] + 0.5).sum()) for g, n in grams.items()) for lang in model.languages]
+        logs = np.array(logs) / max(1, sum(grams.values()) / langid.EVIDENCE)
+        best = int(logs.argmax())
+        expected.append((model.languages[best], 1 / np.exp(logs - logs[best]).sum()))
+    assert names == [e[0] for e in expected] and np.allclose(scores, [e[1] for e in expected], atol=1e-5)
+    assert found == sorted((i is None, i or 0, n, round(float(s), 9)) for i, n, s in zip(ids, names, scores))
+
+
+def test_language_refuses_too_many_languages(spark, monkeypatch):
+    monkeypatch.setattr(langid, "MAX_LANGUAGES", 3)
+    texts = ["some text"] * 40
+    with pytest.raises(Exception, match="more than 3 languages"):
+        langid.fit(documents(spark, texts, langs=[f"l{k}" for k in range(40)]))
 
 
 def test_toxicity_learns_pairs_that_no_sum_can():
