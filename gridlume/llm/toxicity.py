@@ -2,6 +2,8 @@
 
 score = sigmoid(bias + sum of term weights + sum over pairs of present terms of the dot product of
 their factors), so that a pair, such as an insult with a group's name, can weigh more than its parts.
+Terms that tell by themselves and the most frequent others are fitted; the others' penalty is so
+much larger that only what many documents show, such as a pair that tells, gives them weight.
 """
 
 from __future__ import annotations
@@ -16,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .learning import bounded_sample, held_out, may_learn
+from .scratch import Scratch
 from .textbatch import PUNCTUATION, U, slices, words_and_prefixes
 
 BUCKET_BITS = 18
@@ -23,9 +26,12 @@ PREFIXES = (5, 8)  #: bytes of a word's beginnings that are terms too, for words
 FACTORS = 8
 MAX_TRAINING_ROWS = 20_000  #: labelled documents that a model is fitted on, whole texts
 MIN_DOCUMENTS = 5  #: a term must be in that many of them
-MIN_EVIDENCE = 3.0  #: and its share of toxic documents that many standard errors from the rest's
-MAX_TERMS = 20_000  #: and it must be among the most telling ones
+MIN_EVIDENCE = 3.0  #: terms whose share of toxic documents is that many standard errors from the rest's go first, then the most frequent ones
+MAX_TERMS = 20_000  #: of the model
+MAX_ENTRIES = 2_000_000  #: documents of all its terms together: what the driver fits on is bounded whatever the texts' lengths
 STEPS, RATE, PENALTY = 400, 0.05, 5e-5
+DOUBT = 200  #: times the penalty for terms of less evidence, which only strong pairs overcome
+ROWS, STEP_ENTRIES = 2048, 250_000  #: documents, and entries, of a step, about
 
 
 def terms(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -62,55 +68,74 @@ class FactorizationMachine:
         return 1 / (1 + np.exp(-np.clip(self.raw(self.place[bucket], row, n), -30, 30)))
 
 
-def screened(seen: np.ndarray, toxic: np.ndarray, share: float) -> np.ndarray:
-    """The place of each bucket's term in the model, -1 for those that tell too little; ``seen`` and ``toxic`` count documents by bucket."""
+def screened(seen: np.ndarray, toxic: np.ndarray, share: float, entries: int = MAX_ENTRIES) -> tuple[np.ndarray, int]:
+    """(place, telling): the place of each bucket's term in the model, -1 for those that have none, and how many tell by themselves; ``seen`` and ``toxic`` count documents by bucket.
+
+    Terms that tell by themselves come first, by their evidence. Terms that don't may tell together
+    with others, so the rest of the room goes to the most frequent ones, of which pairs are found.
+    """
     with np.errstate(invalid="ignore", divide="ignore"):
         evidence = np.abs(toxic - seen * share) / np.sqrt(seen * share * (1 - share))
-    evidence[(seen < MIN_DOCUMENTS) | ~np.isfinite(evidence)] = 0
-    chosen = np.argsort(-evidence, kind="stable")[:MAX_TERMS]
-    chosen = chosen[evidence[chosen] >= MIN_EVIDENCE]
+    evidence[~np.isfinite(evidence) | (evidence < MIN_EVIDENCE)] = 0
+    order = np.lexsort((np.arange(len(seen)), -seen, -evidence))
+    chosen = order[seen[order] >= MIN_DOCUMENTS][:MAX_TERMS]
+    chosen = chosen[np.cumsum(seen[chosen]) <= entries]
     place = np.full(len(seen), -1)
     place[chosen] = np.arange(len(chosen))
-    return place
+    return place, int(np.count_nonzero(evidence[chosen]))
 
 
-def train(term: np.ndarray, row: np.ndarray, label: np.ndarray, place: np.ndarray) -> FactorizationMachine:
-    """Fit on the present terms, as places, of the rows; the same input gives the same model.
+def train(term: np.ndarray, row: np.ndarray, label: np.ndarray, place: np.ndarray, telling: int | None = None) -> FactorizationMachine:
+    """Fit on the present terms, as places, of the rows, both by row; the same input gives the same model.
 
-    Without rows of both labels the score is the labels' share of 1 everywhere (0 without rows).
+    Steps of Adam on parts of the rows, dealt out in a fixed order. Terms from place ``telling`` on
+    are doubted. Without rows of both labels the score is the labels' share of 1 everywhere (0
+    without rows).
     """
     n, m = len(label), int(place.max(initial=-1)) + 1
     share = float(label.mean()) if n else 0.0
     if not 0 < share < 1:
         return FactorizationMachine(np.full(len(place), -1), 30.0 if share else -30.0, np.zeros(0), np.zeros((0, FACTORS)))
-    model = FactorizationMachine(place, float(np.log(share / (1 - share))), np.zeros(m), np.random.default_rng(7).normal(0, 0.05, (m, FACTORS)))
+    random = np.random.default_rng(7)
+    model = FactorizationMachine(place, float(np.log(share / (1 - share))), np.zeros(m), random.normal(0, 0.05, (m, FACTORS)))
+    turn = random.permutation(n) % max(-(-n // ROWS), -(-len(term) // STEP_ENTRIES))
+    batches = []
+    for k in range(turn.max() + 1):
+        own = turn == k
+        kept = own[row]
+        batches.append((term[kept], (np.cumsum(own) - 1)[row[kept]], label[own]))
+    penalty = PENALTY * np.where(np.arange(m) < (m if telling is None else telling), 1.0, DOUBT)
     values = [model.weights, *(model.factors[:, f] for f in range(FACTORS))]
     first, second = [np.zeros(m) for _ in values], [np.zeros(m) for _ in values]
     for step in range(1, STEPS + 1):
-        error = 1 / (1 + np.exp(-np.clip(model.raw(term, row, n), -30, 30))) - label
+        term, row, label = batches[step % len(batches)]
+        n = len(label)
+        looked = [f[term] for f in model.factors.T]
+        sums = [np.bincount(row, v, n) for v in looked]
+        raw = model.bias + np.bincount(row, model.weights[term], n) + 0.5 * sum(s * s - np.bincount(row, v * v, n) for s, v in zip(sums, looked))
+        error = 1 / (1 + np.exp(-np.clip(raw, -30, 30))) - label
         model.bias -= RATE * error.mean()
         e = error[row]
-        gradients = [np.bincount(term, e, m)]
-        for f in model.factors.T:
-            v = f[term]
-            gradients.append(np.bincount(term, e * (np.bincount(row, v, n)[row] - v), m))
+        gradients = [np.bincount(term, e, m), *(np.bincount(term, e * (s[row] - v), m) for s, v in zip(sums, looked))]
         for k, g in enumerate(gradients):
-            g = g / n + PENALTY * values[k] * (1 if k == 0 else 4)
+            g = g / n + penalty * values[k] * (1 if k == 0 else 4)
             first[k] = 0.9 * first[k] + 0.1 * g
             second[k] = 0.99 * second[k] + 0.01 * g * g
-            values[k] -= RATE * (first[k] / (1 - 0.9**step)) / (np.sqrt(second[k] / (1 - 0.99**step)) + 1e-8)
+            values[k] -= RATE * min(1, 2 - 2 * step / STEPS) * (first[k] / (1 - 0.9**step)) / (np.sqrt(second[k] / (1 - 0.99**step)) + 1e-8)
     return model
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", most: int = MAX_TRAINING_ROWS) -> FactorizationMachine:
     """Learn from at most ``most`` labelled documents that may be learned from.
 
-    A document labelled more than once takes the largest label; null labels and ids teach nothing.
-    The driver gets two counts for each bucket, from which it screens the terms, and then the
-    sample's lists of screened terms.
+    A document labelled more than once takes the largest label, and one of several rows its
+    smallest text, so that no id adds rows; null labels, ids and texts teach nothing. The driver
+    gets two counts for each bucket, from which it screens the terms, and then the sample's lists of
+    screened terms, at most MAX_ENTRIES in all.
     """
     known = labels.where(may_learn(id_col) & F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.max(F.col(label_col).cast("int")).alias("label"))
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(bounded_sample(known, "id", most)), "id").select("id", "label", "text")
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).where("text IS NOT NULL").join(F.broadcast(bounded_sample(known, "id", most)), "id")
+    texts = Scratch(docs.sparkSession, "toxicity").save(texts.groupBy("id").agg(F.max("label").alias("label"), F.min("text").alias("text")), "sample")
     kind = texts.schema["id"].dataType.simpleString()
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -130,7 +155,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     sums = np.zeros((2, 1 << BUCKET_BITS))
     sums[:, bucket[bucket >= 0]] = seen[bucket >= 0], toxic[bucket >= 0]
     n = max(1, int(seen[bucket < 0].sum()))
-    place = screened(*sums, int(toxic[bucket < 0].sum()) / n)
+    place, telling = screened(*sums, int(toxic[bucket < 0].sum()) / n)
     shared: Broadcast = docs.sparkSession.sparkContext.broadcast(place)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -146,7 +171,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     table = texts.mapInArrow(run, f"id {kind}, label int, terms array<int>").toArrow().sort_by([("id", "ascending")])
     lists = table.column("terms").combine_chunks()
     sizes = np.diff(lists.offsets.to_numpy()) if table.num_rows else np.zeros(0, np.int64)
-    return train(lists.flatten().to_numpy().astype(np.int64), np.repeat(np.arange(table.num_rows), sizes), table.column("label").to_numpy().astype(float), place)
+    return train(lists.flatten().to_numpy().astype(np.int64), np.repeat(np.arange(table.num_rows), sizes), table.column("label").to_numpy().astype(float), place, telling)
 
 
 def score(docs: DataFrame, model: FactorizationMachine, text_col: str = "text") -> DataFrame:

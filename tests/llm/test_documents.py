@@ -405,28 +405,58 @@ def test_language_refuses_too_many_languages(spark, monkeypatch):
         langid.fit(documents(spark, texts, langs=[f"l{k}" for k in range(40)]))
 
 
-def test_toxicity_learns_pairs_that_no_sum_can():
-    """Toxic only where both or neither of two terms occur: weights alone can't tell."""
-    r = np.random.default_rng(0)
-    rows, row, label = [], [], []
-    for k in range(2000):
-        a, b = r.integers(0, 2, 2)
-        present = [10] * a + [20] * b + [int(x) for x in r.integers(100, 110, 3)]
-        present = sorted(set(present))
-        rows += present
-        row += [k] * len(present)
-        label.append(float(a and b))
-    place = np.arange(200)
-    model = toxicity.train(np.array(rows), np.array(row), np.array(label), place)
-    place = model.place[[10, 20]]
-    pair = model.raw(place, np.array([0, 0]), 1)[0]
-    alone = [model.raw(place[[k]], np.array([0]), 1)[0] for k in (0, 1)]
-    assert pair > 0 > max(alone) and float(model.factors[place[0]] @ model.factors[place[1]]) > 0
-
-
-def test_terms_are_screened_by_evidence():
-    place = toxicity.screened(np.array([100.0, 100.0, 3.0, 50.0]), np.array([60.0, 10.0, 3.0, 0.0]), 0.1)
-    assert place[0] == 0 and list(place < 0) == [False, True, True, True]
+def test_toxicity_learns_pairs_that_no_sum_can(spark):
+    """Toxic where just one of two words occurs: neither word tells anything, and no sum of weights can tell."""
+    r = random.Random(9)
+    texts, toxic = [], []
+    for _ in range(1500):
+        a, b = r.randrange(2), r.randrange(2)
+        words = [f"w{r.randrange(30)}" for _ in range(8)] + ["alpha"] * a + ["omega"] * b
+        r.shuffle(words)
+        texts.append(" ".join(words))
+        toxic.append(a ^ b)
+    docs = documents(spark, texts)
+    model = toxicity.fit(docs, spark.createDataFrame(list(enumerate(toxic)), "doc_id long, toxic int"))
+    held = {k for k in range(1500) if zlib.crc32(str(k).encode()) % 5 == 0}
+    rows = [x for x in toxicity.score(docs, model).collect() if x.doc_id in held]
+    assert sum(x.predicted == toxic[x.doc_id] for x in rows) >= 0.95 * len(rows)
+    model.factors[:] = 0
+    rows = [x for x in toxicity.score(docs, model).collect() if x.doc_id in held]
+    assert sum(x.predicted == toxic[x.doc_id] for x in rows) <= 0.8 * len(rows)
+
+
+def test_toxicity_equals_the_sum_over_pairs():
+    """Scores against the definition, pair by pair."""
+    r = np.random.default_rng(4)
+    texts = ["Aa bb, cc dddddddddd!", "", "cc cc zz", "dddddddddd eeeeeeeee aa"]
+    data = np.frombuffer("".join(texts).encode(), np.uint8)
+    offsets = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
+    bucket, row = toxicity.terms(data, offsets)
+    place = np.full(1 << toxicity.BUCKET_BITS, -1)
+    known = np.unique(bucket)[::2]
+    place[known] = np.arange(len(known))
+    model = toxicity.FactorizationMachine(place, 0.3, r.normal(size=len(known)), r.normal(size=(len(known), 3)))
+    for k, found in enumerate(model.score(data, offsets)):
+        own = sorted({int(place[b]) for b in bucket[row == k] if place[b] >= 0})
+        raw = 0.3 + sum(model.weights[i] for i in own) + sum(model.factors[i] @ model.factors[j] for i in own for j in own if i < j)
+        assert found == pytest.approx(1 / (1 + math.exp(-raw)))
+
+
+def test_terms_are_screened_by_evidence_and_frequency():
+    seen, toxic = np.array([100.0, 100.0, 3.0, 50.0, 200.0]), np.array([60.0, 10.0, 3.0, 5.0, 20.0])
+    place, telling = toxicity.screened(seen, toxic, 0.1)
+    assert list(place) == [0, 2, -1, 3, 1] and telling == 1
+    place, _ = toxicity.screened(seen, toxic, 0.1, entries=350)
+    assert list(place) == [0, -1, -1, -1, 1]
+
+
+def test_toxicity_takes_an_id_once(spark):
+    docs = documents(spark, ["idiot"] * 50 + ["friend"] * 50 + ["other"] * 40, ids=[*range(100), *[3] * 40])
+    labels = spark.createDataFrame([(k, int(k < 50)) for k in range(100)], "doc_id long, toxic int")
+    one, two = toxicity.fit(docs, labels), toxicity.fit(docs.orderBy(F.desc("text")).repartition(7), labels)
+    assert np.array_equal(one.factors, two.factors) and np.array_equal(one.weights, two.weights) and one.bias == two.bias
+    scores = {r.text: r.predicted for r in toxicity.score(docs, one).collect()}
+    assert scores["idiot"] == 1 and scores["friend"] == 0
 
 
 def test_toxicity(spark):
