@@ -14,7 +14,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from .components import connected_components
 from .scratch import Scratch
@@ -27,6 +26,7 @@ BITS = 256
 TABLES, TABLE_BITS = 10, 25
 MAX_DISTANCE = 40  #: bits that near descriptors may differ in
 BLOCK = 32  #: features of a bucket that meet in one group; larger buckets are dealt out as pairs of blocks
+HOT, ROUNDS = 64, 3  #: larger buckets are first compared with one of their images, in so many rounds
 PLACE, ANGLES = 8.0, 12  #: pixels and parts of a turn within which votes agree
 CONSENSUS = 4  #: agreeing features that make a copy
 
@@ -111,13 +111,39 @@ def _table_key(t: int):
     return bits.bitwiseAND(F.lit((1 << TABLE_BITS) - 1)) * TABLES + t
 
 
+def _copies(pairs: DataFrame) -> DataFrame:
+    """(a, b), ids with a < b: the images of which enough pairs (a, b) of features are near and imply one transform."""
+    first = F.col("a.id") < F.col("b.id")
+    pairs = pairs.where("a.id <> b.id").select(F.when(first, F.col("a")).otherwise(F.col("b")).alias("a"), F.when(first, F.col("b")).otherwise(F.col("a")).alias("b"))
+    distance = sum((F.bit_count(F.col(f"a.d{w}").bitwiseXOR(F.col(f"b.d{w}"))) for w in range(4)), F.lit(0))
+    near = pairs.where(distance <= MAX_DISTANCE).distinct()
+    turn = F.pmod(F.col("b.angle") - F.col("a.angle"), F.lit(1.0))
+    ratio = F.col("b.scale") / F.col("a.scale")
+    angle = F.floor(turn * ANGLES + 0.5) % ANGLES
+    exact = angle / ANGLES * 2 * 3.141592653589793
+    dx = F.col("b.x") - ratio * (F.col("a.x") * F.cos(exact) - F.col("a.y") * F.sin(exact))
+    dy = F.col("b.y") - ratio * (F.col("a.x") * F.sin(exact) + F.col("a.y") * F.cos(exact))
+    cell = lambda v, k: F.floor(v / PLACE + k / 2)  # noqa: E731  two grids, half a cell apart, each way
+    grids = F.explode(F.array(*(F.struct(F.lit(2 * i + j).alias("grid"), cell(dx, i).alias("cx"), cell(dy, j).alias("cy")) for i in (0, 1) for j in (0, 1))))
+    votes = near.select(F.col("a.id").alias("a"), F.col("b.id").alias("b"), angle.alias("angle"), F.log2(ratio).cast("int").alias("ratio"), F.struct("a.x", "a.y", "a.scale").alias("at"), grids.alias("g"))
+    agreed = votes.groupBy("a", "b", "angle", "ratio", "g").agg(F.count_distinct("at").alias("n")).where(F.col("n") >= CONSENSUS)
+    return agreed.select("a", "b").distinct()
+
+
+def _labelled(rows: DataFrame, labels: DataFrame) -> DataFrame:
+    """(key, f, n) with each feature's image's component so far, ``comp``."""
+    return rows.join(labels.select(F.col("node").alias("_node"), "comp"), F.col("f.id") == F.col("_node"), "left").select("key", "f", "n", F.coalesce("comp", "f.id").alias("comp"))
+
+
 def find_copies(images: DataFrame, id_col: str = "image_id", width_col: str = "width", pixels_col: str = "pixels") -> DataFrame:
     """``id_col``, ``n_features``, ``class_id`` (smallest id among the copies, its own included), one row per image.
 
-    Images with the same id are one. Without features an image is in a class of its own. Every two
-    features of a bucket are compared; a large bucket is dealt out as pairs of blocks, so that no
-    task has all of it. Images with the same features (by 128 bits of hash), if these are enough for
-    a copy, are compared as one, so that exact copies don't meet each other. Null ids take no part.
+    Images with the same id are one. Without features an image is in a class of its own. Images with
+    the same features (by 128 bits of hash), if these are enough for a copy, are compared as one. In
+    a large bucket all features first meet those of one of its images, round by round, so that a
+    family of copies is linked without its pairs; then every two features of a bucket whose images
+    aren't linked so far are compared, a large bucket's dealt out as pairs of blocks, so that no task
+    has all of it. Classes are those of comparing all pairs. Null ids take no part.
     """
     spark = images.sparkSession
     scratch = Scratch(spark, "media")
@@ -128,28 +154,32 @@ def find_copies(images: DataFrame, id_col: str = "image_id", width_col: str = "w
     marks = found.select("id", *whole).distinct().select("id", F.struct("x", "y", "scale").alias("at"), *(F.xxhash64(F.lit(salt), *whole).alias(f"h{salt}") for salt in (0, 1)))
     spots = marks.groupBy("id", "at").agg(*(F.bit_xor(f"h{salt}").alias(f"h{salt}") for salt in (0, 1)))
     alike = spots.groupBy("id").agg(F.count(F.lit(1)).alias("places"), *(F.bit_xor(f"h{salt}").alias(f"h{salt}") for salt in (0, 1))).where(F.col("places") >= CONSENSUS)
-    twins = scratch.save(alike.select(F.min("id").over(Window.partitionBy("places", "h0", "h1")).alias("a"), F.col("id").alias("b")).where("a < b"), "twins")
-    keyed = found.join(twins.select(F.col("b").alias("id")), "id", "left_anti").select(body.alias("f"), F.explode(F.array(*(_table_key(t) for t in range(TABLES)))).alias("key"))
-    bucket = Window.partitionBy("key")
-    order = bucket.orderBy("f.id", "f.x", "f.y", "f.scale")
-    met = keyed.withColumns({"n": F.count(F.lit(1)).over(bucket), "place": F.row_number().over(order) - 1}).where("n > 1")
-    met = scratch.save(met.withColumns({"block": F.floor(F.col("place") / BLOCK).cast("int"), "last": F.floor((F.col("n") - 1) / BLOCK).cast("int")}), "met")
-    left = met.select("key", F.col("f").alias("a"), "place", F.col("block").alias("i"), F.explode(F.sequence("block", "last")).alias("j"))
-    right = met.select("key", F.col("f").alias("b"), F.col("place").alias("place_b"), F.col("block").alias("j"), F.explode(F.sequence(F.lit(0), "block")).alias("i"))
-    pairs = left.join(right, ["key", "i", "j"]).where("place < place_b").select("a", "b")
-    distance = sum((F.bit_count(F.col(f"a.d{w}").bitwiseXOR(F.col(f"b.d{w}"))) for w in range(4)), F.lit(0))
-    near = pairs.where((F.col("a.id") < F.col("b.id")) & (distance <= MAX_DISTANCE)).distinct()
-    turn = F.pmod(F.col("b.angle") - F.col("a.angle"), F.lit(1.0))
-    ratio = F.col("b.scale") / F.col("a.scale")
-    angle = F.floor(turn * ANGLES + 0.5) % ANGLES
-    exact = angle / ANGLES * 2 * 3.141592653589793
-    dx = F.col("b.x") - ratio * (F.col("a.x") * F.cos(exact) - F.col("a.y") * F.sin(exact))
-    dy = F.col("b.y") - ratio * (F.col("a.x") * F.sin(exact) + F.col("a.y") * F.cos(exact))
-    cell = lambda v, k: F.floor(v / PLACE + k / 2)  # noqa: E731  two grids, half a cell apart, each way
-    grids = F.explode(F.array(*(F.struct(F.lit(2 * i + j).alias("grid"), cell(dx, i).alias("cx"), cell(dy, j).alias("cy")) for i in (0, 1) for j in (0, 1))))
-    votes = near.select(F.col("a.id").alias("a"), F.col("b.id").alias("b"), angle.alias("angle"), F.log2(ratio).cast("int").alias("ratio"), F.struct("a.x", "a.y", "a.scale").alias("at"), grids.alias("g"))
-    agreed = votes.groupBy("a", "b", "angle", "ratio", "g").agg(F.count_distinct("at").alias("n")).where(F.col("n") >= CONSENSUS)
-    links = scratch.save(agreed.select("a", "b").distinct().unionByName(twins), "links")
+    alike = scratch.save(alike, "alike")
+    same = ["places", "h0", "h1"]
+    firsts = alike.groupBy(*same).agg(F.min("id").alias("a"))
+    links = scratch.save(alike.join(firsts, same).where("a < id").select("a", F.col("id").alias("b")), "twins")
+    keyed = found.join(links.select(F.col("b").alias("id")), "id", "left_anti").select(body.alias("f"), F.explode(F.array(*(_table_key(t) for t in range(TABLES)))).alias("key"))
+    buckets = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("f.id").alias("low"), F.max("f.id").alias("high")).where("low < high")
+    met = scratch.save(keyed.join(buckets.select("key", "n"), "key"), "met")
+
+    labels = connected_components(scratch, links, "labels-0")
+    hot, spread = met.where(F.col("n") > HOT), {"low": F.min("comp"), "high": F.max("comp"), "n": F.count(F.lit(1))}
+    for turn in range(1, ROUNDS + 1):
+        if not hot.limit(1).count():
+            break
+        rows = _labelled(hot, labels)
+        heads = rows.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.min(F.struct(F.xxhash64("f.id", F.lit(turn)).alias("h"), "f.id", "comp")).alias("head")).where("low < high")
+        rows = scratch.save(rows.join(heads.select("key", "head"), "key"), f"open-{turn}")
+        head = rows.where("f.id = head.id").select("key", F.col("f").alias("b"))
+        links = links.unionByName(scratch.save(_copies(rows.where("comp <> head.comp").select("key", F.col("f").alias("a")).join(head, "key").select("a", "b")), f"links-{turn}"))
+        labels = connected_components(scratch, links, f"labels-{turn}")
+    rows = scratch.save(_labelled(met, labels), "labelled")
+    still = rows.groupBy("key").agg(*(v.alias(k) for k, v in spread.items())).where("low < high").select("key", F.floor((F.col("n") - 1) / BLOCK).cast("int").alias("last"))
+    rows = scratch.save(rows.drop("n").join(still, "key").withColumn("block", F.pmod(F.xxhash64("f"), F.col("last") + 1).cast("int")), "open")
+    left = rows.select("key", F.col("f").alias("a"), F.col("comp").alias("comp_a"), F.col("block").alias("i"), F.explode(F.sequence("block", "last")).alias("j"))
+    right = rows.select("key", F.col("f").alias("b"), F.col("comp").alias("comp_b"), F.col("block").alias("j"), F.explode(F.sequence(F.lit(0), "block")).alias("i"))
+    pairs = left.join(right, ["key", "i", "j"]).where("comp_a <> comp_b AND (i < j OR a.id < b.id)").select("a", "b")
+    links = links.unionByName(scratch.save(_copies(pairs), "links"))
     labels = connected_components(scratch, links, "labels")
     counts = found.groupBy("id").agg(F.count(F.lit(1)).alias("n_features"))
     classes = images.select(F.col(id_col).alias("id")).distinct().join(counts, "id", "left").join(labels.withColumnRenamed("node", "id"), "id", "left")

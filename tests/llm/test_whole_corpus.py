@@ -1,3 +1,4 @@
+import math
 import random
 import re
 
@@ -44,6 +45,71 @@ def test_media_of_families_in_one_bucket(spark, monkeypatch):
     assert all(r.class_id == r.image_id % 2 for r in found) and len(found) == 80
 
 
+def classes_by_all_pairs(rows):
+    """Every two images, every two of their features: the definition, without tables of buckets but for which features may meet."""
+    parent = {r[0]: r[0] for r in rows}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    described = {k: media.describe(np.array(pixels, np.float32).astype(float).reshape(-1, width)) for k, width, pixels in rows}
+    unpacked = {k: np.unpackbits(np.ascontiguousarray(d[4]).view(np.uint8).reshape(-1, 32), axis=1, bitorder="little") for k, d in described.items()}
+    keys = {k: np.stack([u[:, t * media.TABLE_BITS : (t + 1) * media.TABLE_BITS] @ (1 << np.arange(media.TABLE_BITS)) for t in range(media.TABLES)], 1) for k, u in unpacked.items()}
+    for a in described:
+        for b in described:
+            if a >= b or not len(described[a][0]) or not len(described[b][0]):
+                continue
+            far = (unpacked[a][:, None] != unpacked[b][None]).sum(2)
+            meets = (keys[a][:, None] == keys[b][None]).any(2)
+            cells = {}
+            for i, j in zip(*np.nonzero((far <= media.MAX_DISTANCE) & meets)):
+                (xa, ya, sa, ta), (xb, yb, sb, tb) = ([c[n] for c in d[:4]] for d, n in ((described[a], i), (described[b], j)))
+                turn, ratio = math.floor((tb - ta) % 1 * media.ANGLES + 0.5) % media.ANGLES, sb / sa
+                t = turn / media.ANGLES * 2 * math.pi
+                dx, dy = xb - ratio * (xa * math.cos(t) - ya * math.sin(t)), yb - ratio * (xa * math.sin(t) + ya * math.cos(t))
+                for p in (0, 1):
+                    for q in (0, 1):
+                        cells.setdefault((turn, ratio, p, q, math.floor(dx / media.PLACE + p / 2), math.floor(dy / media.PLACE + q / 2)), set()).add((xa, ya, sa))
+            if any(len(c) >= media.CONSENSUS for c in cells.values()):
+                parent[max(find(a), find(b))] = min(find(a), find(b))
+    return {k: find(k) for k in described}
+
+
+def _scene(seed, side=64):
+    r = np.random.default_rng(seed)
+    out = np.zeros((side, side))
+    for _ in range(50):
+        y, x, h, w = r.integers(0, side - 8), r.integers(0, side - 8), r.integers(4, 18), r.integers(4, 18)
+        out[y : y + h, x : x + w] += r.normal()
+    return out
+
+
+def test_media_equals_all_pairs(spark, monkeypatch):
+    """Crops, turns, edits and one pattern pasted into unlike scenes; buckets are large against the limits set here."""
+    logo, rows, ids = _scene(99, 34), [], iter(range(1000))
+    add = lambda image: rows.append((next(ids), image.shape[1], [float(v) for v in image.ravel()]))
+    for s in range(6):
+        scene = _scene(s)
+        for variant in (scene, scene[4:, 6:], scene * 0.6 + 0.1, np.rot90(scene), scene + np.random.default_rng(s).normal(0, 0.03, scene.shape)):
+            add(variant)
+    for s in range(20, 32):
+        scene = _scene(s)
+        scene[15:49, 15:49] = logo
+        add(scene)
+    rows = [(k, w, np.array(v, np.float32).tolist()) for k, w, v in rows]
+    expected = classes_by_all_pairs(rows)
+    df = spark.createDataFrame(rows, "image_id long, width int, pixels array<float>")
+    for hot, block in ((64, 32), (3, 4)):
+        monkeypatch.setattr(media, "HOT", hot)
+        monkeypatch.setattr(media, "BLOCK", block)
+        assert {r.image_id: r.class_id for r in media.find_copies(df).collect()} == expected
+    truth = {(5 * s + i, 5 * s + j) for s in range(6) for i in range(5) for j in range(i)}
+    linked = {(a, b) for a in range(30) for b in range(a) if expected[a] == expected[b]}
+    assert len(truth & linked) >= 0.9 * len(truth) and len(truth & linked) >= 0.9 * len(linked)
+
+
 def test_media_of_exact_copies_meet_once(spark):
     r = np.random.default_rng(2)
     image = r.normal(size=(8, 8)).repeat(8, 0).repeat(8, 1)
