@@ -123,16 +123,40 @@ def test_neighbours_of_odd_vectors(spark):
     assert ann.search(df.where("vec_id = 0"), F.lit(True)).count() == 0
 
 
-def test_early_abandoning_keeps_the_nearest():
+def test_early_abandoning_keeps_the_nearest(monkeypatch):
     r = np.random.default_rng(0)
-    x = ann._units(r.normal(size=(3000, 64)))
+    x, ids = ann._units(r.normal(size=(3000, 64))), np.arange(3000)
     blocks = [np.ascontiguousarray(b) for b in np.split(x, range(16, 64, 16), axis=1)]
-    hits = 0
-    for q in ann._units(r.normal(size=(40, 64))):
-        kept = ann.scan(q, blocks, 5, np.zeros(0, np.int64))
-        hits += len(set(kept) & set(np.argsort(((x - q) ** 2).sum(1))[:5]))
-        assert len(kept) <= 10
-    assert hits >= 0.97 * 200
+    asked = ann._units(r.normal(size=(40, 64)))
+    whole = ((x[None] - asked[:, None]) ** 2).sum(2)
+    truth = np.argsort(whole, axis=1)[:, :5]
+    monkeypatch.setattr(ann, "DENSE", 1.0)  # every pair by itself
+    for limits in (np.full(40, np.inf), np.sort(whole, axis=1)[:, 4]):
+        q, row, read = ann.scan(asked, blocks, limits, 5, np.full(40, -1), ids)
+        hits = sum(len(set(row[q == k]) & set(truth[k])) for k in range(40))
+        assert hits >= 0.97 * 200 and np.bincount(q).max() <= 5 and read < 40 * 3000 * 64
+    q, row, _ = ann.scan(x[:4], blocks, np.full(4, np.inf), 5, ids[:4], ids)
+    assert not (q == row).any()
+
+
+def test_lists_with_finer_parts(spark, monkeypatch):
+    r = np.random.default_rng(5)
+    x = r.normal(size=(4000, 16)).astype(np.float32)
+    monkeypatch.setattr(ann, "MAX_CENTROIDS", 12)
+    monkeypatch.setattr(ann, "SEGMENT", 40)
+    monkeypatch.setattr(ann, "TURN", 30)
+    index = ann.fit_index(x[:2000].astype(float), 4000, 5)
+    assert len(index.fine) == 6 and index.cells == 72 and index.probes < 72
+    rows = spark.createDataFrame([(int(k), [float(v) for v in row]) for k, row in enumerate(x)], "vec_id long, embedding array<float>")
+    found = ann.search(rows, F.col("vec_id") % 50 == 0).collect()
+    truth = nearest_by_hand(list(range(4000)), x.astype(float), range(0, 4000, 50), 5)
+    assert len(found) == 400 and sum(f.vec_id in {v for v, _ in truth[f.query_id]} for f in found) >= 0.9 * 400
+
+
+def test_copies_are_needed_only_up_to_k():
+    x = np.array([[1.0, 0.0]] * 9 + [[0.0, 1.0]])
+    ids = ann.pa.array([9, 3, 3, 8, 1, 7, 2, 6, 5, 4])
+    assert sorted(ids.to_pylist()[i] for i in ann._needed(x, ids, 3)) == [1, 2, 3, 4, 5]
 
 
 def picture(seed, side=80):
