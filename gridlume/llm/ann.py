@@ -35,7 +35,7 @@ TARGET = 0.95  #: share of the sample's true neighbours whose lists are to be sc
 CALIBRATION = 512  #: queries of the calibration
 BLOCK = 16  #: columns of a block
 CONFIDENCE = 1.5  #: of the test; a larger one abandons less
-SEGMENT = 1 << 15  #: vectors of a list that a task holds, about
+SEGMENT = 1 << 15  #: vectors of a list that a task holds at most, about; a list far above the mean is divided before
 TURN = 1 << 20  #: queries of a list that meet in one task, about
 TILE = 1 << 20  #: pairs of a query and a vector that are tested together
 DENSE = 0.5  #: share of pairs still open above which a block is computed for all
@@ -221,6 +221,7 @@ def search(vectors: DataFrame, queries: Column, k: int = 5, id_col: str = "vec_i
     counts = {r.list: r.n for r in placed.groupBy("list").agg(F.count(F.lit(1)).alias("n")).collect()}  # at most MAX_CENTROIDS x MAX_FINE rows
     lengths = np.array([counts.get(i, 0) for i in range(index.value.cells)])
     held = spark.sparkContext.broadcast(lengths)
+    segment = min(SEGMENT, max(64, 2 * int(lengths.sum()) // max(1, int(np.count_nonzero(lengths)))))
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """(id, vector) to (list, id, vector, place), the lists to scan from the nearest, more of them where those hold too few candidates."""
@@ -235,7 +236,7 @@ def search(vectors: DataFrame, queries: Column, k: int = 5, id_col: str = "vec_i
                 yield pa.RecordBatch.from_arrays([pa.array(order[row, turn].astype(np.int32)), batch.column(0).take(own), batch.column(1).take(own), pa.array(turn.astype(np.int32))], ["list", "id", "vector", "place"])
 
     asked = clean.where("asks").select("id", "vector").mapInArrow(probe, f"{item}, place int")
-    parts = spark.createDataFrame([(i, max(1, -(-int(c) // SEGMENT)), max(1, -(-int(c) * sizes[0].asking * index.value.probes // (sizes[0].n * TURN)))) for i, c in enumerate(lengths)], "list int, segments int, turns int")  # a row a list
+    parts = spark.createDataFrame([(i, max(1, -(-int(c) // segment)), max(1, -(-int(c) * sizes[0].asking * index.value.probes // (sizes[0].n * TURN)))) for i, c in enumerate(lengths)], "list int, segments int, turns int")  # a row a list
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     deal = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
     rows = placed.join(F.broadcast(parts), "list").select("list", deal("segments").alias("segment"), every("turns").alias("turn"), F.lit(False).alias("asks"), "id", "vector", F.lit(0.0).alias("limit"))
