@@ -19,8 +19,11 @@ shingles that most of its sets have. With D the difference of a set to that cent
 differ in |D1| + |D2| - 2 |D1 and D2| shingles. So either both link with the member nearest to the
 centre, without any comparison, or D1 and D2 share some of their rarest elements: those make the
 next, smaller buckets. Every other candidate pair is verified on the whole shingle sets, as 64-bit
-hashes: two of a corpus's N different sets or words are mistaken for each other with a chance of
-about N^2 / 2^65.
+hashes. A set is named by 64 of 128 bits; where two sets share those, they take the other 64.
+
+No task gets all rows of a hot signature: signatures are counted with partial aggregation first, a
+filter of the shared ones keeps all others where they are, and rows meet their bucket's figures by
+(signature, salt), where a signature that many share has many salts.
 """
 
 from __future__ import annotations
@@ -48,8 +51,12 @@ HOT = 12  #: probing members of a bucket from which it is split by differences t
 MAX_LEVELS = 3  #: times that hot buckets are split
 EXHAUSTIVE = 10  #: after the first time, only while comparing the rest would meet more pairs than this times the first rows
 MOST_COMMON = 3  #: common elements that pairs of a split bucket must show before they are compared
-FILTER_BITS = 26  #: of the filter that picks the sets to compare, 8 MB however many there are; when it fills up, more sets than needed travel
 FILTER_PARTS, FILTER_HASHES = 64, 3
+FILTER_BITS = (20, 29)  #: least and most of a filter: 16 bits an entry up to 64 MB; when that fills up, more rows than needed travel
+SALTED = 256  #: rows of a bucket for each of its salts, or more where
+HOT_SHARE = 1e-5  #: that share of all rows is larger: so at most 1 / HOT_SHARE signatures are hot, which is what is broadcast
+NODE_BITS = 64  #: of a set's name
+MAX_CLASHES = 1 << 20  #: sets that share 64 bits with another one; N sets have about N^2 / 2^65
 #: Bits of a row's meta value: set size, surplus weight, namespace, weight - 1, deletion segment + 1.
 SIZE_BITS, SURPLUS_BITS, NAMESPACE_BITS = 28, 20, 6
 
@@ -145,18 +152,22 @@ def _signatures(hashes: np.ndarray, at: np.ndarray, nodes: np.ndarray, percent:
     return tuple(np.concatenate(x) for x in zip(*out))
 
 
-def _sets_of(batch: pa.RecordBatch, text: int, size: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+def _sets_of(batch: pa.RecordBatch, text: int, size: int, bits: int, clashes: Broadcast | None = None) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     for row, data, offsets in slices(batch.column(text)):
         hashes, at = shingles(data, offsets, size)
-        yield row, hashes, at, *identities(hashes, at)
+        node, twin = identities(hashes, at)
+        node = node >> U(64 - bits)
+        if clashes is not None and len(clashes.value):
+            node = np.where(np.isin(node, clashes.value), twin, node)
+        yield row, hashes, at, node, twin
 
 
-def _nodes(size: int):
+def _nodes(size: int, bits: int):
     """(id, text) to (id, n_shingles, node, twin); the node of a set without shingles is null."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            parts = [(np.diff(at), a, b) for _, _, at, a, b in _sets_of(batch, 1, size)]
+            parts = [(np.diff(at), a, b) for _, _, at, a, b in _sets_of(batch, 1, size, bits)]
             if parts:
                 n, a, b = (np.concatenate(x) for x in zip(*parts))
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), pa.array(a.view(np.int64), mask=n == 0), pa.array(b.view(np.int64), mask=n == 0)], ["id", "n_shingles", "node", "twin"])
@@ -164,13 +175,14 @@ def _nodes(size: int):
     return run
 
 
-def _rows_of_signatures(size: int, percent: int):
-    """(text) to (sig, node, meta); of the copies of a set in one partition, the first counts."""
+def _rows_of_signatures(size: int, bits: int, percent: int, clashes: Broadcast, wanted: Broadcast | None = None):
+    """(text) to (sig, node), or with a filter of signatures to (sig, node, meta) of those in it; of the copies of a set in one partition, the first counts."""
+    names = ["sig", "node"] if wanted is None else ["sig", "node", "meta"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in batches:
-            for _, hashes, at, a, _ in _sets_of(batch, 0, size):
+            for _, hashes, at, a, _ in _sets_of(batch, 0, size, bits, clashes):
                 fresh = np.zeros(len(a), bool)
                 for k, x in enumerate(a.tolist()):
                     if x not in seen:
@@ -179,8 +191,11 @@ def _rows_of_signatures(size: int, percent: int):
                 kept = np.flatnonzero(fresh)
                 counts = np.diff(at)
                 part = _signatures(hashes[np.repeat(fresh, counts)], np.append(0, np.cumsum(counts[kept])), a[kept], percent)
+                if wanted is not None:
+                    hits = _in_filter(part[0], wanted.value)
+                    part = [x[hits] for x in part]
                 if len(part[0]):
-                    yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in part], ["sig", "node", "meta"])
+                    yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in part[: len(names)]], names)
 
     return run
 
@@ -192,50 +207,51 @@ def _parities(hashes: np.ndarray) -> bytes:
     return np.packbits((counts & 1).astype(np.uint8), bitorder="little").tobytes()
 
 
-def _places(nodes: np.ndarray) -> np.ndarray:
-    """The bits of the filter that stand for each node, a row for each hash."""
+def _places(values: np.ndarray, bits: int) -> np.ndarray:
+    """The bits of the filter that stand for each value, a row for each hash."""
     salts = mixed(np.arange(1, FILTER_HASHES + 1, dtype=U))
-    return np.stack([(mixed(nodes ^ s) >> U(64 - FILTER_BITS)).astype(np.int64) for s in salts])
+    return np.stack([(mixed(values ^ s) >> U(64 - bits)).astype(np.int64) for s in salts])
 
 
-def _filter_bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(node) to (part, bit)."""
-    for batch in batches:
-        places = _places(batch.column(0).to_numpy().view(U)).ravel()
-        yield pa.RecordBatch.from_arrays([pa.array(places * FILTER_PARTS >> FILTER_BITS), pa.array(places)], ["part", "bit"])
+def _in_filter(values: np.ndarray, filter_: np.ndarray) -> np.ndarray:
+    places = _places(values, 3 + (len(filter_) - 1).bit_length())
+    return np.flatnonzero((filter_[places >> 3] >> (places & 7) & 1).all(0))
 
 
-def _filter_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(part, bit) to (part, bits), the parts' bytes; a task holds a few parts of fixed size."""
-    parts: dict[int, np.ndarray] = {}
-    width = (1 << FILTER_BITS) // FILTER_PARTS
-    for batch in batches:
-        part, bit = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-        for p in np.unique(part).tolist():
-            parts.setdefault(p, np.zeros(width, bool))[bit[part == p] - p * width] = True
-    yield pa.RecordBatch.from_arrays([pa.array(list(parts), pa.int64()), pa.array([np.packbits(x, bitorder="little").tobytes() for x in parts.values()], pa.binary())], ["part", "bits"])
+def _filter_of(values: DataFrame) -> np.ndarray:
+    """A Bloom filter of a column of longs, as large as their number asks for: built in FILTER_PARTS parts by the executors, of which the driver gets the bytes."""
+    least, most = FILTER_BITS
+    bits = min(most, max(least, (16 * values.count()).bit_length()))
+    width = (1 << bits) // FILTER_PARTS
+
+    def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            place = _places(batch.column(0).to_numpy().view(U), bits).ravel()
+            yield pa.RecordBatch.from_arrays([pa.array(place // width), pa.array(place)], ["part", "bit"])
 
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts: dict[int, np.ndarray] = {}
+        for batch in batches:
+            part, bit = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            for p in np.unique(part).tolist():
+                parts.setdefault(p, np.zeros(width, bool))[bit[part == p] - p * width] = True
+        yield pa.RecordBatch.from_arrays([pa.array(list(parts), pa.int64()), pa.array([np.packbits(x, bitorder="little").tobytes() for x in parts.values()], pa.binary())], ["part", "bits"])
 
-def _node_filter(nodes: DataFrame) -> np.ndarray:
-    """A Bloom filter of the nodes: built in FILTER_PARTS parts by the executors, of which the driver gets the bytes."""
-    parts = nodes.mapInArrow(_filter_bits, "part long, bit long").repartition(FILTER_PARTS, "part").mapInArrow(_filter_parts, "part long, bits binary").collect()
-    out = np.zeros((FILTER_PARTS, (1 << FILTER_BITS) // FILTER_PARTS // 8), np.uint8)
-    for r in parts:
+    out = np.zeros((FILTER_PARTS, width // 8), np.uint8)
+    for r in values.mapInArrow(places, "part long, bit long").repartition(FILTER_PARTS, "part").mapInArrow(packed, "part long, bits binary").collect():
         out[r.part] = np.frombuffer(r.bits, np.uint8)
     return out.ravel()
 
 
-def _shingle_sets(size: int, wanted: Broadcast):
+def _shingle_sets(size: int, bits: int, clashes: Broadcast, wanted: Broadcast):
     """(text) to (node, shingles, parity) of nodes in the filter: the sorted 64-bit hashes as bytes, and their parity sketch; once a partition."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
-        bits = wanted.value
         for batch in batches:
-            for _, hashes, at, a, _ in _sets_of(batch, 0, size):
-                places = _places(a)
-                hits = np.flatnonzero((bits[places >> 3] >> (places & 7) & 1).all(0) & (np.diff(at) > 0))
-                kept = [k for k in hits.tolist() if not (a[k] in seen or seen.add(a[k]))]
+            for _, hashes, at, a, _ in _sets_of(batch, 0, size, bits, clashes):
+                hits = _in_filter(a, wanted.value)
+                kept = [k for k in hits[np.diff(at)[hits] > 0].tolist() if not (a[k] in seen or seen.add(a[k]))]
                 if kept:
                     sets = [hashes[at[k] : at[k + 1]] for k in kept]
                     yield pa.RecordBatch.from_arrays([pa.array(a[kept].view(np.int64)), pa.array([x.tobytes() for x in sets], pa.binary()), pa.array([_parities(x) for x in sets], pa.binary())], ["node", "shingles", "parity"])
@@ -301,21 +317,37 @@ def _bits(column: Column, low: int, width: int) -> Column:
     return F.shiftright(column, low).bitwiseAND(F.lit((1 << width) - 1))
 
 
-def _shared_rows(signatures: DataFrame) -> DataFrame:
-    """Of (sig, node, meta) the rows in buckets of at least two nodes, once each, with ``probed``: whether the node's allocation needs the bucket.
+def _salted(rows: DataFrame) -> DataFrame:
+    """Each bucket's row once for each of the bucket's ``parts``."""
+    return rows.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+
+
+def _gathered(rows: DataFrame, **figures: Column) -> DataFrame:
+    """The rows with aggregates of their buckets: partial ones before the shuffle, and met by (sig, salt)."""
+    sums = rows.groupBy("sig").agg(F.max("parts").alias("parts"), *(c.alias(n) for n, c in figures.items()))
+    return rows.join(_salted(sums).drop("parts"), ["sig", "salt"])
+
+
+def _shared_rows(scratch: Scratch, texts: DataFrame, words: int, percent: int, clashes: Broadcast) -> DataFrame:
+    """(sig, salt, parts, node, size, probed, need) of the rows in buckets of at least two nodes, once each; ``probed``: whether the node's allocation needs the bucket.
 
     Segments that nobody shares are free. Of the others, ordered from the dearest, those within
     the surplus weight are left out; ties go by the segment's number and signature.
     """
-    bucket = Window.partitionBy("sig")
-    shared = (
-        signatures.withColumns({"met": F.count(F.lit(1)).over(bucket), "low": F.min("node").over(bucket), "high": F.max("node").over(bucket)})
-        .where("low < high")
-        .select("sig", "node", "meta", "met")
-        .distinct()
-    )
+    signatures = texts.mapInArrow(_rows_of_signatures(words, NODE_BITS, percent, clashes), "sig long, node long")
+    met = signatures.groupBy("sig").agg(F.count(F.lit(1)).alias("met"), F.min("node").alias("low"), F.max("node").alias("high")).where("low < high")
+    shared = scratch.save(met.select("sig", "met"), "shared")
+    wanted = texts.sparkSession.sparkContext.broadcast(_filter_of(shared.select("sig")))
+    scratch.release()
+    most = max(SALTED, int(HOT_SHARE * (shared.agg(F.sum("met")).first()[0] or 0)))
+    hot = F.broadcast(shared.where(F.col("met") > most).select("sig", F.ceil(F.col("met") / most).cast("int").alias("parts")))  # at most 1 / HOT_SHARE rows
+    parts = F.coalesce("parts", F.lit(1))
+    signatures = texts.mapInArrow(_rows_of_signatures(words, NODE_BITS, percent, clashes, wanted), "sig long, node long, meta long")
+    dealt = signatures.join(hot, "sig", "left").withColumn("parts", parts).withColumn("salt", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+    shared = _salted(shared.join(hot, "sig", "left").withColumn("parts", parts)).drop("parts")
     low = SIZE_BITS + SURPLUS_BITS
-    shared = shared.withColumns(
+    rows = dealt.join(shared, ["sig", "salt"]).dropDuplicates(["sig", "salt", "node", "meta"])
+    rows = rows.withColumns(
         {
             "size": _bits(F.col("meta"), 0, SIZE_BITS),
             "surplus": _bits(F.col("meta"), SIZE_BITS, SURPLUS_BITS),
@@ -326,12 +358,13 @@ def _shared_rows(signatures: DataFrame) -> DataFrame:
     ).withColumn("part", F.when(F.col("segment") == 0, F.col("sig")).otherwise(F.col("segment")))
     by_part = Window.partitionBy("node", "space", "segment", "part")
     by_cost = Window.partitionBy("node", "space").orderBy(F.desc("cost"), "segment", "part")
-    return (
-        shared.repartition(F.col("node"))
+    rows = (
+        rows.repartition(F.col("node"))
         .withColumns({"cost": F.sum("met").over(by_part), "turn": F.row_number().over(by_part.orderBy("sig"))})
         .withColumn("dearer", F.sum(F.when(F.col("turn") == 1, F.col("weight")).otherwise(0)).over(by_cost))
-        .select("sig", "node", "size", (F.col("dearer") > F.col("surplus")).alias("probed"), F.lit(1).alias("need"))
+        .select("sig", "salt", "parts", "node", "size", (F.col("dearer") > F.col("surplus")).alias("probed"), F.lit(1).alias("need"))
     )
+    return scratch.save(rows, "allotted")
 
 
 class _Join:
@@ -375,19 +408,18 @@ class _Join:
 
     def compare_with_one(self, rows: DataFrame) -> None:
         """Each bucket's members with one of them, the same for groups that share many buckets."""
-        centre = F.min(F.struct(F.xxhash64("node").alias("h"), "node", "size", "probed")).over(Window.partitionBy("sig"))
-        met = rows.withColumn("c", centre).where((F.col("node") != F.col("c.node")) & (F.col("probed") | F.col("c.probed")))
+        met = _gathered(rows, c=F.min(F.struct(F.xxhash64("node").alias("h"), "node", "size", "probed")))
+        met = met.where((F.col("node") != F.col("c.node")) & (F.col("probed") | F.col("c.probed")))
         met = met.where(100 * F.least("size", "c.size") >= self.percent * F.greatest("size", "c.size"))
         self.verify(met.select(F.least("node", "c.node").alias("a"), F.greatest("node", "c.node").alias("b")).distinct())
 
     def compare_components(self, rows: DataFrame) -> None:
         """All pairs of a bucket's members, one of them probing, that are in different components so far."""
-        bucket = Window.partitionBy("sig")
-        now = self.labelled(rows).withColumns({"one": F.min("comp").over(bucket), "other": F.max("comp").over(bucket)}).where("one < other").drop("one", "other")
+        now = _gathered(self.labelled(rows), one=F.min("comp"), other=F.max("comp")).where("one < other").drop("one", "other")
         now = self.scratch.save(now, f"open-{self.step}")
-        one, two = now.alias("one"), now.where("probed").alias("two")
+        one, two = now.alias("one"), _salted(now.where("probed").drop("salt")).alias("two")
         # each pair once a bucket: its second member probes, and the first is smaller or doesn't
-        meets = F.expr("one.sig = two.sig AND one.comp <> two.comp AND (NOT one.probed OR one.node < two.node)")
+        meets = F.expr("one.sig = two.sig AND one.salt = two.salt AND one.comp <> two.comp AND (NOT one.probed OR one.node < two.node)")
         alike = 100 * F.least("one.size", "two.size") >= self.percent * F.greatest("one.size", "two.size")
         met = one.join(two, meets & alike).select(F.least("one.node", "two.node").alias("a"), F.greatest("one.node", "two.node").alias("b"), F.greatest("one.need", "two.need").alias("need"))
         self.verify(met.groupBy("a", "b").agg(F.count(F.lit(1)).alias("met"), F.max("need").alias("need")).where("met >= need").select("a", "b"))
@@ -396,10 +428,9 @@ class _Join:
         """Link what is near a group's centre; the buckets in which all other links meet."""
         t, save = self.percent, lambda df, name: self.scratch.save(df, f"{name}-{self.step}")
         self.step += 1
-        heads = rows.groupBy("sig").agg(F.min("node").alias("head"))
-        by_node = rows.join(heads, "sig").groupBy("node").agg(F.min("head").alias("head"))
-        groups = save(rows.join(by_node, "node").groupBy("sig").agg(F.min("head").alias("group")), "groups")
-        members = save(rows.join(groups, "sig").select("group", "node", "size").distinct(), "group-members")
+        by_node = _gathered(rows, head=F.min("node")).groupBy("node").agg(F.min("head").alias("head"))
+        headed = save(rows.join(by_node, "node"), "groups")
+        members = save(_gathered(headed, group=F.min("head")).select("group", "node", "size").distinct(), "group-members")
         with_sets = save(members.join(self.sets.select("node", "shingles"), "node"), "group-sets")
         counts = with_sets.select("group", "shingles").mapInArrow(_elements, "group long, element long").groupBy("group", "element").agg(F.count(F.lit(1)).alias("n"))
         half = members.groupBy("group").agg(F.count(F.lit(1)).alias("all"))
@@ -423,20 +454,19 @@ class _Join:
         rarity = save(spread.groupBy("group", "element").agg(F.count(F.lit(1)).alias("n")), "rarity")
         order = Window.partitionBy("group", "node").orderBy("n", "element")
         ranked = spread.join(rarity, ["group", "element"]).withColumn("place", F.row_number().over(order))
-        return ranked.where("place <= prefix AND n > 1").select(F.xxhash64("group", "element").alias("sig"), "node", "size", F.lit(True).alias("probed"), F.col("need").cast("int").alias("need")).distinct()
+        parts = F.ceil(F.col("n") / SALTED).cast("int")
+        dealt = ranked.where("place <= prefix AND n > 1").select(F.xxhash64("group", "element").alias("sig"), parts.alias("parts"), "node", "size", F.lit(True).alias("probed"), F.col("need").cast("int").alias("need"))
+        return dealt.distinct().withColumn("salt", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
 
     def run(self, rows: DataFrame) -> None:
-        bucket, budget = Window.partitionBy("sig"), 0
+        """``rows`` are open: their buckets have two nodes or more, of which some probe, with ``probers``."""
+        budget = EXHAUSTIVE * rows.count()
         for level in range(MAX_LEVELS + 1):
-            seen = {"one": F.min("comp").over(bucket), "other": F.max("comp").over(bucket), "probers": F.count_if("probed").over(bucket)}
-            now = self.labelled(rows).withColumns(seen).where("one < other AND probers > 0").select("sig", "node", "size", "probed", "need", "probers")
-            now = self.scratch.save(now, f"rows-{level}")
+            now = rows if level == 0 else self.scratch.save(opened(self.labelled(rows)), f"rows-{level}")
             hot = now.where(F.col("probers") > HOT)
             work = hot.agg(F.sum(F.col("probers").cast("double"))).first()[0] or 0.0
-            more = level < MAX_LEVELS and work > budget
+            more = level < MAX_LEVELS and work > (0 if level == 0 else budget)
             hot = hot.drop("probers")
-            if level == 0:
-                budget = EXHAUSTIVE * now.count()
             small = (now.where(F.col("probers") <= HOT) if more else now).drop("probers")
             if more:
                 rows = self.scratch.save(self.hot_buckets(hot), f"split-{level}")
@@ -449,6 +479,12 @@ class _Join:
         self.relabel()
 
 
+def opened(rows: DataFrame) -> DataFrame:
+    """The rows of buckets with more than one component in which some row probes, with the number of those."""
+    found = _gathered(rows, one=F.min("comp"), other=F.max("comp"), probers=F.count_if("probed")).where("one < other AND probers > 0")
+    return found.select("sig", "salt", "parts", "node", "size", "probed", "need", "probers")
+
+
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
     """Link documents whose shingle sets have a Jaccard similarity of at least ``percent`` / 100.
 
@@ -466,16 +502,23 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     scratch = Scratch(spark, "setjoin")
     docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     kind = docs.schema["id"].dataType.simpleString()
-    members = scratch.save(docs.mapInArrow(_nodes(words), f"id {kind}, n_shingles long, node long, twin long"), "members")
-    signatures = docs.where("text IS NOT NULL").select("text").mapInArrow(_rows_of_signatures(words, percent), "sig long, node long, meta long")
-    shared = _shared_rows(signatures)
-    bucket = Window.partitionBy("sig")
-    rows = scratch.save(shared.withColumn("any", F.max("probed").over(bucket)).where("any").drop("any"), "rows")
+    members = scratch.save(docs.mapInArrow(_nodes(words, NODE_BITS), f"id {kind}, n_shingles long, node long, twin long"), "members")
+    alike = members.where("node IS NOT NULL").groupBy("node").agg(F.min("twin").alias("low"), F.max("twin").alias("high")).where("low < high").select("node")
+    found = alike.limit(MAX_CLASHES + 1).toArrow().column("node").to_numpy().view(U)
+    if len(found) > MAX_CLASHES:
+        raise ValueError("more sets share 64 bits of their identity than chance allows")
+    clashes = spark.sparkContext.broadcast(found)
+    if len(found):
+        members = members.join(F.broadcast(alike.withColumn("clash", F.lit(True))), "node", "left").withColumn("node", F.when(F.col("clash"), F.col("twin")).otherwise(F.col("node")))
+    texts = docs.where("text IS NOT NULL").select("text")
+    rows = _shared_rows(scratch, texts, words, percent, clashes)
+    rows = scratch.save(opened(rows.withColumn("comp", F.col("node"))), "rows")
+    scratch.drop("allotted")
 
     involved = scratch.save(rows.select("node").distinct(), "involved")
-    wanted = spark.sparkContext.broadcast(_node_filter(involved))
+    wanted = spark.sparkContext.broadcast(_filter_of(involved))
     scratch.release()
-    sets = docs.where("text IS NOT NULL").select("text").mapInArrow(_shingle_sets(words, wanted), "node long, shingles binary, parity binary")
+    sets = texts.mapInArrow(_shingle_sets(words, NODE_BITS, clashes, wanted), "node long, shingles binary, parity binary")
     sets = sets.dropDuplicates(["node"]).join(involved, "node", "left_semi")
     sets = scratch.save(sets.withColumn("size", (F.octet_length("shingles") / 8).cast("long")), "sets")
     scratch.release()

@@ -110,6 +110,19 @@ def test_join_finds_every_link_of_large_groups(spark):
     assert same_rows(setjoin.jaccard_components(documents(spark, texts)).collect(), brute_components(texts))
 
 
+def test_join_of_hot_signatures_and_clashing_names(spark, monkeypatch):
+    """Buckets are dealt over salts, filters are full, and 64 bits of a set's identity are the same for many sets."""
+    r = random.Random(7)
+    base = " ".join(f"b{k}" for k in range(40))
+    texts = [edited(base, r.choice((0, 1, 2)), r) for _ in range(120)] + [" ".join(f"c{r.randrange(9)}" for _ in range(7)) for _ in range(60)] + [base + " x y z"] * 5
+    monkeypatch.setattr(setjoin, "SALTED", 3)
+    monkeypatch.setattr(setjoin, "FILTER_BITS", (9, 9))
+    expected = brute_components(texts)
+    assert same_rows(setjoin.jaccard_components(documents(spark, texts)).collect(), expected)
+    monkeypatch.setattr(setjoin, "NODE_BITS", 6)  # some 180 sets, 64 names: the other half tells them apart
+    assert same_rows(setjoin.jaccard_components(documents(spark, texts)).collect(), expected)
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.sets(st.integers(0, 14), min_size=3, max_size=14), min_size=2, max_size=2), st.sampled_from([60, 80, 90]))
 def test_linked_sets_share_a_needed_signature(pair, percent):
