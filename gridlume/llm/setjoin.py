@@ -21,7 +21,7 @@ centre, without any comparison, or D1 and D2 share some of their rarest elements
 next, smaller buckets. Every other candidate pair is verified on the whole shingle sets, as 64-bit
 hashes. A set is named by 64 of 128 bits; where two sets share those, they take the other 64.
 
-No task gets all rows of a hot signature: signatures are counted with partial aggregation first, a
+No task gets all rows of a hot signature: signatures are first counted in chunks of a partition, a
 filter of the shared ones keeps all others where they are, and rows meet their bucket's figures by
 (signature, salt), where a signature that many share has many salts.
 """
@@ -53,6 +53,7 @@ EXHAUSTIVE = 10  #: after the first time, only while comparing the rest would me
 MOST_COMMON = 3  #: common elements that pairs of a split bucket must show before they are compared
 FILTER_PARTS, FILTER_HASHES = 64, 3
 FILTER_BITS = (20, 29)  #: least and most of a filter: 16 bits an entry up to 64 MB; when that fills up, more rows than needed travel
+CHUNK = 1 << 19  #: signature rows that are counted together before the shuffle
 SALTED = 256  #: rows of a bucket for each of its salts, or more where
 HOT_SHARE = 1e-5  #: that share of all rows is larger: so at most 1 / HOT_SHARE signatures are hot, which is what is broadcast
 NODE_BITS = 64  #: of a set's name
@@ -175,27 +176,59 @@ def _nodes(size: int, bits: int):
     return run
 
 
-def _rows_of_signatures(size: int, bits: int, percent: int, clashes: Broadcast, wanted: Broadcast | None = None):
-    """(text) to (sig, node), or with a filter of signatures to (sig, node, meta) of those in it; of the copies of a set in one partition, the first counts."""
-    names = ["sig", "node"] if wanted is None else ["sig", "node", "meta"]
+def _fresh_signatures(batches: Iterator[pa.RecordBatch], size: int, bits: int, percent: int, clashes: Broadcast) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(signature, node, meta) rows of the texts; of the copies of a set in one partition, the first counts."""
+    seen: set[int] = set()
+    for batch in batches:
+        for _, hashes, at, a, _ in _sets_of(batch, 0, size, bits, clashes):
+            fresh = np.zeros(len(a), bool)
+            for k, x in enumerate(a.tolist()):
+                if x not in seen:
+                    seen.add(x)
+                    fresh[k] = True
+            kept = np.flatnonzero(fresh)
+            counts = np.diff(at)
+            yield _signatures(hashes[np.repeat(fresh, counts)], np.append(0, np.cumsum(counts[kept])), a[kept], percent)
+
+
+def _counted_signatures(size: int, bits: int, percent: int, clashes: Broadcast):
+    """(text) to (sig, node, n): a signature's rows of CHUNK rows or so are one, or two of different nodes, whose ``n`` add up to them."""
+
+    def chunk(parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+        sig, node = (np.concatenate([p[c] for p in parts]) for c in (0, 1))
+        order = np.argsort(sig)
+        sig, node = sig[order], node[order]
+        start = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]]))
+        n = np.diff(np.append(start, len(sig)))
+        low, high = np.minimum.reduceat(node, start), np.maximum.reduceat(node, start)
+        two = np.flatnonzero(low != high)
+        n = np.concatenate([n, np.ones(len(two), np.int64)])
+        n[two] -= 1
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate([sig[start], sig[start[two]]]).view(np.int64)), pa.array(np.concatenate([low, high[two]]).view(np.int64)), pa.array(n.astype(np.int32))], ["sig", "node", "n"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
-        for batch in batches:
-            for _, hashes, at, a, _ in _sets_of(batch, 0, size, bits, clashes):
-                fresh = np.zeros(len(a), bool)
-                for k, x in enumerate(a.tolist()):
-                    if x not in seen:
-                        seen.add(x)
-                        fresh[k] = True
-                kept = np.flatnonzero(fresh)
-                counts = np.diff(at)
-                part = _signatures(hashes[np.repeat(fresh, counts)], np.append(0, np.cumsum(counts[kept])), a[kept], percent)
-                if wanted is not None:
-                    hits = _in_filter(part[0], wanted.value)
-                    part = [x[hits] for x in part]
-                if len(part[0]):
-                    yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in part[: len(names)]], names)
+        parts, held = [], 0
+        for part in _fresh_signatures(batches, size, bits, percent, clashes):
+            if len(part[0]):
+                parts.append(part)
+                held += len(part[0])
+            if held >= CHUNK:
+                yield chunk(parts)
+                parts, held = [], 0
+        if parts:
+            yield chunk(parts)
+
+    return run
+
+
+def _signatures_in(size: int, bits: int, percent: int, clashes: Broadcast, wanted: Broadcast):
+    """(text) to (sig, node, meta) of the signatures in the filter."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in _fresh_signatures(batches, size, bits, percent, clashes):
+            hits = _in_filter(part[0], wanted.value)
+            if len(hits):
+                yield pa.RecordBatch.from_arrays([pa.array(x[hits].view(np.int64)) for x in part], ["sig", "node", "meta"])
 
     return run
 
@@ -334,15 +367,17 @@ def _shared_rows(scratch: Scratch, texts: DataFrame, words: int, percent: int, c
     Segments that nobody shares are free. Of the others, ordered from the dearest, those within
     the surplus weight are left out; ties go by the segment's number and signature.
     """
-    signatures = texts.mapInArrow(_rows_of_signatures(words, NODE_BITS, percent, clashes), "sig long, node long")
-    met = signatures.groupBy("sig").agg(F.count(F.lit(1)).alias("met"), F.min("node").alias("low"), F.max("node").alias("high")).where("low < high")
-    shared = scratch.save(met.select("sig", "met"), "shared")
+    # nearly all signatures occur once, for which sorting is cheaper than hash tables on both sides of the shuffle
+    bucket = Window.partitionBy("sig")
+    met = texts.mapInArrow(_counted_signatures(words, NODE_BITS, percent, clashes), "sig long, node long, n int")
+    met = met.withColumns({"met": F.sum("n").over(bucket), "low": F.min("node").over(bucket), "high": F.max("node").over(bucket)}).where("low < high")
+    shared = scratch.save(met.select("sig", "met").distinct(), "shared")
     wanted = texts.sparkSession.sparkContext.broadcast(_filter_of(shared.select("sig")))
     scratch.release()
     most = max(SALTED, int(HOT_SHARE * (shared.agg(F.sum("met")).first()[0] or 0)))
     hot = F.broadcast(shared.where(F.col("met") > most).select("sig", F.ceil(F.col("met") / most).cast("int").alias("parts")))  # at most 1 / HOT_SHARE rows
     parts = F.coalesce("parts", F.lit(1))
-    signatures = texts.mapInArrow(_rows_of_signatures(words, NODE_BITS, percent, clashes, wanted), "sig long, node long, meta long")
+    signatures = texts.mapInArrow(_signatures_in(words, NODE_BITS, percent, clashes, wanted), "sig long, node long, meta long")
     dealt = signatures.join(hot, "sig", "left").withColumn("parts", parts).withColumn("salt", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
     shared = _salted(shared.join(hot, "sig", "left").withColumn("parts", parts)).drop("parts")
     low = SIZE_BITS + SURPLUS_BITS
