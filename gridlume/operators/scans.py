@@ -1,13 +1,15 @@
 """Height scans, kernel scans and verification: frames against candidates.
 
-A frame meets its candidates in batches, so its pixels travel once per batch and not once per
-candidate; plans come from the store where one is given and from each worker's cache otherwise.
-One frame and candidate are one call, so results don't depend on partitions.
+Work items are small by contract and go to the frames, which stay where they are read; only where
+frames are fewer than tasks are they dealt out in as many copies as there are idle tasks. Each
+worker decodes or builds a plan once, and solves all frames of a shape that it holds in one call, in
+which every column is computed by itself, so results don't depend on partitions.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -22,10 +24,29 @@ from . import metrics
 FRAME_DDL = "frame_id BIGINT, width INT, height INT, pixels ARRAY<FLOAT>"
 BATCH = 32  #: candidates of a batch
 MOST_KERNELS = 4096
-MOST_BROADCAST = 200_000  #: work items that are broadcast instead of shuffled
+MOST_BROADCAST, MOST_PLAN_BYTES = 200_000, 1 << 27  #: work items, and bytes of their plans, that are broadcast instead of shuffled
+STACK = 1 << 21  #: pixels that are solved in one call, about
 DEFAULT_METRIC = {"crop": (10, 10, 10, 10), "threshold": 0.015, "norm": 1}
 
 
+def _along_rows(lines: np.ndarray, n: int) -> np.ndarray:
+    """(a, n * b) of n images' (a, b) to (b, n * a)."""
+    return np.ascontiguousarray(lines.reshape(lines.shape[0], n, -1).transpose(2, 1, 0)).reshape(-1, n * lines.shape[0])
+
+
+def _reconstructed(lines: np.ndarray, n: int, horizontal: axis.Plan | None, vertical: axis.Plan | None) -> np.ndarray:
+    """The observed lines of n native images, (height, n * width), along the cheaper axis first."""
+    order = ("horizontal", "vertical")
+    if horizontal is not None and vertical is not None and axis.forward_order(horizontal, vertical) == "vertical":
+        order = order[::-1]
+    for name in order:
+        if name == "vertical" and vertical is not None:
+            lines = axis.forward(vertical, lines)
+        if name == "horizontal" and horizontal is not None:
+            lines = _along_rows(axis.forward(horizontal, _along_rows(lines, n)), n)
+    return lines
+
+
 def descale(image: np.ndarray, horizontal: axis.Plan | None, vertical: axis.Plan | None) -> np.ndarray:
     """The native image: inverse along the axes that have a plan, width first."""
     if horizontal is not None:
@@ -34,35 +55,53 @@ def descale(image: np.ndarray, horizontal: axis.Plan | None, vertical: axis.Plan
 
 
 def reconstruct(native: np.ndarray, horizontal: axis.Plan | None, vertical: axis.Plan | None) -> np.ndarray:
-    """The observed image of a native one, along the cheaper axis first."""
-    steps = {"horizontal": horizontal, "vertical": vertical}
-    order = ("horizontal", "vertical")
-    if horizontal is not None and vertical is not None and axis.forward_order(horizontal, vertical) == "vertical":
-        order = order[::-1]
-    for name in order:
-        if (plan := steps[name]) is not None:
-            native = axis.forward(plan, native) if name == "vertical" else np.ascontiguousarray(axis.forward(plan, native.T).T)
-    return native
+    """The observed image of a native one."""
+    return _reconstructed(native, 1, horizontal, vertical)
+
+
+class Stack:
+    """Images of one shape, side by side in both directions: all of them are one call for a candidate."""
+
+    def __init__(self, images: list[np.ndarray], metric: dict) -> None:
+        self.n, self.metric = len(images), metric
+        self.height, self.width = images[0].shape
+        self.left, self.right, self.top, self.bottom = metrics.bounds(self.width, self.height, metric["crop"])
+        self.images = images
+        self.made: dict[str, np.ndarray] = {}
+
+    def _lines(self, which: str) -> np.ndarray:
+        """The images' whole columns (height, n * width), whole rows (width, n * height), or of these what one axis alone needs."""
+        if which not in self.made:
+            cut = {"columns": np.s_[:, :], "rows": np.s_[:, :], "columns within": np.s_[:, self.left : self.right], "rows within": np.s_[self.top : self.bottom]}[which]
+            parts = [i[cut] if which.startswith("columns") else i[cut].T for i in self.images]
+            self.made[which] = np.ascontiguousarray(np.concatenate(parts, axis=1))
+        return self.made[which]
+
+    def errors(self, horizontal: axis.Plan | None, vertical: axis.Plan | None) -> list[float]:
+        """The metric of each image's reconstruction. With one axis, lines outside the crop are never computed."""
+        if horizontal is None or vertical is None:
+            name, plan, low, high = ("columns within", vertical, self.top, self.bottom) if horizontal is None else ("rows within", horizontal, self.left, self.right)
+            lines = self._lines(name)
+            difference = (lines[low:high] - axis.forward(plan, axis.inverse(plan, lines), low, high)).reshape(high - low, self.n, -1)
+        else:
+            native = axis.inverse(vertical, _along_rows(axis.inverse(horizontal, self._lines("rows")), self.n))
+            made = _reconstructed(native, self.n, horizontal, vertical)
+            difference = (self._lines("columns") - made).reshape(self.height, self.n, self.width)[self.top : self.bottom, :, self.left : self.right]
+        return [metrics.p_norm(np.ascontiguousarray(difference[:, k]), self.metric["threshold"], self.metric["norm"]) for k in range(self.n)]
 
 
 def candidate_error(image: np.ndarray, horizontal: axis.Plan | None, vertical: axis.Plan | None, crop: tuple[int, int, int, int], threshold: float, norm: int) -> float:
-    """The metric of an image's reconstruction. With one axis, lines outside the crop are never computed."""
-    left, right, top, bottom = metrics.bounds(image.shape[1], image.shape[0], crop)
-    if vertical is not None and horizontal is None:
-        part = image[:, left:right]
-        made = axis.forward(vertical, axis.inverse(vertical, part), top, bottom)
-        return metrics.p_norm(part[top:bottom] - made, threshold, norm)
-    if horizontal is not None and vertical is None:
-        part = np.ascontiguousarray(image[top:bottom].T)
-        made = axis.forward(horizontal, axis.inverse(horizontal, part), left, right)
-        return metrics.p_norm(part[left:right] - made, threshold, norm)
-    made = reconstruct(descale(image, horizontal, vertical), horizontal, vertical)
-    return metrics.p_norm((image - made)[top:bottom, left:right], threshold, norm)
+    return Stack([image], {"crop": crop, "threshold": threshold, "norm": norm}).errors(horizontal, vertical)[0]
+
+
+@lru_cache(2048)
+def _decoded(data: bytes) -> axis.Plan:
+    return axis.Plan.from_bytes(data)
 
 
 def _plan(work: dict, side: str, size: int) -> axis.Plan:
     if work.get(f"{side}_plan") is not None:
-        return axis.Plan.from_bytes(work[f"{side}_plan"])
+        return _decoded(bytes(work[f"{side}_plan"]))
     geometry = work["geometry"]
     names = ("width", "src_width", "src_left") if side == "h" else ("height", "src_height", "src_top")
     k = work["kernel"]
@@ -85,29 +124,60 @@ def _problem(work: dict, width: int, height: int, modes: str) -> str | None:
 _SIDES = {"h_only": "h", "w_only": "w", "h_plus_w": "hw"}
 
 
-def _run(axis_mode: str, metric: dict, strict: bool):
+def _as_dict(work) -> dict:
+    work = work.asDict(True) if hasattr(work, "asDict") else dict(work)
+    return {k: (v.asDict() if hasattr(v, "asDict") else v) for k, v in work.items()}
+
+
+def _run(axis_mode: str, metric: dict, strict: bool, shared=None, parts: int = 1):
+    """Frames to their errors with the work items of their own ``works`` column or, of their shape and part, of ``shared``; a frame's rows are together and in order."""
     sides = _SIDES[axis_mode]
 
+    def stacks(batch: pd.DataFrame) -> Iterator[tuple[list[int], list[np.ndarray], list[str | None]]]:
+        """(rows, images, problems) of consecutive frames that have the same shape and, with a column of their own, are alone."""
+        rows, images, problems, shape = [], [], [], None
+        most = 1 if shared is None else max(1, STACK // max(1, int(batch["width"].iloc[0] or 1) * int(batch["height"].iloc[0] or 1)))
+        for row, frame in enumerate(batch.itertuples(index=False)):
+            image, wrong = None, "frame_missing"
+            if frame.pixels is not None and len(frame.pixels) == frame.width * frame.height:
+                image = np.asarray(frame.pixels, np.float32).reshape(int(frame.height), int(frame.width))
+                wrong = None if np.isfinite(image).all() else "frame_not_finite"
+            now = (frame.width, frame.height, getattr(frame, "part", 0))
+            if rows and (now != shape or len(rows) >= most):
+                yield rows, images, problems
+                rows, images, problems = [], [], []
+            rows.append(row)
+            images.append(image)
+            problems.append(wrong)
+            shape = now
+        if rows:
+            yield rows, images, problems
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = []
-            for frame in batch.itertuples(index=False):
-                image, wrong = None, "frame_missing"
-                if frame.pixels is not None and len(frame.pixels) == frame.width * frame.height:
-                    image = np.asarray(frame.pixels, np.float32).reshape(int(frame.height), int(frame.width))
-                    wrong = None if np.isfinite(image).all() else "frame_not_finite"
-                for work in frame.works:
-                    work = {k: (v.asDict() if hasattr(v, "asDict") else v) for k, v in (work.asDict() if hasattr(work, "asDict") else dict(work)).items()}
-                    problem = wrong or _problem(work, int(frame.width), int(frame.height), sides)
-                    if problem and strict:
-                        raise ValueError(f"frame {frame.frame_id}: {problem}")
-                    error = None
-                    if not problem:
-                        horizontal = _plan(work, "h", image.shape[1]) if "w" in sides else None
-                        vertical = _plan(work, "v", image.shape[0]) if "h" in sides else None
-                        error = candidate_error(image, horizontal, vertical, metric["crop"], metric["threshold"], metric["norm"])
-                    rows.append((frame.frame_id, work["ordinal"], error, problem))
-            yield pd.DataFrame(rows, columns=["frame_id", "ordinal", "error", "problem"])
+            out = []
+            for rows, images, problems in stacks(batch):
+                first = batch.iloc[rows[0]]
+                width, height = int(first["width"]), int(first["height"])
+                works = [_as_dict(w) for w in first["works"]] if shared is None else shared.value.get((width, height), ())
+                if parts > 1:
+                    works = works[int(first["part"]) :: parts]
+                good = [k for k, wrong in enumerate(problems) if wrong is None]
+                stack = Stack([images[k] for k in good], metric) if good else None
+                found = []
+                for work in works:
+                    problem = _problem(work, width, height, sides)
+                    errors: list[float | None] = [None] * len(good)
+                    if stack is not None and not problem:
+                        errors = stack.errors(_plan(work, "h", width) if "w" in sides else None, _plan(work, "v", height) if "h" in sides else None)
+                    found.append((work["ordinal"], problem, dict(zip(good, errors))))
+                for k, row in enumerate(rows):
+                    for ordinal, problem, errors in found:
+                        problem = problems[k] or problem
+                        if problem and strict:
+                            raise ValueError(f"frame {batch['frame_id'].iloc[row]}: {problem}")
+                        out.append((batch["frame_id"].iloc[row], ordinal, errors.get(k), problem))
+            yield pd.DataFrame(out, columns=["frame_id", "ordinal", "error", "problem"])
 
     return run
 
@@ -118,20 +188,37 @@ def analyse(frames: DataFrame, works: DataFrame, axis_mode: str, metric: dict, s
     ``works`` is (width, height, ordinal, geometry, kernel) and, from a store, h_plan and v_plan:
     small, one row per candidate and frame shape. A problem, such as a frame whose pixels aren't
     width times height or a canvas that isn't smaller than the frame, gives a null error; with
-    ``strict`` it is an error of the job. ``spread`` deals a frame's batches over tasks; without it
-    frames are analysed where they are read and their pixels aren't shuffled.
+    ``strict`` it is an error of the job. ``spread`` lets frames that are fewer than the tasks be
+    dealt out in copies; works or plans too many to broadcast meet the frames in batches.
     """
-    plans = [c for c in ("h_plan", "v_plan") if c in works.columns]
-    item = F.struct("ordinal", "geometry", "kernel", *plans)
-    batches = works.withColumn("batch", F.floor(F.col("ordinal") / batch)).groupBy("width", "height", "batch").agg(F.collect_list(item).alias("works"))
-    # without plans an item is about 150 bytes, so a checked number of them is small enough to broadcast
-    if not plans and works.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST:
-        batches = F.broadcast(batches)
-    pairs = frames.select("frame_id", "width", "height", "pixels").join(batches, ["width", "height"])
+    spark = frames.sparkSession
     metrics.bounds(1 << 30, 1 << 30, metric["crop"])
-    if spread:
-        pairs = pairs.repartition("frame_id", "batch")
-    return pairs.drop("batch").mapInPandas(_run(axis_mode, metric, strict), "frame_id BIGINT, ordinal INT, error DOUBLE, problem STRING")
+    plans = [c for c in ("h_plan", "v_plan") if c in works.columns]
+    schema = "frame_id BIGINT, ordinal INT, error DOUBLE, problem STRING"
+    frames = frames.select("frame_id", "width", "height", "pixels")
+    works = works.persist()  # asked for its size and then for its rows
+    size = works.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(sum((F.coalesce(F.octet_length(c), F.lit(0)).cast("long") for c in plans), F.lit(0).cast("long"))), F.lit(0)).alias("bytes")).first()
+    if size.n > MOST_BROADCAST or size.bytes > MOST_PLAN_BYTES:
+        item = F.struct("ordinal", "geometry", "kernel", *plans)
+        batches = works.withColumn("batch", F.floor(F.col("ordinal") / batch)).groupBy("width", "height", "batch").agg(F.collect_list(item).alias("works"))
+        pairs = frames.join(batches, ["width", "height"])
+        if spread:
+            pairs = pairs.repartition("frame_id", "batch")
+        return pairs.drop("batch").mapInPandas(_run(axis_mode, metric, strict), schema)
+    shapes: dict[tuple[int, int], list[dict]] = {}
+    for r in works.collect():
+        shapes.setdefault((r.width, r.height), []).append(_as_dict(r))
+    for items in shapes.values():
+        items.sort(key=lambda w: w["ordinal"])
+    works.unpersist()
+    shared = spark.sparkContext.broadcast(shapes)
+    tasks = 2 * spark.sparkContext.defaultParallelism
+    parts = 1
+    if spread and size.n:
+        parts = min(-(-tasks // max(1, frames.select("frame_id").limit(tasks).count())), max(map(len, shapes.values())))
+    if parts > 1:
+        frames = frames.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))).repartition(tasks, "frame_id", "part")
+    return frames.mapInPandas(_run(axis_mode, metric, strict, shared, parts), schema)
 
 
 def with_plans(works: DataFrame, axis_mode: str, path: str) -> tuple[DataFrame, int]:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from . import axis
 
 #: Changes with the arithmetic of plans, so that old ones aren't reused.
-BUILD = "axis-1"
+BUILD = "axis-2"
 KEY = ("source_size", "destination_size", "active_length", "shift", "kernel_id", "b", "c", "taps")
 KEY_DDL = "source_size INT, destination_size INT, active_length DOUBLE, shift DOUBLE, kernel_id STRING, b DOUBLE, c DOUBLE, taps INT"
 PLAN_DDL = f"{KEY_DDL}, plan BINARY, half_bandwidth INT, plan_bytes BIGINT, problem STRING"
