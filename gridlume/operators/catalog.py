@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 #: Phases of a group's jobs, from the one that names the group to the last.
+MEASURED = ("candidates", "verify")  #: phases whose progress is work done
 PHASES = ("running", "queued", "failed", "partial", "cancelled", "completed")
 UNFINISHED = ("queued", "running")
 
@@ -51,9 +52,21 @@ def plan_height_runs(samples: DataFrame, sources: DataFrame, kernels: DataFrame)
 
 
 def plan_kernel_runs(samples: DataFrame, sources: DataFrame, geometries: DataFrame) -> DataFrame:
-    """One member per included sample, with its source's geometry."""
+    """One member per included sample, with its source's geometry, and the first guard that it fails, or null.
+
+    samples: source_id, included, sample_fingerprint. sources: source_id, state, fingerprint, width,
+    height, geometry_key. A fingerprint that either side lacks is not compared.
+    """
     rows = samples.where("included").join(sources, "source_id", "left").join(geometries, "geometry_key", "left")
-    return rows.withColumn("problem", F.when(F.col("state").isNull(), "source_missing").when(F.col("geometry").isNull(), "geometry_missing"))
+    dimension = lambda c: F.coalesce(F.col(c), F.lit(0)) == 0
+    known = lambda c: F.coalesce(F.col(c), F.lit("")) != ""
+    problem = (
+        F.when(F.coalesce(F.col("state"), F.lit("")) != "ready", "sample_source_unavailable")
+        .when(known("sample_fingerprint") & known("fingerprint") & (F.col("sample_fingerprint") != F.col("fingerprint")), "sample_fingerprint_stale")
+        .when(dimension("width") | dimension("height"), "source_dims_missing")
+        .when(F.col("geometry").isNull(), "geometry_unresolved")
+    )
+    return rows.withColumn("problem", problem)
 
 
 def plan_verify_runs(chosen: DataFrame, sources: DataFrame) -> DataFrame:
@@ -134,30 +147,42 @@ def group_progress(jobs: DataFrame, most: int = 4) -> DataFrame:
 
 
 def throughput(progress: DataFrame) -> DataFrame:
-    """(job_id, completed, fps_current, fps_average): a job's latest rates from rows (job_id, at_ms, completed).
+    """(job_id, phase, completed, fps_current, fps_average): a job's latest state from rows (job_id, at_ms, completed) and, if there, phase.
 
-    The completed count never falls; the current rate is halved with each new one. A fold over one
-    job's events in order.
+    Only rows of a phase in MEASURED, or of none, count work; others just change the phase. A new
+    phase starts again: its work from 0 and its time from the row before. Within a phase the count
+    never falls; the current rate is halved with each new one. A fold over one job's events in order.
     """
-    item = F.struct(F.col("at_ms").cast("double").alias("at"), F.col("completed").cast("double").alias("done"))
+    phase = F.col("phase") if "phase" in progress.columns else F.lit(None).cast("string")
+    item = F.struct(F.col("at_ms").cast("double").alias("at"), F.col("completed").cast("double").alias("done"), phase.alias("phase"))
     rows = progress.groupBy("job_id").agg(F.array_sort(F.collect_list(item)).alias("events"))
     number = lambda x: F.lit(x).cast("double")
-    start = F.struct(number(None).alias("at"), number(0).alias("done"), number(0).alias("base"), number(None).alias("rate"))
+    fields = {"at": None, "done": 0, "base": 0, "rate": None, "updated": None, "started": None, "elapsed": 0, "average": None}
+    start = F.struct(*(number(v).alias(k) for k, v in fields.items()), F.lit(None).cast("string").alias("phase"))
 
     def step(s: Column, e: Column) -> Column:
-        done = F.greatest(s["done"], e["done"])
-        moves = (e["at"] > s["at"]) & (done > s["base"])
-        instant = (done - s["base"]) * 1000 / (e["at"] - s["at"])
-        first = s["at"].isNull()
-        return F.struct(
-            F.when(first | moves, e["at"]).otherwise(s["at"]).alias("at"),
-            done.alias("done"),
-            F.when(first | moves, done).otherwise(s["base"]).alias("base"),
-            F.when(moves, F.when(s["rate"].isNull(), instant).otherwise(s["rate"] * 0.5 + instant * 0.5)).otherwise(s["rate"]).alias("rate"),
-        )
-
-    rows = rows.withColumn("s", F.aggregate("events", start, step)).withColumn("ms", F.element_at("events", -1)["at"] - F.col("events")[0]["at"])
-    return rows.select("job_id", F.col("s.done").cast("long").alias("completed"), F.col("s.rate").alias("fps_current"), F.when((F.col("ms") > 0) & (F.col("s.done") > 0), F.col("s.done") * 1000 / F.col("ms")).alias("fps_average"))
+        counts = e["phase"].isNull() | e["phase"].isin(*MEASURED)
+        new = s["updated"].isNull() | ~s["phase"].eqNullSafe(e["phase"])
+        at, base, before = F.when(~new, s["at"]), F.when(new, number(0)).otherwise(s["base"]), F.when(new, number(0)).otherwise(s["done"])
+        done = F.greatest(before, e["done"])
+        moves = F.coalesce((e["at"] > at) & (done > base), F.lit(False))
+        instant = (done - base) * 1000 / (e["at"] - at)
+        started = F.when(new, F.least(F.coalesce(s["updated"], e["at"]), e["at"])).otherwise(F.coalesce(s["started"], F.least(s["updated"], e["at"])))
+        elapsed = F.greatest(F.when(new, number(0)).otherwise(s["elapsed"]), e["at"] - started)
+        measured = {
+            "at": F.when(at.isNull() | moves, e["at"]).otherwise(at),
+            "done": done,
+            "base": F.when(at.isNull() | moves, done).otherwise(base),
+            "rate": F.when(moves, F.when(s["rate"].isNull(), instant).otherwise(s["rate"] * 0.5 + instant * 0.5)).otherwise(s["rate"]),
+            "started": started,
+            "elapsed": elapsed,
+            "average": F.when((elapsed > 0) & (done > 0), done * 1000 / elapsed).otherwise(s["average"]),
+        }
+        later = {k: F.when(counts, v).otherwise(s[k]) for k, v in measured.items()} | {"updated": e["at"], "phase": e["phase"]}
+        return F.struct(*(later[k].alias(k) for k in [*fields, "phase"]))
+
+    rows = rows.withColumn("s", F.aggregate("events", start, step))
+    return rows.select("job_id", "s.phase", F.col("s.done").cast("long").alias("completed"), F.col("s.rate").alias("fps_current"), F.col("s.average").alias("fps_average"))
 
 
 def terminal_rate(payload: Column, fallback: Column) -> Column:

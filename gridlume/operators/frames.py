@@ -158,16 +158,20 @@ def identity_score(decoded: str, indexed: str) -> Column:
 
 
 def matched(decoded: DataFrame, index: DataFrame, stream: tuple[str, ...] = ()) -> DataFrame:
-    """(stream, decoded_id, frame_index, score): each decoded frame's best indexed one of its stream, the earliest of equals.
+    """(stream, decoded_id, frame_index, score, problem): each decoded frame's best indexed one of its stream.
 
-    Frames meet on equal times instead of all with all; one that shares no time matches none.
+    Where several indexed frames share the best score the match is ambiguous: the frame index is
+    null and the problem says so. Frames meet on equal times instead of all with all; one that
+    shares no time matches none.
     """
     times = lambda df: df.withColumn("_key", F.explode(F.array_distinct(F.array_compact(F.array(*(F.concat(F.lit(k), F.col(c).cast("string")) for k, c in (("p", "pts"), ("p", "best_effort"), ("d", "dts"))))))))
     left = times(decoded).select(*stream, "_key", "decoded_id", F.struct("pts", "best_effort", "dts", "duration").alias("d"))
     right = times(index).select(*stream, "_key", "frame_index", F.struct("pts", "best_effort", "dts", "duration").alias("x"))
     pairs = left.join(right, [*stream, "_key"]).select(*stream, "decoded_id", "frame_index", identity_score("d", "x").alias("score")).distinct().where("score > 0")
-    best = pairs.groupBy(*stream, "decoded_id").agg(F.min(F.struct((-F.col("score")).alias("s"), "frame_index")).alias("b"))
-    return best.select(*stream, "decoded_id", "b.frame_index", (-F.col("b.s")).alias("score"))
+    scores = pairs.groupBy(*stream, "decoded_id", "score").agg(F.count(F.lit(1)).alias("n"), F.min("frame_index").alias("frame_index"))
+    best = scores.groupBy(*stream, "decoded_id").agg(F.max(F.struct("score", "n", "frame_index")).alias("b"))
+    one = F.col("b.n") == 1
+    return best.select(*stream, "decoded_id", F.when(one, F.col("b.frame_index")).alias("frame_index"), "b.score", F.when(~one, "ambiguous_timestamps").alias("problem"))
 
 
 def ordered_subset_problem(selected: DataFrame, frames: DataFrame) -> DataFrame:

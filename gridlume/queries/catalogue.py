@@ -40,9 +40,10 @@ def group_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def throughput(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Whole counts of a user's events over time; rates by second."""
-    rows = table(spark, sf_dir, "events").select(F.col("user_id").alias("job_id"), F.unix_millis(F.col("ts").cast("timestamp")).alias("at_ms"), F.col("event_id").alias("completed"))
-    return catalog.throughput(rows).select("job_id", "completed", rounded("fps_average", 6))
+    """A user's events as a job's progress, in which views and clicks are measured phases and others aren't; rates by second."""
+    phase = F.expr("CASE event_type WHEN 'view' THEN 'candidates' WHEN 'click' THEN 'verify' ELSE event_type END")
+    rows = table(spark, sf_dir, "events").select(F.col("user_id").alias("job_id"), F.unix_millis(F.col("ts").cast("timestamp")).alias("at_ms"), (F.col("event_id") % 1000).alias("completed"), phase.alias("phase"))
+    return catalog.throughput(rows).select("job_id", "phase", "completed", rounded("fps_average", 6))
 
 
 def terminal_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -178,11 +179,7 @@ def _kernel_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def kernel_row_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return catalog.sorted_kernel_rows(_kernel_rows(spark, sf_dir)).limit(50).select("run_id", "kernel_id", "sample_label")
-
-
-def kernel_row_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every row with its place in that order."""
+    """Every row with its place in the canonical order."""
     return catalog.numbered_kernel_rows(_kernel_rows(spark, sf_dir)).select("run_id", "kernel_id", "sample_label", "row_number")
 
 
@@ -218,7 +215,7 @@ def resumed_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (series_table, series_incompatible, ungrouped_runs, group_progress, throughput, terminal_rates, dedup_first_wins, integrity_violations, repeated_reviews, missing_sources, upsert_delete, cascade_delete, ready_sources, asset_work, uncached_assets, duplicate_samples, merged_sources, recent_projects, cache_pruning, samples_by_source, recipe_choice, removable_recipes, readiness, run_planning, group_types, exploded_results, coverage_badges, coverage_wire, kernel_row_order, kernel_row_numbers, lost_jobs, cancelled_prefix, event_reduction, sequence_check, display_windows, resumed_stream)
+    for f in (series_table, series_incompatible, ungrouped_runs, group_progress, throughput, terminal_rates, dedup_first_wins, integrity_violations, repeated_reviews, missing_sources, upsert_delete, cascade_delete, ready_sources, asset_work, uncached_assets, duplicate_samples, merged_sources, recent_projects, cache_pruning, samples_by_source, recipe_choice, removable_recipes, readiness, run_planning, group_types, exploded_results, coverage_badges, coverage_wire, kernel_row_order, lost_jobs, cancelled_prefix, event_reduction, sequence_check, display_windows, resumed_stream)
 }
 
 _JOBS = """SELECT o_orderkey AS job_id, CASE WHEN o_orderkey % 10 <> 0 THEN o_custkey END AS group_id, CASE o_orderstatus WHEN 'F' THEN 'completed' WHEN 'O' THEN CASE WHEN o_orderkey % 4 = 0 THEN 'running' ELSE 'queued' END ELSE 'failed' END AS phase,
@@ -231,7 +228,13 @@ ORACLES = {
     "group_progress": f"""SELECT coalesce(group_id, job_id) AS id, ['running', 'queued', 'failed', 'partial', 'cancelled', 'completed'][min(list_position(['running', 'queued', 'failed', 'partial', 'cancelled', 'completed'], phase))] AS phase, CAST(sum(completed) AS BIGINT) AS completed, CAST(sum(total) AS BIGINT) AS total,
  round(sum(fps) FILTER (phase = 'running'), 3) AS fps_current, round(sum(rate_completed) FILTER (rate_ms > 0 AND rate_completed > 0) * 1000.0 / sum(rate_ms) FILTER (rate_ms > 0 AND rate_completed > 0), 6) AS fps_average,
  CASE WHEN count(DISTINCT backend) = 1 THEN max(backend) END AS backend, count(*) FILTER (phase IN ('queued', 'running')) AS active_jobs FROM ({_JOBS}) GROUP BY 1 ORDER BY max(updated_ms) DESC, 1 LIMIT 1000""",
-    "throughput": """SELECT user_id AS job_id, max(event_id) AS completed, round(CASE WHEN max(epoch_ms(ts)) > min(epoch_ms(ts)) AND max(event_id) > 0 THEN max(event_id) * 1000.0 / (max(epoch_ms(ts)) - min(epoch_ms(ts))) END, 6) AS fps_average FROM events GROUP BY 1""",
+    "throughput": """WITH e AS (SELECT user_id AS job_id, epoch_ms(ts) AS t, event_id % 1000 AS done, CASE event_type WHEN 'view' THEN 'candidates' WHEN 'click' THEN 'verify' ELSE event_type END AS phase FROM events),
+ o AS (SELECT *, row_number() OVER w AS place, lag(phase) OVER w AS before, lag(t) OVER w AS earlier FROM e WINDOW w AS (PARTITION BY job_id ORDER BY t, done, phase)),
+ s AS (SELECT *, sum(CASE WHEN before IS DISTINCT FROM phase THEN 1 ELSE 0 END) OVER (PARTITION BY job_id ORDER BY place) AS part FROM o),
+ g AS (SELECT job_id, part, any_value(phase) AS phase, max(done) AS done, max(t) - coalesce(arg_min(earlier, place), min(t)) AS ms FROM s GROUP BY 1, 2),
+ m AS (SELECT * FROM g WHERE phase IN ('candidates', 'verify'))
+ SELECT j.job_id, arg_max(j.phase, j.part) AS phase, coalesce((SELECT arg_max(m.done, m.part) FROM m WHERE m.job_id = j.job_id), 0) AS completed,
+ round((SELECT arg_max(m.done * 1000.0 / m.ms, m.part) FROM m WHERE m.job_id = j.job_id AND m.ms > 0 AND m.done > 0), 6) AS fps_average FROM g j GROUP BY j.job_id""",
     "terminal_rates": """SELECT event_id, round(CASE WHEN event_id % 3 = 0 AND event_id % 50 > 0 THEN 3000.0 / (event_id % 50) WHEN event_id % 3 = 1 AND event_id % 40 > 0 THEN user_id * 1000.0 / (event_id % 40) END, 6) AS rate FROM events""",
     "dedup_first_wins": "SELECT p_partkey, p_brand, p_size FROM (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS r FROM part) WHERE r = 1",
     "integrity_violations": """SELECT 'duplicate_id' AS problem, min(t) AS table_name, id FROM (SELECT 'samples' AS t, 'c' || c_custkey AS id FROM customer WHERE c_custkey > 20 UNION ALL SELECT 'runs', 'c' || o_orderkey FROM orders) GROUP BY id HAVING count(*) > 1
@@ -263,9 +266,7 @@ ORACLES = {
     "coverage_badges": """SELECT text, badge, i AS metrics_incomplete, count(*) AS n FROM (SELECT CASE WHEN o_orderkey % 3 = 0 THEN 4 ELSE o_orderkey % 9 END || '/' || CASE WHEN o_orderkey % 2 = 0 THEN '9' ELSE '?' END AS text,
  CASE WHEN o_orderstatus = 'O' THEN 'partial' WHEN o_orderstatus = 'F' AND o_orderkey % 2 = 1 THEN 'incomplete' ELSE 'none' END AS badge, o_orderstatus IN ('F', 'O') AND 5 < o_orderkey % 9 AS i FROM orders) GROUP BY 1, 2, 3""",
     "coverage_wire": "SELECT event_id, CASE event_type WHEN 'view' THEN 'all' ELSE 'every_n' END AS selection, event_id AS eligible, event_id % 5 - 1 AS selected FROM events WHERE event_type IN ('view', 'click') AND event_id % 5 >= 1",
-    "kernel_row_order": """SELECT p_partkey AS run_id, CASE p_size % 3 WHEN 0 THEN 'lanczos' WHEN 1 THEN 'bicubic' ELSE 'zz' END AS kernel_id, p_brand AS sample_label FROM part
- ORDER BY CASE p_size % 3 WHEN 0 THEN 2 WHEN 1 THEN 1 ELSE 99 END, CASE WHEN p_size % 3 < 2 THEN p_size END NULLS FIRST, p_brand, p_partkey LIMIT 50""",
-    "kernel_row_numbers": """SELECT p_partkey AS run_id, CASE p_size % 3 WHEN 0 THEN 'lanczos' WHEN 1 THEN 'bicubic' ELSE 'zz' END AS kernel_id, p_brand AS sample_label,
+    "kernel_row_order": """SELECT p_partkey AS run_id, CASE p_size % 3 WHEN 0 THEN 'lanczos' WHEN 1 THEN 'bicubic' ELSE 'zz' END AS kernel_id, p_brand AS sample_label,
  row_number() OVER (ORDER BY CASE p_size % 3 WHEN 0 THEN 2 WHEN 1 THEN 1 ELSE 99 END, CASE WHEN p_size % 3 < 2 THEN p_size END NULLS FIRST, p_brand, p_partkey) AS row_number FROM part""",
     "lost_jobs": f"SELECT job_id, 'failed' AS phase, 'worker_exit' AS code FROM ({_JOBS}) WHERE phase IN ('queued', 'running') AND job_id NOT IN (SELECT l_orderkey FROM lineitem WHERE l_quantity > 40)",
     "cancelled_prefix": "SELECT user_id, event_id FROM events e WHERE NOT EXISTS (SELECT 1 FROM events x WHERE x.user_id = e.user_id AND x.event_type = 'error' AND x.event_id <= e.event_id)",

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..operators import frames, fusion
 from ..sources import project
@@ -69,26 +70,15 @@ def seek_method(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def identity_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Frames of stream 1 against its index, in which every fifth time is one off."""
-    rows = stream(spark, sf_dir).where("stream = 1").withColumn("duration", F.lit(1001).cast("long"))
-    index = frames.presented(rows, BY).select("frame_index", (F.col("pts") + F.when(F.col("decode_index") % 5 == 0, 1).otherwise(0)).alias("pts"), "best_effort", "dts", "duration")
-    return frames.matched(rows.select(F.col("event_id").alias("decoded_id"), "pts", "best_effort", "dts", "duration"), index)
-
-
-def identity_match_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """As identity_match, of all streams."""
+    """Frames of every stream against its index, in which every fifth time is one off and every seventh that of the frame before."""
     rows = stream(spark, sf_dir).withColumn("duration", F.lit(1001).cast("long"))
-    index = frames.presented(rows, BY).select("stream", "frame_index", (F.col("pts") + F.when(F.col("decode_index") % 5 == 0, 1).otherwise(0)).alias("pts"), "best_effort", "dts", "duration")
+    off = F.when(F.col("decode_index") % 5 == 0, 1).otherwise(0)
+    same = F.when(F.col("decode_index") % 7 == 0, F.lag("pts").over(Window.partitionBy("stream").orderBy("decode_index")))
+    index = frames.presented(rows, BY).select("stream", "frame_index", F.coalesce(same, F.col("pts") + off).alias("pts"), "best_effort", F.when(F.col("decode_index") % 3 > 0, F.col("dts")).alias("dts"), "duration")
     return frames.matched(rows.select("stream", F.col("event_id").alias("decoded_id"), "pts", "best_effort", "dts", "duration"), index, BY)
 
 
 def ordered_subset(spark: SparkSession, sf_dir: str) -> DataFrame:
-    orders = table(spark, sf_dir, "orders").select((F.col("o_orderkey")).alias("place"), ((F.col("o_orderkey") * 37) % 5000).alias("frame_index")).where("place <= 200")
-    return frames.ordered_subset_problem(orders, table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("frame_index")))
-
-
-def ordered_subset_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """As ordered_subset, of all orders."""
     orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("place"), ((F.col("o_orderkey") * 37) % 5000).alias("frame_index"))
     return frames.ordered_subset_problem(orders, table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("frame_index")))
 
@@ -162,7 +152,7 @@ QUERIES = {
     "scan_all": _scope("all", 1, 3, 40),
     "scan_every_n": _scope("every_n", 4, 1, None),
     "scan_i_picture": _scope("decoded_i_picture"),
-    **{f.__name__: f for f in (coverage, presentation_order, keyframe_anchor, preceding_rap, keyframe_neighbours, nearest_frame, frame_window, decode_runs, monotonic, seek_method, identity_match, identity_match_all, ordered_subset, ordered_subset_all)},
+    **{f.__name__: f for f in (coverage, presentation_order, keyframe_anchor, preceding_rap, keyframe_neighbours, nearest_frame, frame_window, decode_runs, monotonic, seek_method, identity_match, ordered_subset)},
     **{f.__name__: f for f in (fusion_min_error, fusion_statistics, fusion_wins, fusion_csv, fusion_eligibility, fusion_compatibility)},
 }
 
@@ -194,17 +184,15 @@ ORACLES = {
  FROM (SELECT *, lag(dts) OVER w AS ld, lag(file_position) OVER w AS lp FROM ({STREAM}) WINDOW w AS (PARTITION BY stream ORDER BY decode_index)) GROUP BY stream""",
     "seek_method": f"""SELECT stream, CASE WHEN count(pts) = count(*) AND count(DISTINCT pts) = count(*) THEN 'pts' WHEN count(dts) = count(*) AND count(DISTINCT dts) = count(*) THEN 'dts'
  WHEN count(file_position) = count(*) AND count(DISTINCT file_position) = count(*) THEN 'file_position' ELSE 'sample_order' END AS method FROM ({STREAM}) GROUP BY stream""",
-    "identity_match": f"""WITH i AS (SELECT frame_index, pts + CASE WHEN decode_index % 5 = 0 THEN 1 ELSE 0 END AS pts, dts FROM {_P} WHERE stream = 1), d AS (SELECT event_id AS decoded_id, pts, dts FROM ({STREAM}) WHERE stream = 1),
- p AS (SELECT decoded_id, frame_index, CASE WHEN d.pts IS NOT NULL AND i.pts IS NOT NULL AND d.pts <> i.pts THEN 0 ELSE CASE WHEN d.pts = i.pts THEN 16 ELSE 0 END + CASE WHEN d.dts = i.dts THEN 6 ELSE 0 END + 1 END AS score
- FROM d JOIN i ON d.pts = i.pts OR d.dts = i.dts)
- SELECT decoded_id, frame_index, CAST(score AS INTEGER) AS score FROM (SELECT *, row_number() OVER (PARTITION BY decoded_id ORDER BY score DESC, frame_index) AS r FROM p WHERE score > 0) WHERE r = 1""",
-    "identity_match_all": f"""WITH i AS (SELECT stream, frame_index, pts + CASE WHEN decode_index % 5 = 0 THEN 1 ELSE 0 END AS pts, dts FROM {_P}), d AS (SELECT stream, event_id AS decoded_id, pts, dts FROM ({STREAM})),
- p AS (SELECT d.stream, decoded_id, frame_index, CASE WHEN d.pts IS NOT NULL AND i.pts IS NOT NULL AND d.pts <> i.pts THEN 0 ELSE CASE WHEN d.pts = i.pts THEN 16 ELSE 0 END + CASE WHEN d.dts = i.dts THEN 6 ELSE 0 END + 1 END AS score
- FROM d JOIN i ON d.stream = i.stream AND (d.pts = i.pts OR d.dts = i.dts))
- SELECT stream, decoded_id, frame_index, CAST(score AS INTEGER) AS score FROM (SELECT *, row_number() OVER (PARTITION BY stream, decoded_id ORDER BY score DESC, frame_index) AS r FROM p WHERE score > 0) WHERE r = 1""",
+    "identity_match": f"""WITH i AS (SELECT stream, frame_index, coalesce(CASE WHEN decode_index % 7 = 0 THEN lag(pts) OVER (PARTITION BY stream ORDER BY decode_index) END, pts + CASE WHEN decode_index % 5 = 0 THEN 1 ELSE 0 END) AS pts, best_effort, CASE WHEN decode_index % 3 > 0 THEN dts END AS dts FROM {_P}),
+ d AS (SELECT stream, event_id AS decoded_id, pts, best_effort, dts FROM ({STREAM})),
+ c AS (SELECT d.stream, decoded_id, frame_index, CASE WHEN d.pts = i.pts THEN 16 ELSE 0 END + CASE WHEN d.best_effort = i.best_effort THEN 16 ELSE 0 END + CASE WHEN d.best_effort = i.pts THEN 12 ELSE 0 END + CASE WHEN d.pts = i.best_effort THEN 12 ELSE 0 END AS shown,
+  CASE WHEN d.dts = i.dts THEN 6 ELSE 0 END + 1 AS rest, coalesce(d.pts, d.best_effort) IS NOT NULL AND coalesce(i.pts, i.best_effort) IS NOT NULL AS timed,
+  coalesce(d.pts IN (i.pts, i.best_effort) OR d.best_effort IN (i.pts, i.best_effort), false) OR coalesce(d.dts = i.dts, false) AS meets FROM d JOIN i ON d.stream = i.stream),
+ p AS (SELECT stream, decoded_id, frame_index, CASE WHEN timed AND shown = 0 THEN 0 ELSE shown + rest END AS score FROM c WHERE meets),
+ t AS (SELECT *, max(score) OVER (PARTITION BY stream, decoded_id) AS top FROM p WHERE score > 0)
+ SELECT stream, decoded_id, CASE WHEN count(*) = 1 THEN min(frame_index) END AS frame_index, CAST(top AS INTEGER) AS score, CASE WHEN count(*) > 1 THEN 'ambiguous_timestamps' END AS problem FROM t WHERE score = top GROUP BY stream, decoded_id, top""",
     "ordered_subset": """SELECT place, problem FROM (SELECT place, CASE WHEN c_custkey IS NULL THEN 'missing' WHEN frame_index <= b THEN 'not_ascending' END AS problem
- FROM (SELECT *, lag(frame_index) OVER (ORDER BY place) AS b FROM (SELECT o_orderkey AS place, (o_orderkey * 37) % 5000 AS frame_index FROM orders WHERE o_orderkey <= 200)) LEFT JOIN customer ON c_custkey = frame_index) WHERE problem IS NOT NULL""",
-    "ordered_subset_all": """SELECT place, problem FROM (SELECT place, CASE WHEN c_custkey IS NULL THEN 'missing' WHEN frame_index <= b THEN 'not_ascending' END AS problem
  FROM (SELECT *, lag(frame_index) OVER (ORDER BY place) AS b FROM (SELECT o_orderkey AS place, (o_orderkey * 37) % 5000 AS frame_index FROM orders)) LEFT JOIN customer ON c_custkey = frame_index) WHERE problem IS NOT NULL""",
     "fusion_min_error": _FUSED,
     "fusion_statistics": f"SELECT count(*) AS total_frames, count(*) FILTER (candidate_count = 1) AS single_candidate_frames, count(*) FILTER (candidate_count <> 1) AS multi_candidate_frames, count(*) FILTER (tied) AS tied_frames FROM ({_FUSED})",

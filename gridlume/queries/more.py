@@ -38,8 +38,10 @@ def _sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def kernel_run_planning(spark: SparkSession, sf_dir: str) -> DataFrame:
     geometries = table(spark, sf_dir, "region").where("r_regionkey < 3").select(F.col("r_regionkey").alias("geometry_key"), F.lit("1280x720").alias("geometry"))
-    planned = catalog.plan_kernel_runs(_samples(spark, sf_dir), _sources(spark, sf_dir), geometries)
-    return planned.groupBy(F.coalesce("problem", F.lit("none")).alias("problem")).agg(F.count(F.lit(1)).alias("n"))
+    samples = _samples(spark, sf_dir).withColumn("sample_fingerprint", F.when(F.col("sample_id") % 4 == 0, "old").when(F.col("sample_id") % 4 == 1, "f"))
+    sources = _sources(spark, sf_dir).withColumns({"fingerprint": F.when(F.col("source_id") % 3 > 0, "f"), "width": F.when(F.col("source_id") % 5 > 0, 1920), "height": F.when(F.col("source_id") % 7 > 0, 1080).otherwise(0)})
+    planned = catalog.plan_kernel_runs(samples, sources, geometries)
+    return planned.select("sample_id", "geometry", F.coalesce("problem", F.lit("none")).alias("problem"))
 
 
 def verify_run_planning(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -175,12 +177,6 @@ def kernel_wire(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def desynchronised(spark: SparkSession, sf_dir: str) -> DataFrame:
-    index = frames.presented(stream(spark, sf_dir).where("stream = 2")).select("frame_index", "pts")
-    return frames.presentation_mismatches(index.withColumn("pts", F.when(F.col("frame_index") % 4 == 0, F.col("pts") + 1).otherwise(F.col("pts"))), index)
-
-
-def desynchronised_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """As desynchronised, of all streams."""
     index = frames.presented(stream(spark, sf_dir), ("stream",)).select("stream", "frame_index", "pts")
     return frames.presentation_mismatches(index.withColumn("pts", F.when(F.col("frame_index") % 4 == 0, F.col("pts") + 1).otherwise(F.col("pts"))), index, ("stream",))
 
@@ -242,14 +238,15 @@ def streamed_verification(spark: SparkSession, sf_dir: str) -> DataFrame:
 _ALL = (
     kernel_run_planning, verify_run_planning, materialised_runs, run_filters, numbered_options, sample_selection, next_sample_order, still_samples, default_streams, request_validation,
     geometry_validation, scan_selection, migrated_geometry, backend_choice, run_json_export, source_records, queue_times, stored_scopes, scope_validation, payload_application,
-    height_defaults, missing_bases, kernel_wire, desynchronised, desynchronised_all, forward_resample, plan_reuse, plan_grid_hash, streamed_sequence, streamed_verification,
+    height_defaults, missing_bases, kernel_wire, desynchronised, forward_resample, plan_reuse, plan_grid_hash, streamed_sequence, streamed_verification,
 )
 QUERIES = {f.__name__: f for f in _ALL}
 
 _SOURCES = "(SELECT n_nationkey AS source_id, n_regionkey, CASE WHEN n_regionkey = 2 THEN 'indexing' ELSE 'ready' END AS state, CASE WHEN n_regionkey = 3 THEN 'still' ELSE 'video' END AS kind FROM nation WHERE n_nationkey < 20)"
 _VERIFY = "CASE WHEN state IS NULL THEN 'source_missing' WHEN kind <> 'video' THEN 'not_a_video' WHEN state <> 'ready' THEN 'source_not_ready' ELSE 'none' END"
 ORACLES = {
-    "kernel_run_planning": f"SELECT CASE WHEN state IS NULL THEN 'source_missing' WHEN n_regionkey >= 3 THEN 'geometry_missing' ELSE 'none' END AS problem, count(*) AS n FROM customer LEFT JOIN {_SOURCES} ON source_id = c_nationkey WHERE c_acctbal > 0 GROUP BY 1",
+    "kernel_run_planning": f"""SELECT c_custkey AS sample_id, CASE WHEN n_regionkey < 3 THEN '1280x720' END AS geometry, CASE WHEN state IS DISTINCT FROM 'ready' THEN 'sample_source_unavailable' WHEN c_custkey % 4 = 0 AND source_id % 3 > 0 THEN 'sample_fingerprint_stale'
+ WHEN source_id % 5 = 0 OR source_id % 7 = 0 THEN 'source_dims_missing' WHEN n_regionkey >= 3 THEN 'geometry_unresolved' ELSE 'none' END AS problem FROM customer LEFT JOIN {_SOURCES} ON source_id = c_nationkey WHERE c_acctbal > 0""",
     "verify_run_planning": f"SELECT c AS source_id, {_VERIFY} AS problem FROM (SELECT DISTINCT c_nationkey AS c FROM customer) LEFT JOIN {_SOURCES} s ON s.source_id = c",
     "materialised_runs": f"SELECT source_id, 'g1-' || row_number() OVER (ORDER BY source_id) AS run_id, 'verification' AS run_type, 'queued' AS status FROM {_SOURCES} WHERE {_VERIFY} = 'none'",
     "run_filters": """SELECT CAST(o_orderkey AS VARCHAR) AS run_id, 'group' AS kind FROM orders LEFT JOIN customer ON c_custkey = o_custkey WHERE substr(o_orderpriority, 1, 1) = '3' AND CASE WHEN o_orderkey % 2 = 0 THEN 7 ELSE c_nationkey END = 7
@@ -278,9 +275,7 @@ ORACLES = {
     "missing_bases": "SELECT p_partkey, CASE WHEN p_partkey % 2 = 1 THEN 'none' WHEN p_size % 3 <> 1 AND p_size <= 25 THEN 'height' WHEN p_size % 3 = 1 THEN 'width' ELSE 'none' END AS axis FROM part",
     "kernel_wire": """SELECT p_partkey, id, CASE WHEN id = 'bicubic' THEN 0.25::DOUBLE END AS b, CASE WHEN id = 'lanczos' THEN p_size END AS taps,
  CASE id WHEN 'bicubic' THEN '{"id":"bicubic","b":0.25,"c":0.5}' WHEN 'lanczos' THEN '{"id":"lanczos","taps":' || p_size || '}' ELSE '{"id":"bilinear"}' END AS echo FROM (SELECT *, CASE p_size % 3 WHEN 0 THEN 'lanczos' WHEN 1 THEN 'bicubic' ELSE 'bilinear' END AS id FROM part)""",
-    "desynchronised": f"""SELECT frame_index FROM (SELECT s.*, CASE WHEN t IS NULL THEN decode_index ELSE slot END AS frame_index FROM (SELECT *, row_number() OVER (PARTITION BY t IS NULL ORDER BY t, decode_index) AS rnk FROM (SELECT *, coalesce(pts, best_effort, dts) AS t FROM ({STREAM}) WHERE stream = 2)) s
- LEFT JOIN (SELECT decode_index AS slot, row_number() OVER (ORDER BY decode_index) AS turn FROM ({STREAM}) WHERE stream = 2 AND coalesce(pts, best_effort, dts) IS NOT NULL) k ON s.t IS NOT NULL AND s.rnk = k.turn) WHERE frame_index % 4 = 0 AND pts IS NOT NULL""",
-    "desynchronised_all": f"SELECT stream, frame_index FROM ({PRESENTED}) WHERE frame_index % 4 = 0 AND pts IS NOT NULL",
+    "desynchronised": f"SELECT stream, frame_index FROM ({PRESENTED}) WHERE frame_index % 4 = 0 AND pts IS NOT NULL",
     "forward_resample": """WITH tap AS (SELECT i, p, CASE WHEN p - 1 < 0 THEN floor(p - 1 + 0.5) ELSE floor(p - 1 + 0.49999999999999994::DOUBLE) END + 0.5 + t AS c FROM (SELECT i, t, (i + 0.5::DOUBLE) / 1.5::DOUBLE AS p FROM range(96) r(i), range(2) u(t))),
  w AS (SELECT CAST(i AS INTEGER) AS i, CAST(floor(CASE WHEN c < 0 THEN -c WHEN c >= 64 THEN least(128 - c, 63.5) ELSE c END) AS INTEGER) AS x, greatest(1 - abs(c - p), 0) AS k, sum(greatest(1 - abs(c - p), 0)) OVER (PARTITION BY i) AS n FROM tap),
  v AS (SELECT label, unnest(range(64)) AS x, unnest(embedding) AS v FROM embeddings) SELECT label, i, round(sum(k / n * v), 5) AS total FROM v JOIN w USING (x) GROUP BY label, i""",

@@ -115,7 +115,30 @@ def test_fusion_literals(spark):
 
 def test_throughput_halves(spark):
     rows = spark.createDataFrame([("j", 0, 0), ("j", 1000, 10), ("j", 2000, 40), ("j", 3000, 5)], "job_id string, at_ms long, completed long")
-    assert tuple(catalog.throughput(rows).first()) == ("j", 40, 20.0, pytest.approx(40 / 3))
+    assert tuple(catalog.throughput(rows).first()) == ("j", None, 40, 20.0, pytest.approx(40 / 3))
+
+
+def test_throughput_starts_again_with_a_phase(spark):
+    """Decoding isn't measured; a new phase counts from 0, from the time of the event before it, and keeps the current rate."""
+    rows = [("j", 0, 0, "candidates"), ("j", 1000, 10, "candidates"), ("j", 1500, 99, "decode"), ("j", 2000, 3, "verify"), ("j", 4000, 7, "verify"), ("k", 5, 9, "decode")]
+    found = {r.job_id: tuple(r)[1:] for r in catalog.throughput(spark.createDataFrame(rows, "job_id string, at_ms long, completed long, phase string")).collect()}
+    assert found == {"j": ("verify", 7, 10.0 * 0.5 + 2.0 * 0.5, pytest.approx(7 / 2.5)), "k": ("decode", 0, None, None)}
+
+
+def test_equal_matches_are_ambiguous(spark):
+    ddl = "{} long, pts long, best_effort long, dts long, duration long"
+    decoded = spark.createDataFrame([(1, 5, None, None, 1), (2, 6, None, 6, 1)], ddl.format("decoded_id"))
+    index = spark.createDataFrame([(0, 5, None, None, 1), (1, 5, None, None, 1), (2, 6, None, None, 1), (3, 6, None, 6, 1)], ddl.format("frame_index"))
+    assert {tuple(r) for r in frames.matched(decoded, index).collect()} == {(1, None, 17, "ambiguous_timestamps"), (2, 3, 23, None)}
+
+
+def test_kernel_runs_are_guarded(spark):
+    samples = spark.createDataFrame([("a", True, None), ("b", True, "f"), ("b", True, "g"), ("c", True, None), ("d", True, "f"), ("e", True, "f"), ("z", True, None), ("b", False, "g")], "source_id string, included boolean, sample_fingerprint string")
+    rows = [("a", "indexing", None, 10, 10, 1), ("b", "ready", "f", 10, 10, 1), ("c", "ready", "f", 0, 10, 1), ("d", "ready", None, 10, 10, 9), ("e", "ready", None, 10, 10, 1)]
+    sources = spark.createDataFrame(rows, "source_id string, state string, fingerprint string, width int, height int, geometry_key int")
+    planned = catalog.plan_kernel_runs(samples, sources, spark.createDataFrame([(1, "g")], "geometry_key int, geometry string"))
+    found = sorted((r.source_id, r.problem or "") for r in planned.collect())
+    assert found == [("a", "sample_source_unavailable"), ("b", ""), ("b", "sample_fingerprint_stale"), ("c", "source_dims_missing"), ("d", "geometry_unresolved"), ("e", ""), ("z", "sample_source_unavailable")]
 
 
 def test_ready_ids(spark):

@@ -9,9 +9,9 @@ from oracle import DATA, assert_same, connect
 
 def test_ordered_subset_of_all_orders(spark):
     assert spark.read.parquet(f"{DATA}/orders.parquet").where("o_orderkey > 200").count() > 0
-    found = QUERIES["ordered_subset_all"](spark, DATA)
+    found = QUERIES["ordered_subset"](spark, DATA)
     assert found.where("place > 200").count() > 0
-    assert_same(found, connect(), ORACLES["ordered_subset_all"])
+    assert_same(found, connect(), ORACLES["ordered_subset"])
 
 
 def test_ordered_subset_of_uneven_places(spark):
@@ -27,7 +27,7 @@ def test_ordered_subset_of_nothing(spark):
     assert frames.ordered_subset_problem(empty, empty.select("frame_index")).count() == 0
 
 
-@pytest.mark.parametrize("name", ["identity_match_all", "desynchronised_all"])
+@pytest.mark.parametrize("name", ["identity_match", "desynchronised"])
 def test_all_streams_are_matched(spark, name):
     found = QUERIES[name](spark, DATA)
     assert found.select("stream").distinct().count() > 10
@@ -45,9 +45,9 @@ def test_streams_do_not_meet(spark):
 
 
 def test_every_kernel_row_has_its_number(spark):
-    found = QUERIES["kernel_row_numbers"](spark, DATA)
+    found = QUERIES["kernel_row_order"](spark, DATA)
     assert found.count() == spark.read.parquet(f"{DATA}/part.parquet").count() > 50
-    assert_same(found, connect(), ORACLES["kernel_row_numbers"])
+    assert_same(found, connect(), ORACLES["kernel_row_order"])
 
 
 def test_numbers_of_kernel_rows_with_nulls(spark):
