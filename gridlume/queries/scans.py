@@ -9,6 +9,7 @@ from ..functions import geometry, grids, kernels
 from ..operators import scans
 from ..plans import store
 from .common import rounded, table
+from .scan_sql import scan
 
 LINES = 96  #: of a frame; the last frame may have fewer
 METRIC = {"crop": (5, 5, 5, 5), "threshold": 0.0, "norm": 1}
@@ -21,6 +22,11 @@ def image_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stacked.select("frame_id", F.lit(64).alias("width"), F.size("l").alias("height"), F.flatten(F.transform("l", lambda x: x["embedding"])).alias("pixels"))
 
 
+def _found(rows: DataFrame, *columns: str) -> DataFrame:
+    """Errors to 4 places: plans hold 32-bit numbers."""
+    return rows.select("frame_id", *columns, rounded("error", 4), F.coalesce("problem", F.lit("none")).alias("problem"))
+
+
 def height_scan_bilinear(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Native heights 40 to 60 of every frame, without a profile."""
     grid = grids.candidate_range(spark, "40", "60", "5")
@@ -31,11 +37,11 @@ def height_scan_bilinear(spark: SparkSession, sf_dir: str) -> DataFrame:
 def height_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Both axes, fractional candidates with a base, bicubic."""
     grid = grids.candidate_range(spark, "40", "60", "0.5", semantics="index_multiplication")
-    return scans.height_scan(image_frames(spark, sf_dir), grid, kernels.kernel("bicubic", 0.0, 0.5), "h_plus_w", METRIC, base_height=61)
+    return _found(scans.height_scan(image_frames(spark, sf_dir), grid, kernels.kernel("bicubic", 0.0, 0.5), "h_plus_w", METRIC, base_height=61), "ordinal", "value")
 
 
 def width_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scans.height_scan(image_frames(spark, sf_dir), grids.candidate_range(spark, "30", "60", "1"), kernels.kernel("lanczos", taps=3), "w_only", METRIC)
+    return _found(scans.height_scan(image_frames(spark, sf_dir), grids.candidate_range(spark, "30", "60", "1"), kernels.kernel("lanczos", taps=3), "w_only", METRIC), "ordinal", "value")
 
 
 def kernel_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -44,12 +50,13 @@ def kernel_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     rest = [("bilinear", None), ("lanczos", 3), ("lanczos", 4), ("spline16", None), ("spline36", None), ("spline64", None)]
     more = spark.createDataFrame([(36 + k, i, t) for k, (i, t) in enumerate(rest)], "ordinal INT, id STRING, taps INT").select("ordinal", F.struct("id", F.lit(None).cast("double").alias("b"), F.lit(None).cast("double").alias("c"), "taps").alias("kernel"))
     shape = geometry.independent_geometry(F.lit(48.0), F.lit(64.0), F.lit(None).cast("long"), F.lit(None).cast("long"))
-    return scans.kernel_scan(image_frames(spark, sf_dir), sweep.unionByName(more), shape, "h_plus_w", METRIC).select("frame_id", "ordinal", "kernel.id", "kernel.b", "kernel.c", "kernel.taps", "error", "problem")
+    found = scans.kernel_scan(image_frames(spark, sf_dir), sweep.unionByName(more), shape, "h_plus_w", METRIC)
+    return _found(found.withColumn("id", F.col("kernel.id")), "ordinal", "id")
 
 
 def verification(spark: SparkSession, sf_dir: str) -> DataFrame:
     shape = geometry.independent_geometry(F.lit(48.0), F.lit(64.0), F.lit(None).cast("long"), F.lit(None).cast("long"))
-    return scans.verify(image_frames(spark, sf_dir), shape, kernels.kernel("bicubic", 0.0, 0.5), "h_plus_w", METRIC)
+    return _found(scans.verify(image_frames(spark, sf_dir), shape, kernels.kernel("bicubic", 0.0, 0.5), "h_plus_w", METRIC))
 
 
 def plan_table(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -66,7 +73,16 @@ def capabilities(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (height_scan_bilinear, height_scan, width_scan, kernel_scan, verification, plan_table, capabilities)}
 
+_PROBLEM = "CASE WHEN error IS NULL THEN 'destination_out_of_range' ELSE 'none' END AS problem"
+_CUBIC = "'bicubic' AS id, 0.0::DOUBLE AS b, 0.5::DOUBLE AS cc, NULL::INTEGER AS taps"
+_FIXED = "48 AS nw, 48.0 AS aw, 0.0 AS lw, 64 AS nh, 64.0 AS ah, 0.0 AS th"
+_BASED = "SELECT *, bw - 2 * trunc((bw - aw) / 2) AS nw0, 61 - 2 * trunc((61 - ah) / 2) AS nh0 FROM (SELECT f, w, h, i AS c, 40 + i * 0.5::DOUBLE AS ah, w * (40 + i * 0.5::DOUBLE) / h AS aw, round_even(w / h::DOUBLE * 61, 0) AS bw FROM fr, range(41) r(i))"
+_SWEEP = "SELECT p * 6 + q AS c, 'bicubic' AS id, p / 5::DOUBLE AS b, q / 5::DOUBLE AS cc, NULL::INTEGER AS taps FROM range(6) a(p), range(6) b(q) UNION ALL SELECT * FROM (VALUES (36, 'bilinear', NULL, NULL, NULL), (37, 'lanczos', NULL, NULL, 3), (38, 'lanczos', NULL, NULL, 4), (39, 'spline16', NULL, NULL, NULL), (40, 'spline36', NULL, NULL, NULL), (41, 'spline64', NULL, NULL, NULL)) v"
 ORACLES = {
+    "height_scan": scan(f"SELECT f, w, h, c, {_CUBIC}, nw0::INTEGER AS nw, aw, (nw0 - aw) / 2 AS lw, nh0::INTEGER AS nh, ah, (nh0 - ah) / 2 AS th FROM ({_BASED})", 2, "hw", LINES, 5, f"SELECT f AS frame_id, c::INTEGER AS ordinal, ah AS value, round(error, 4) AS error, {_PROBLEM} FROM found"),
+    "width_scan": scan("SELECT f, w, h, n - 30 AS c, 'lanczos' AS id, NULL::DOUBLE AS b, NULL::DOUBLE AS cc, 3 AS taps, n AS nw, n::DOUBLE AS aw, 0.0 AS lw, h AS nh, h::DOUBLE AS ah, 0.0 AS th FROM fr, range(30, 61) r(n)", 3, "w", LINES, 5, f"SELECT f AS frame_id, c::INTEGER AS ordinal, aw AS value, round(error, 4) AS error, {_PROBLEM} FROM found"),
+    "kernel_scan": scan(f"SELECT f, w, h, c, id, b, cc, taps, {_FIXED} FROM fr, ({_SWEEP})", 4, "hw", LINES, 5, f"SELECT f AS frame_id, c::INTEGER AS ordinal, id, round(error, 4) AS error, {_PROBLEM} FROM found"),
+    "verification": scan(f"SELECT f, w, h, 0 AS c, {_CUBIC}, {_FIXED} FROM fr", 2, "hw", LINES, 5, f"SELECT f AS frame_id, round(error, 4) AS error, {_PROBLEM} FROM found"),
     "height_scan_bilinear": f"""WITH RECURSIVE px AS (SELECT vec_id // {LINES} AS f, vec_id % {LINES} AS i, unnest(range(64)) AS x, CAST(unnest(embedding) AS DOUBLE) AS b FROM embeddings),
  fr AS (SELECT vec_id // {LINES} AS f, count(*) AS s FROM embeddings GROUP BY 1), cand AS (SELECT f, s, c AS n FROM fr, (SELECT unnest([40, 45, 50, 55, 60]) AS c)), ok AS (SELECT * FROM cand WHERE n < s),
  tap AS (SELECT f, n, s, i, t, p, CASE WHEN p - 1 < 0 THEN floor(p - 1 + 0.5) ELSE floor(p - 1 + 0.49999999999999994::DOUBLE) END + 0.5 + t AS ctr FROM (SELECT ok.*, r.i, u.t, (r.i + 0.5::DOUBLE) / (s / CAST(n AS DOUBLE)) AS p FROM ok, range(s) r(i), range(2) u(t))),
