@@ -9,7 +9,6 @@ which every column is computed by itself, so results don't depend on partitions.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -94,14 +93,10 @@ def candidate_error(image: np.ndarray, horizontal: axis.Plan | None, vertical: a
     return Stack([image], {"crop": crop, "threshold": threshold, "norm": norm}).errors(horizontal, vertical)[0]
 
 
-@lru_cache(2048)
-def _decoded(data: bytes) -> axis.Plan:
-    return axis.Plan.from_bytes(data)
-
-
 def _plan(work: dict, side: str, size: int) -> axis.Plan:
     if work.get(f"{side}_plan") is not None:
-        return _decoded(bytes(work[f"{side}_plan"]))
+        data = bytes(work[f"{side}_plan"])
+        return axis.CACHE.get(data, lambda: axis.Plan.from_bytes(data))
     geometry = work["geometry"]
     names = ("width", "src_width", "src_left") if side == "h" else ("height", "src_height", "src_top")
     k = work["kernel"]

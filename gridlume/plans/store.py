@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import axis
 
 #: Changes with the arithmetic of plans, so that old ones aren't reused.
 BUILD = "axis-2"
+MOST_BYTES = 1 << 30  #: of a store, by the files used last
 KEY = ("source_size", "destination_size", "active_length", "shift", "kernel_id", "b", "c", "taps")
 KEY_DDL = "source_size INT, destination_size INT, active_length DOUBLE, shift DOUBLE, kernel_id STRING, b DOUBLE, c DOUBLE, taps INT"
 PLAN_DDL = f"{KEY_DDL}, plan BINARY, half_bandwidth INT, plan_bytes BIGINT, problem STRING"
@@ -56,13 +58,15 @@ def attach_plans(requests: DataFrame, plans: DataFrame) -> DataFrame:
 
 def grid_hash(requests: DataFrame) -> DataFrame:
     """(grid_hash) of a set of requests: the same for any order and any repeats."""
-    return requests.select(*KEY).distinct().agg(F.xxhash64(F.sort_array(F.collect_list(F.xxhash64(*KEY)))).alias("grid_hash"))
+    whole = [F.count(F.lit(1)), *(F.coalesce(F.bit_xor(F.xxhash64(F.lit(salt), *KEY)), F.lit(0)) for salt in (0, 1))]
+    return requests.select(*KEY).distinct().agg(F.xxhash64(*whole).alias("grid_hash"))
 
 
-def ensure_plans(requests: DataFrame, path: str) -> tuple[DataFrame, int]:
+def ensure_plans(requests: DataFrame, path: str, most_bytes: int | None = None) -> tuple[DataFrame, int]:
     """(plans of the requests from the store, how many had to be built).
 
-    The store is Parquet by build and kernel, so that a lookup reads only those; requests that it
+    With ``most_bytes`` files used longest ago go first, before new plans come, and files that serve
+    this call count as used now. The store is Parquet by build and kernel, so that a lookup reads only those; requests that it
     has aren't built again, and plans of another build aren't read.
     """
     spark = requests.sparkSession
@@ -72,6 +76,10 @@ def ensure_plans(requests: DataFrame, path: str) -> tuple[DataFrame, int]:
     held = None
     if place.getFileSystem(conf).exists(place):
         held = spark.read.schema(f"{PLAN_DDL}, build STRING").parquet(path).where(F.col("build") == BUILD)
+    if most_bytes is not None and held is not None:
+        touch(held.select(*KEY, F.col("_metadata.file_path").alias("file")).join(wanted, list(KEY), "left_semi"))
+        evict(spark, path, most_bytes)
+        held = spark.read.schema(f"{PLAN_DDL}, build STRING").parquet(path).where(F.col("build") == BUILD)
     missing = wanted if held is None else wanted.join(held.select(*KEY), list(KEY), "left_anti")
     count = missing.count()
     if count:
@@ -80,9 +88,31 @@ def ensure_plans(requests: DataFrame, path: str) -> tuple[DataFrame, int]:
     return stored.join(wanted, list(KEY), "left_semi").drop("build"), count
 
 
-def evict(plans: DataFrame, most_bytes: int, order: str) -> DataFrame:
-    """The plans used last that fit into ``most_bytes`` together."""
-    from pyspark.sql.window import Window
+def evict(spark: SparkSession, path: str, most_bytes: int = MOST_BYTES) -> int:
+    """Delete the store's files that were written or asked for longest ago until the rest fits; how many went.
 
-    running = F.sum("plan_bytes").over(Window.orderBy(F.desc(order), *KEY))
-    return plans.withColumn("_sum", running).where(F.col("_sum") <= most_bytes).drop("_sum")
+    The driver lists the store's files, which its size bounds; plans that are gone are built again.
+    """
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    place = jvm.org.apache.hadoop.fs.Path(path)
+    system = place.getFileSystem(conf)
+    found, listed = [], system.listFiles(place, True) if system.exists(place) else None
+    while listed is not None and listed.hasNext():
+        status = listed.next()
+        if status.getPath().getName().endswith(".parquet"):
+            found.append((status.getModificationTime(), status.getPath().toString(), status.getLen()))
+    held, gone = 0, 0
+    for _, name, size in sorted(found, reverse=True):
+        held += size
+        if held > most_bytes:
+            gone += bool(system.delete(jvm.org.apache.hadoop.fs.Path(name), False))
+    return gone
+
+
+def touch(used: DataFrame) -> None:
+    """Mark the files of a ``file`` column as used now."""
+    spark = used.sparkSession
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    for row in used.select("file").distinct().collect():  # files of one store
+        place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(row.file)
+        place.getFileSystem(conf).setTimes(place, int(time.time() * 1000), -1)

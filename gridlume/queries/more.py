@@ -14,15 +14,17 @@ from ..operators import catalog, frames, scans
 from ..plans import axis, store
 from ..sources import files, project
 from ..streaming import verify
-from .common import PRESENTED, STREAM, stream, table
-from .scans import LINES, METRIC, image_frames
+from .common import PRESENTED, STREAM, rounded, stream, table
+from .scan_sql import scan
+from .scans import _CUBIC, _FIXED, LINES, METRIC, image_frames
 
 
 def _scratch(spark: SparkSession, name: str) -> str:
     """A new folder in the one that the cluster shares; in local mode, where that may be unset, a temporary one."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        if not spark.sparkContext.master.startswith("local"):
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
             raise ValueError("set spark.checkpoint.dir to a shared folder")
         base = f"file://{os.path.join(tempfile.gettempdir(), 'checkpoints')}"
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
@@ -232,7 +234,8 @@ def streamed_verification(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = image_frames(spark, sf_dir).select(F.lit("s").alias("stream_id"), F.col("frame_id").alias("seq"), F.col("frame_id").cast("long").alias("frame_id"), "width", "height", "pixels")
     rows.write.parquet(path)
     shape = geometry.independent_geometry(F.lit(48.0), F.lit(64.0), F.lit(None).cast("long"), F.lit(None).cast("long"))
-    return _drained(spark, verify.verify_stream(verify.read_frames(spark, path), shape, kernels.kernel("bicubic", 0.0, 0.5), 64, LINES, "h_plus_w", METRIC))
+    found = _drained(spark, verify.verify_stream(verify.read_frames(spark, path), shape, kernels.kernel("bicubic", 0.0, 0.5), 64, LINES, "h_plus_w", METRIC))
+    return found.select("stream_id", "seq", rounded("error", 4), F.coalesce("problem", F.lit("none")).alias("problem"))
 
 
 _ALL = (
@@ -245,6 +248,11 @@ QUERIES = {f.__name__: f for f in _ALL}
 _SOURCES = "(SELECT n_nationkey AS source_id, n_regionkey, CASE WHEN n_regionkey = 2 THEN 'indexing' ELSE 'ready' END AS state, CASE WHEN n_regionkey = 3 THEN 'still' ELSE 'video' END AS kind FROM nation WHERE n_nationkey < 20)"
 _VERIFY = "CASE WHEN state IS NULL THEN 'source_missing' WHEN kind <> 'video' THEN 'not_a_video' WHEN state <> 'ready' THEN 'source_not_ready' ELSE 'none' END"
 ORACLES = {
+    "streamed_sequence": """WITH t AS (SELECT CAST(conv_id AS VARCHAR) AS stream_id, turn AS seq, row_number() OVER (PARTITION BY conv_id, turn) AS r FROM conversations WHERE NOT (conv_id % 5 = 0 AND turn = 1)),
+ g AS (SELECT stream_id, coalesce(min(seq) FILTER (gone), max(seq) + 1) AS prefix FROM (SELECT stream_id, unnest(range(max(seq) + 2)) AS seq FROM t GROUP BY 1) s
+  JOIN LATERAL (SELECT NOT EXISTS (SELECT 1 FROM t WHERE t.stream_id = s.stream_id AND t.seq = s.seq) AS gone) ON true GROUP BY 1)
+ SELECT stream_id, seq, seq < prefix AND r = 1 AS accepted, CASE WHEN seq < prefix AND r > 1 THEN 'duplicate' WHEN seq >= prefix THEN 'gap' END AS problem FROM t JOIN g USING (stream_id)""",
+    "streamed_verification": scan(f"SELECT f, w, h, 0 AS c, {_CUBIC}, {_FIXED} FROM fr WHERE h = {LINES}", 2, "hw", LINES, 5, f"SELECT 's' AS stream_id, fr.f AS seq, round(error, 4) AS error, CASE WHEN fr.h <> {LINES} THEN 'frame_missing' ELSE 'none' END AS problem FROM fr LEFT JOIN found ON found.f = fr.f"),
     "kernel_run_planning": f"""SELECT c_custkey AS sample_id, CASE WHEN n_regionkey < 3 THEN '1280x720' END AS geometry, CASE WHEN state IS DISTINCT FROM 'ready' THEN 'sample_source_unavailable' WHEN c_custkey % 4 = 0 AND source_id % 3 > 0 THEN 'sample_fingerprint_stale'
  WHEN source_id % 5 = 0 OR source_id % 7 = 0 THEN 'source_dims_missing' WHEN n_regionkey >= 3 THEN 'geometry_unresolved' ELSE 'none' END AS problem FROM customer LEFT JOIN {_SOURCES} ON source_id = c_nationkey WHERE c_acctbal > 0""",
     "verify_run_planning": f"SELECT c AS source_id, {_VERIFY} AS problem FROM (SELECT DISTINCT c_nationkey AS c FROM customer) LEFT JOIN {_SOURCES} s ON s.source_id = c",

@@ -46,13 +46,57 @@ def image_format(content: Column, path: Column) -> Column:
     return F.when(F.lower(F.regexp_extract(path, r"\.([^./\\]+)$", 1)).isin(*EXTENSIONS), out)
 
 
+def _gif_images(content: bytes, most: int) -> int:
+    """How many images a GIF has, counted up to ``most``."""
+    at, found = 13, 0
+    if len(content) > 10 and content[10] & 128:
+        at += 3 << (content[10] & 7) + 1
+    while at < len(content) and found < most:
+        kind, at = content[at], at + 1
+        if kind == 0x21:
+            at += 1
+        elif kind == 0x2C and at + 9 <= len(content):
+            found += 1
+            at += 9 + (3 << (content[at + 8] & 7) + 1 if content[at + 8] & 128 else 0) + 1
+        else:
+            break
+        while at < len(content) and content[at]:
+            at += content[at] + 1
+        at += 1
+    return found
+
+
+def has_animation(content: bytes | None, format: str | None) -> bool:
+    """GIFs with two images, PNGs with an animation chunk before their data, WebPs with the animation flag or chunk; by their blocks and chunks, whatever bytes these hold."""
+    if content is None:
+        return False
+    if format == "gif":
+        return _gif_images(content, 2) > 1
+    if format not in ("png", "webp"):
+        return False
+    at = 8 if format == "png" else 12
+    while at + 8 <= len(content):
+        first, second = content[at : at + 4], content[at + 4 : at + 8]
+        size, kind = (int.from_bytes(first, "big"), second) if format == "png" else (int.from_bytes(second, "little"), first)
+        if kind in (b"acTL", b"ANIM"):
+            return True
+        if kind in (b"IDAT", b"IEND"):
+            return False
+        if kind == b"VP8X" and at + 9 <= len(content) and content[at + 8] & 2:
+            return True
+        at += 12 + size if format == "png" else 8 + size + (size & 1)
+    return False
+
+
 def is_animated(content: Column, format: Column) -> Column:
-    """GIFs with two images or more, PNGs with an animation chunk before their data, WebPs with an animation chunk."""
-    digits = F.hex(content)
-    gif = F.size(F.split(digits, "21F904")) > 2
-    png = digits.contains(b"acTL".hex().upper())
-    webp = digits.contains(b"ANIM".hex().upper())
-    return F.coalesce(F.when(format == "gif", gif).when(format == "png", png).when(format == "webp", webp), F.lit(False))
+    """``has_animation`` of the formats that can have one; no other file's bytes leave the JVM."""
+
+    @F.pandas_udf("boolean")
+    def found(contents: pd.Series, formats: pd.Series) -> pd.Series:
+        return pd.Series([has_animation(None if c is None else bytes(c), f) for c, f in zip(contents, formats)], dtype=bool)
+
+    able = format.isin("gif", "png", "webp")
+    return F.coalesce(found(F.when(able, content), F.when(able, format)), F.lit(False))
 
 
 def little_endian(length: Column) -> Column:
@@ -88,59 +132,178 @@ def probe(files: DataFrame) -> DataFrame:
     return rows.select("path", kind.alias("kind"), F.col("length").alias("size"), width.alias("width"), height.alias("height"), fingerprint(F.col("content")).alias("fingerprint"))
 
 
+def _unfiltered(raw: np.ndarray, stride: int) -> np.ndarray:
+    """PNG lines, each after its filter's byte, to their bytes; ``stride`` bytes are a pixel."""
+    out = np.zeros((len(raw) + 1, stride + raw.shape[1] - 1), np.uint8)
+    for y in range(len(raw)):
+        line, up, kind = raw[y, 1:].astype(np.int64), out[y, stride:].astype(np.int64), raw[y, 0]
+        if kind == 2:
+            line = line + up
+        elif kind == 1 and len(line) % stride == 0:
+            line = line.reshape(-1, stride).cumsum(0).ravel()
+        elif kind in (1, 3, 4):
+            done = np.zeros(stride + len(line), np.int64)
+            corner = out[y].astype(np.int64)
+            for x in range(len(line)):
+                a, b, c = done[x], up[x], corner[x]
+                if kind == 4:
+                    p = a + b - c
+                    near = min((abs(p - a), 0, a), (abs(p - b), 1, b), (abs(p - c), 2, c))[2]
+                else:
+                    near = a if kind == 1 else (a + b) // 2
+                done[x + stride] = (line[x] + near) & 255
+            line = done[stride:]
+        out[y + 1, stride:] = line & 255
+    return out[1:, stride:]
+
+
 def decode_png(content: bytes) -> np.ndarray | None:
-    """(height, width, channels) of an 8-bit PNG without interlacing or palette; None for others."""
+    """(height, width, channels) from 0 to 1 of a PNG of any depth, with a palette or not; None for interlaced ones and others."""
     import zlib
 
     if content[:8] != b"\x89PNG\r\n\x1a\n":
         return None
-    at, data, header = 8, [], None
+    at, data, header, palette = 8, [], None, None
     while at + 8 <= len(content):
         size, kind = struct.unpack(">I4s", content[at : at + 8])
         body = content[at + 8 : at + 8 + size]
-        if kind == b"IHDR":
+        if kind == b"IHDR" and len(body) == 13:
             header = struct.unpack(">IIBBBBB", body)
+        elif kind == b"PLTE":
+            palette = np.frombuffer(body[: len(body) // 3 * 3], np.uint8).reshape(-1, 3)
         elif kind == b"IDAT":
             data.append(body)
         at += 12 + size
-    if header is None or header[2] != 8 or header[6] or header[3] not in (0, 2, 4, 6):
+    channels = {0: 1, 2: 3, 3: 1, 4: 2, 6: 4}
+    if header is None or header[6] or header[3] not in channels or header[2] not in (1, 2, 4, 8, 16) or header[3] == 3 and palette is None:
         return None
-    width, height = header[:2]
-    channels = {0: 1, 2: 3, 4: 2, 6: 4}[header[3]]
-    raw = np.frombuffer(zlib.decompress(b"".join(data)), np.uint8).reshape(height, 1 + width * channels)
-    out = np.zeros((height + 1, channels + width * channels), np.uint8)
-    for y in range(height):
-        line, up = raw[y, 1:].astype(np.int64), out[y, channels:].astype(np.int64)
-        if raw[y, 0] == 2:
-            line = line + up
-        elif raw[y, 0] in (1, 3, 4):
-            done = np.zeros(channels + len(line), np.int64)
-            corner = out[y].astype(np.int64)
-            for x in range(len(line)):
-                a, b, c = done[x], up[x], corner[x]
-                if raw[y, 0] == 4:
-                    p = a + b - c
-                    near = min((abs(p - a), 0, a), (abs(p - b), 1, b), (abs(p - c), 2, c))[2]
-                else:
-                    near = a if raw[y, 0] == 1 else (a + b) // 2
-                done[x + channels] = (line[x] + near) & 255
-            line = done[channels:]
-        out[y + 1, channels:] = line & 255
-    return out[1:, channels:].reshape(height, width, channels)
+    width, height, depth = header[:3]
+    n = channels[header[3]]
+    line = -(-width * n * depth // 8)
+    raw = np.frombuffer(zlib.decompress(b"".join(data)), np.uint8)
+    if not width or not height or len(raw) != height * (line + 1):
+        return None
+    lines = _unfiltered(raw.reshape(height, line + 1), max(1, n * depth // 8))
+    if depth == 16:
+        values = np.ascontiguousarray(lines).view(">u2").astype(np.int64)
+    elif depth == 8:
+        values = lines.astype(np.int64)
+    else:
+        bits = np.unpackbits(np.ascontiguousarray(lines), axis=1).reshape(height, -1, depth)
+        values = (bits @ (1 << np.arange(depth - 1, -1, -1)))[:, : width * n]
+    values = values.reshape(height, width, n)
+    if header[3] == 3:
+        return palette[np.minimum(values[:, :, 0], len(palette) - 1)] / 255
+    return values / ((1 << depth) - 1)
+
+
+def decode_bmp(content: bytes) -> np.ndarray | None:
+    """(height, width, 3) from 0 to 1 of an uncompressed BMP of 8, 24 or 32 bits a pixel; None for others."""
+    if content[:2] != b"BM" or len(content) < 54:
+        return None
+    start, header, width, height, _, depth, packed = struct.unpack("<IIiiHHI", content[10:34])
+    line = (abs(width) * depth // 8 + 3) // 4 * 4
+    if width <= 0 or not height or packed or depth not in (8, 24, 32) or start + line * abs(height) > len(content):
+        return None
+    lines = np.frombuffer(content, np.uint8, line * abs(height), start).reshape(abs(height), line)
+    lines = lines[::-1] if height > 0 else lines
+    if depth == 8:
+        colours = np.frombuffer(content[14 + header : start], np.uint8)
+        colours = colours[: len(colours) // 4 * 4].reshape(-1, 4)
+        if not len(colours):
+            return None
+        pixels = colours[np.minimum(lines[:, :width], len(colours) - 1)]
+    else:
+        pixels = lines[:, : width * depth // 8].reshape(abs(height), width, depth // 8)
+    return pixels[:, :, 2::-1] / 255
+
+
+def _lzw(data: bytes, least: int, most: int) -> bytes:
+    """The indexes of a GIF's packed data, up to ``most``."""
+    clear, table, out = 1 << least, [], bytearray()
+    width, hold, held, last = least + 1, 0, 0, None
+    table = [bytes([k]) for k in range(clear)] + [b"", b""]
+    for byte in data:
+        hold |= byte << held
+        held += 8
+        while held >= width:
+            code, hold, held = hold & (1 << width) - 1, hold >> width, held - width
+            if code == clear:
+                table, width, last = table[: clear + 2], least + 1, None
+                continue
+            if code == clear + 1 or code > len(table) or last is None and code >= clear:
+                return bytes(out[:most])
+            entry = table[code] if code < len(table) else last + last[:1]
+            out += entry
+            if last is not None and len(table) < 4096:
+                table.append(last + entry[:1])
+                width += len(table) == 1 << width and width < 12
+            last = entry
+            if len(out) >= most:
+                return bytes(out[:most])
+    return bytes(out)
+
+
+def decode_gif(content: bytes) -> np.ndarray | None:
+    """(height, width, 3) from 0 to 1 of a GIF's first image, which must fill its screen and not be interlaced; None for others."""
+    if content[:4] != b"GIF8" or len(content) < 13:
+        return None
+    width, height, flags = struct.unpack("<HHB", content[6:11])
+    at, colours = 13, b""
+    if flags & 128:
+        colours = content[13 : 13 + (3 << (flags & 7) + 1)]
+        at += len(colours)
+    while at < len(content) and content[at] == 0x21:
+        at += 2
+        while at < len(content) and content[at]:
+            at += content[at] + 1
+        at += 1
+    if at + 11 > len(content) or content[at] != 0x2C:
+        return None
+    x, y, w, h, flags = struct.unpack("<HHHHB", content[at + 1 : at + 10])
+    at += 10
+    if (x, y, w, h) != (0, 0, width, height) or flags & 64 or not w or not h:
+        return None
+    if flags & 128:
+        colours = content[at : at + (3 << (flags & 7) + 1)]
+        at += len(colours)
+    least, at, data = content[at], at + 1, bytearray()
+    while at < len(content) and content[at]:
+        data += content[at + 1 : at + 1 + content[at]]
+        at += content[at] + 1
+    indexes = np.frombuffer(_lzw(bytes(data), least, w * h), np.uint8) if 1 < least < 9 else np.zeros(0, np.uint8)
+    palette = np.frombuffer(colours, np.uint8).reshape(-1, 3)
+    if len(indexes) != w * h or not len(palette):
+        return None
+    return palette[np.minimum(indexes, len(palette) - 1)].reshape(h, w, 3) / 255
+
+
+def decode_still(content: bytes | None) -> np.ndarray | None:
+    """(height, width, channels) from 0 to 1 of a PNG, BMP or GIF that one of the decoders takes, else None."""
+    import zlib
+
+    for decode in (decode_png, decode_bmp, decode_gif) if content is not None else ():
+        try:
+            image = decode(content)
+        except (ValueError, IndexError, struct.error, zlib.error):
+            return None  # a damaged file is a problem of its row
+        if image is not None:
+            return image
+    return None
 
 
 def still_luma(files: DataFrame) -> DataFrame:
-    """(path, width, height, pixels, problem): luma 0 to 1 of PNG files; others are a problem."""
+    """(path, width, height, pixels, problem): luma 0 to 1 of PNG, BMP and GIF files; others are a problem."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
             for path, content in zip(batch["path"], batch["content"]):
-                image = decode_png(bytes(content))
+                image = decode_still(None if content is None else bytes(content))
                 if image is None:
                     rows.append((path, None, None, None, "unsupported_image"))
                     continue
-                rgb = image[:, :, :3].astype(np.float64) / 255 if image.shape[2] >= 3 else np.repeat(image[:, :, :1] / 255, 3, 2)
+                rgb = image[:, :, :3] if image.shape[2] >= 3 else np.repeat(image[:, :, :1], 3, 2)
                 rows.append((path, image.shape[1], image.shape[0], (rgb @ [0.2126, 0.7152, 0.0722]).astype(np.float32).ravel(), None))
             yield pd.DataFrame(rows, columns=["path", "width", "height", "pixels", "problem"])
 

@@ -1,9 +1,12 @@
+import struct
+import time
+import zlib
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from gridlume.functions import geometry, grids, kernels
-from gridlume.operators import catalog, curves, frames, fusion, scans
+from gridlume.operators import catalog, curves, frames, fusion, metrics, scans, session
 from gridlume.plans import axis, store
 from gridlume.sources import files, index, project
 from gridlume.streaming import verify
@@ -224,3 +227,86 @@ def test_events_reduce_alike(spark, tmp_path):
     query = verify.reduce_events(spark.readStream.schema(verify.EVENT_DDL).parquet(str(tmp_path / "events"))).writeStream.format("memory").queryName("jobs").outputMode("update").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
     query.awaitTermination(120)
     assert sorted(tuple(r) for r in spark.table("jobs").collect()) == [("j", "cancelled", 4, 10), ("k", "running", 1, 2)]
+
+
+def _png(width, height, depth, kind, lines, *chunks):
+    body = b"\x89PNG\r\n\x1a\n"
+    for name, data in ((b"IHDR", struct.pack(">IIBBBBB", width, height, depth, kind, 0, 0, 0)), *chunks, (b"IDAT", zlib.compress(lines)), (b"IEND", b"")):
+        body += struct.pack(">I", len(data)) + name + data + bytes(4)
+    return body
+
+
+def _gif(width, height, colours, indexes):
+    """Nine-bit codes, cleared before each 250, so that their width never changes."""
+    codes = [c for k in range(0, len(indexes), 250) for c in [256, *indexes[k : k + 250]]] + [257]
+    bits = sum(c << 9 * k for k, c in enumerate(codes)).to_bytes(-(-9 * len(codes) // 8), "little")
+    blocks = b"".join(bytes([len(bits[k : k + 255])]) + bits[k : k + 255] for k in range(0, len(bits), 255))
+    image = b"\x2c" + struct.pack("<HHHHB", 0, 0, width, height, 0) + b"\x08" + blocks + b"\0"
+    return b"GIF89a" + struct.pack("<HHBBB", width, height, 0x80 | len(colours).bit_length() - 2, 0, 0) + b"".join(bytes(c) for c in colours), image
+
+
+def test_stills_of_other_formats(spark):
+    colours = [(255, 0, 0), (0, 255, 0), (0, 0, 255), (255, 255, 255)]
+    luma = [0.2126, 0.7152, 0.0722, 1.0]
+    indexes = [(3 * y + x) % 4 for y in range(20) for x in range(30)]
+    head, image = _gif(30, 20, colours, indexes)
+    rows = [indexes[30 * y : 30 * y + 30] for y in range(20)]
+    packed = b"".join(b"\0" + bytes(sum(v << 6 - 2 * k for k, v in enumerate((r + [0, 0])[x : x + 4])) for x in range(0, 30, 4)) for r in rows)
+    bmp = b"".join(b"".join(bytes(colours[v][::-1]) for v in r) + bytes(2) for r in rows[::-1])
+    deep = b"".join(b"\0" + b"".join(struct.pack(">H", v * 21845) for v in r) for r in rows)
+    contents = {
+        "gif": head + b"\x21\xf9\x04" + bytes(5) + image + b";",
+        "palette": _png(30, 20, 2, 3, packed, (b"PLTE", b"".join(bytes(c) for c in colours))),
+        "bmp": b"BM" + struct.pack("<IIIIiiHHIIiiII", 54 + len(bmp), 0, 54, 40, 30, 20, 1, 24, 0, 0, 0, 0, 0, 0) + bmp,
+        "deep": _png(30, 20, 16, 0, deep),
+        "broken": _png(30, 20, 2, 3, packed[:9], (b"PLTE", bytes(12))),
+        "cut": (head + image)[:60],
+        "other": b"\xff\xd8\xff\xe0",
+        "none": None,
+    }
+    df = spark.createDataFrame(list(contents.items()), "path string, content binary")
+    found = {r.path: r for r in files.still_luma(df).collect()}
+    for name in ("gif", "palette", "bmp"):
+        assert (found[name].width, found[name].height) == (30, 20) and found[name].pixels == pytest.approx([luma[v] for v in indexes], abs=1e-6)
+    assert found["deep"].pixels == pytest.approx([v / 3 for v in indexes], abs=1e-6)
+    assert {found[n].problem for n in ("broken", "cut", "other", "none")} == {"unsupported_image"}
+    assert files.has_animation(head + image + image, "gif") and not files.has_animation(head + image, "gif")
+    assert not files.has_animation(head + b"\x21\xfe\x04" + image[:4] + b"\0" + image, "gif")
+
+
+def test_plans_used_last_are_kept(spark, tmp_path):
+    cache = axis.PlanCache(10_000)
+    plans = [axis.build(axis.Request(64, n, float(n), 0.0, "bilinear")) for n in range(30, 60)]
+    for k, plan in enumerate(plans):
+        cache.get(k, lambda plan=plan: plan)
+        cache.get(0, lambda: plans[0])
+    assert 0 in cache.plans and 1 not in cache.plans and cache.bytes == sum(p.nbytes() for p in cache.plans.values()) <= 10_000
+    path = f"file://{tmp_path}/store"
+    ask = lambda low, high: spark.range(low, high).select(*(c.cast(t).alias(n) for n, (c, t) in {"source_size": (F.lit(64), "int"), "destination_size": (F.col("id"), "int"), "active_length": (F.col("id"), "double"), "shift": (F.lit(0), "double"), "kernel_id": (F.lit("bilinear"), "string"), "b": (F.lit(0), "double"), "c": (F.lit(0), "double"), "taps": (F.lit(3), "int")}.items())).coalesce(1)
+    assert store.ensure_plans(ask(30, 34), path)[1] == 4 and store.ensure_plans(ask(34, 38), path)[1] == 4
+    time.sleep(1.1)
+    assert store.ensure_plans(ask(30, 34), path, 1 << 30)[1] == 0
+    sizes = sorted(p.stat().st_size for p in (tmp_path / "store").rglob("*.parquet"))
+    assert store.evict(spark, path, max(sizes) * len(sizes)) == 0
+    assert store.evict(spark, path, sum(sizes) - 1) >= 1
+    assert store.ensure_plans(ask(30, 34), path)[1] < 4 and store.evict(spark, f"{path}-none") == 0
+
+
+def test_sessions(spark):
+    uses = spark.createDataFrame([("s", k, key) for k, key in enumerate(["a", "b", None, "a", "c", "d", "b", None])], "session_id string, seq int, frame_key string")
+    found = [r.hit for r in session.cache_hits(uses, 3).orderBy("seq").collect()]
+    assert found == [False, False, False, True, False, False, False, False]
+    requests = spark.createDataFrame([(1, 5, "x"), (2, 4, "x"), (3, 9, None), (4, 9, None)], "request_id int, at int, path string")
+    assert {(r.request_id, r.job_id, r.starts) for r in session.shared_jobs(requests, ("path",)).collect()} == {(1, 2, False), (2, 2, True), (3, 3, True), (4, 3, False)}
+    events = spark.createDataFrame([(1, None), (2, 7), (3, 7), (4, 8)], "seq int, request_id int")
+    assert [r.target for r in session.routed(events, spark.createDataFrame([(7,), (7,)], "request_id int")).orderBy("seq").collect()] == ["event", "answer", "event", "event"]
+    assert session.cache_hits(uses.limit(0)).count() == session.routed(events.limit(0), requests).count() == 0
+
+
+def test_ordered_norm_is_the_same_however_rows_are_dealt(spark):
+    r = np.random.default_rng(1)
+    rows = spark.createDataFrame([(k % 2, k, float(v)) for k, v in enumerate(r.normal(size=3000))], "key int, place int, d double")
+    one, two = (sorted(map(tuple, metrics.p_norm_in_order(df, "key", "place", "d", 0.1, 3, 64).collect())) for df in (rows.coalesce(1), rows.repartition(9)))
+    assert one == two
+    values = np.array([x.d for x in rows.where("key = 0").collect()])
+    assert one[0][1] == pytest.approx((np.where(np.abs(values) > 0.1, np.abs(values) ** 3, 0).sum() / len(values)) ** (1 / 3))
