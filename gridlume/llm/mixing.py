@@ -6,6 +6,10 @@ the odds rate / (cap - rate) are exp(lambda * size / mean size of the source). T
 with one lambda a source; Newton steps over the histogram of (source, size), which has the whole
 corpus in it, solve it. Rates become whole copies by systematic rounding along the sizes; what is
 left of a source's target is made up by the cells that fit it best. DataFrame functions only.
+Rates that are themselves exponentially tilted, without a bound, can't do: to reach a target of
+twice its source's words every document would have to give two copies, while exp(lambda * size)
+gives the largest more than that and the smallest less. With the bound in the entropy the same
+tilt acts on the odds, and the dual stays convex.
 All sums that decide something are sums of integers, so that reruns agree.
 """
 
@@ -21,7 +25,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (3, 1, 2)  #: repeating, over the sources by code point, null last
 SHARE = 1.5  #: words of the mix against those of all sources
 CAP = 2  #: copies of a document, and words of a target against those of its source
-SPREAD = 64  #: parts of a histogram cell, so that no cell is one task's
+SPREAD = 1024  #: parts of a histogram cell, so that no cell is one task's: of a cell with a third of all rows a part has a three thousandth
 MAX_STEPS = 60
 MENDINGS = 4  #: passes that fit what rounding left of the targets
 SCALE = 1000  #: sums are of thousandths of words

@@ -295,7 +295,12 @@ def test_incremental_entropy(word, floor):
         if -sum(c / 20 * math.log2(c / 20) for c in counts) > floor + 1e-9:
             covered |= set(range(k, k + 20))
     found = set().union(*(range(a, b) for a, b in secrets.dense_windows(word, 20, floor)))
-    assert covered <= found
+    surely = set()
+    for k in range(len(word) - 19):
+        counts = Counter(word[k : k + 20]).values()
+        if -sum(c / 20 * math.log2(c / 20) for c in counts) >= floor - 1e-9:
+            surely |= set(range(k, k + 20))
+    assert covered <= found <= surely
 
 
 def mix_by_hand(sizes, sources):
@@ -343,6 +348,42 @@ def test_mixing(spark):
     assert [x.taken for x in mixing.mix(documents(spark, [None, ""], ids=[None, None])).collect()] == [0, 0]
 
 
+def test_mixing_solves_the_dual(spark):
+    """Newton's tilts against bisection on whole histograms, and the rates against other feasible ones: none has more of the bounded entropy."""
+    r = np.random.default_rng(5)
+    cells = [(f"s{k}", int(size), int(n)) for k in range(4) for size, n in zip(np.unique(r.integers(1, 900, 60)), r.integers(1, 50, 60))]
+    df = spark.createDataFrame(cells, "key string, size long, n long")
+    plan = mixing.targets(df, (5, 1, 1, 2), 1.1).collect()
+    solved = {x.key: x for x in mixing.solve(Scratch(spark, "t"), df, mixing.targets(df, (5, 1, 1, 2), 1.1)).collect()}
+    for row in plan:
+        size, n = (np.array([c[i] for c in cells if c[0] == row.key], float) for i in (1, 2))
+        assert (row.source_size, row.docs) == ((size * n).sum(), n.sum())
+        scaled = size * n.sum() / (size * n).sum()
+        taken = lambda lam: (n * size * 2 / (1 + np.exp(-lam * scaled))).sum()  # noqa: E731, B023
+        if row.target >= 2 * row.source_size:
+            continue
+        low, high = -50.0, 50.0
+        for _ in range(200):
+            middle = (low + high) / 2
+            low, high = (middle, high) if taken(middle) < row.target else (low, middle)
+        assert abs(taken(solved[row.key].lam) - row.target) <= 1.0 and solved[row.key].lam == pytest.approx(low, abs=1e-3)
+        rate = 1 / (1 + np.exp(-low * scaled))
+        entropy = lambda p: -(n * (p * np.log(p) + (1 - p) * np.log(1 - p))).sum()  # noqa: E731, B023
+        for _ in range(20):
+            step = r.normal(size=len(size)) * 1e-3
+            step -= n * size * (n * size @ step) / (n * size @ (n * size))  # keeps the words
+            assert entropy(rate + step) <= entropy(rate) + 1e-9
+
+
+def test_mixing_of_one_hot_cell(spark):
+    docs = documents(spark, ["two words"] * 3000 + ["one more text"] * 10, ["a"] * 3000 + ["b"] * 10).repartition(6)
+    rows = mixing.mix(docs).collect()
+    total, target = mix_by_hand([2] * 3000 + [3] * 10, ["a"] * 3000 + ["b"] * 10)
+    for s in "ab":
+        assert abs(sum(x.taken for x in rows if x.source == s) - target[s]) <= 3
+    assert {x.copies for x in rows} <= {0, 1, 2} and len(rows) == 3010
+
+
 def _language_docs():
     r = random.Random(3)
     syllables = {"aa": ["ta", "ki", "mo"], "bb": ["sch", "ung", "über"], "cc": ["eau", "que", "oi"]}

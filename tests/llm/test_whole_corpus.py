@@ -1,9 +1,14 @@
+import base64
+import hashlib
 import math
 import random
 import re
+from collections import Counter
 
 import numpy as np
+import public_tokenizers
 import pyarrow as pa
+import tiktoken
 
 import corpus_pipeline
 from gridlume.llm import media, secrets
@@ -141,3 +146,54 @@ def test_one_row_of_each_group_stays(spark):
     assert len([r for r in kept[0] if r[1] and "w5" in r[1]]) == 1 and any(r[0] == 7 for r in kept[0])
     assert len([r for r in kept[0] if r[1] and "v5" in r[1]]) == 1
     assert len(kept[0]) == 7
+
+
+def test_pipeline_equals_its_steps_by_hand(spark, tmp_path):
+    """Each stage's rows against plain Python over the same rows, in the order of the stages."""
+    texts = [t for k in range(40) for t in (f"plain text number {k} about a river and its {k % 7} bridges and towns", f"you {'idiot' if k % 4 == 0 else 'friend'} number {k} of all that we have known")]
+    texts += ["one of the copies of a text that two rows have", "one of the copies of a text that two rows have", "my password = hunter2222 is here", None, ""]
+    rows = [(k, t, "en", "abc"[k % 3], len(t or "")) for k, t in enumerate(texts)]
+    folder = str(tmp_path / "in")
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    docs.write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame([(k, int("idiot" in (t or ""))) for k, t in enumerate(texts[:80])], "doc_id long, toxic int").write.parquet(f"{folder}/labels.parquet")
+    kept = [r for r in rows if "idiot" not in (r[1] or "")]
+    stage = dict(corpus_pipeline.STAGES)
+    found = spark.read.parquet(f"{folder}/documents.parquet")
+    found = stage["toxicity"](spark, found, folder)
+    assert sorted(r.doc_id for r in found.collect()) == [r[0] for r in kept]
+    sets = {}
+    for r in kept:
+        words = (r[1] or "").split()
+        sets[r[0]] = {tuple(words[k : k + 5]) for k in range(max(1, len(words) - 4))} if words else set()
+    keep = [a for a in sets if not any(b < a and sets[a] and 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]) for b in sets)]
+    found = stage["n-gram Jaccard join"](spark, found, folder)
+    assert sorted(r.doc_id for r in found.collect()) == keep and len(keep) == len(kept) - 1
+    found = stage["secret scans"](spark, found, folder)
+    clean = {k: t if t is None or "password" not in t else "my [REDACTED] is here" for k, t, *_ in rows}
+    assert {r.doc_id: r.text for r in found.collect()} == {k: clean[k] for k in keep}
+    mixed = stage["mixing sources to target weights"](spark, found, folder).collect()
+    counts = Counter(r.doc_id for r in mixed)
+    assert set(counts) <= set(keep) and max(counts.values()) <= 2
+    words = {k: len((clean[k] or "").split()) for k in keep}
+    total = {s: sum(words[k] for k in keep if rows[k][3] == s) for s in "abc"}
+    budget, weight, target, open_ = 1.5 * sum(total.values()), {"a": 3, "b": 1, "c": 2}, {}, set("abc")
+    while open_:
+        level = budget / sum(weight[s] for s in open_)
+        full = [s for s in open_ if level * weight[s] > 2 * total[s]]
+        for s in full or sorted(open_):
+            target[s] = 2.0 * total[s] if full else level * weight[s]
+        budget -= sum(target[s] for s in full)
+        open_ = open_ - set(full) if full else set()
+    for s in "abc":
+        assert abs(sum(words[k] * n for k, n in counts.items() if rows[k][3] == s) - target[s]) <= 7
+    ids = corpus_pipeline.run(spark, folder).collect()
+    assert Counter(r.doc_id for r in ids) == counts
+    with open(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), "rb") as file:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, file)}
+    encoding = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    for r in ids:
+        text = clean[r.doc_id] or ""
+        expected = encoding.encode_ordinary(text)
+        assert r.n_tokens == len(expected) and bytes(r.ids) == np.array(expected, "<u4").tobytes()
+        assert r.decoded_sha256 == hashlib.sha256(text.encode()).hexdigest()
