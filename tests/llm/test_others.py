@@ -59,7 +59,9 @@ def by_hand(url):
     return url, host, path, rule[0], verdict
 
 
-def test_urls(spark):
+@pytest.mark.parametrize("held", [10_000, 0])
+def test_urls(spark, monkeypatch, held):
+    monkeypatch.setattr(urls, "MAX_HELD_RULES", held)
     rows = spark.createDataFrame([(k if k % 7 else None, u, 1, "r", "h") for k, u in enumerate(URLS)], "page_id long, url string, rank int, rule string, host string")
     found = urls.judge(rows).collect()
     key = lambda r: tuple((v is None, v) for v in r)
@@ -70,6 +72,15 @@ def test_urls(spark):
     assert bare.count() == len(URLS) and {r.url for r in bare.where("verdict = 'block'").collect()} == {"http://h.org/p/login", "http://h.org/p/loginx"}
 
 
+def test_urls_are_judged_where_they_are(spark):
+    rows = spark.createDataFrame([(k, f"http://h{k}.example.com/{k}/x{k % 50}y/page?q=r{k % 97}z") for k in range(2000)], "page_id long, url string")
+    rules = tuple((f"/x{k}y/", "block") for k in range(0, 3000, 7)) + (("r5z^", "allow"),)
+    plan = urls.judge(rows, (("example.com/3", "allow"),), rules)
+    assert "Exchange" not in plan._jdf.queryExecution().executedPlan().toString()
+    expected = {k: "allow" if str(k).startswith("3") or k % 97 == 5 or (k % 50) % 7 else "block" for k in range(2000)}
+    assert {r.page_id: r.verdict for r in plan.collect()} == expected
+
+
 def test_rules_are_indexed_by_whole_tokens_only():
     assert urls.pattern_rule("/ads*", "block").tokens == ()
     assert urls.pattern_rule("||casino-", "block").tokens == ("casino",)
