@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from ..functions import geometry as g
 from ..functions import kernels
 from ..plans import axis, store
+from . import frames as frame_ops
 from . import metrics
 
 FRAME_DDL = "frame_id BIGINT, width INT, height INT, pixels ARRAY<FLOAT>"
@@ -270,6 +271,21 @@ def verify(frames: DataFrame, geometry: Column, kernel: Column, axis_mode: str =
     return analyse(frames, works, axis_mode, metric or DEFAULT_METRIC, strict, spread=False).drop("ordinal")
 
 
+def verify_media(media: DataFrame, scope: Column, geometry: Column, kernel: Column, axis_mode: str = "h_plus_w", metric: dict | None = None, stream: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
+    """(stream, frame_id, frame_index, error) of the frames of a media table that are in scope, and their coverage by stream.
+
+    ``media`` holds a row a decoded frame: frame_id, decode_index, pts, best_effort, dts, width,
+    height and pixels. Frames are numbered in presentation order before the scope picks them. Unlike
+    a stream's, a media table's frame that can't be analysed is an error of the job, when it runs.
+    """
+    shown = frame_ops.presented(media.drop("pixels", "width", "height"), stream)
+    picked = shown.where(F.coalesce(scope, F.lit(False))).select(*stream, "frame_id", "frame_index")
+    wanted = media.select("frame_id", "width", "height", "pixels").join(picked.select("frame_id"), "frame_id", "left_semi")
+    errors = verify(wanted, geometry, kernel, axis_mode, metric, strict=True).select("frame_id", "error")
+    found = picked.join(errors, "frame_id").select(*stream, "frame_id", "frame_index", "error")
+    return found, frame_ops.coverage(shown.join(errors, "frame_id", "left"), scope, stream=stream)
+
+
 def capabilities(spark) -> DataFrame:
     """What this engine can do, as a relation of (kernel_id, parameters)."""
     rows = [(f, {"bicubic": "b,c", "lanczos": "taps"}.get(f, "")) for f in kernels.FAMILIES]

@@ -59,6 +59,19 @@ def verification(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _found(scans.verify(image_frames(spark, sf_dir), shape, kernels.kernel("bicubic", 0.0, 0.5), "h_plus_w", METRIC))
 
 
+def _media_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Frames of a media file, shown in the reverse of their decoding order."""
+    rows = image_frames(spark, sf_dir).where(F.col("height") == LINES)
+    return rows.select("frame_id", F.col("frame_id").alias("decode_index"), (-F.col("frame_id")).alias("pts"), F.lit(None).cast("long").alias("best_effort"), F.col("frame_id").alias("dts"), "width", "height", "pixels")
+
+
+def media_verification(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every second frame by presentation."""
+    shape = geometry.independent_geometry(F.lit(48.0), F.lit(64.0), F.lit(None).cast("long"), F.lit(None).cast("long"))
+    found, _ = scans.verify_media(_media_frames(spark, sf_dir), F.col("frame_index") % 2 == 0, shape, kernels.kernel("bicubic", 0.0, 0.5), "h_plus_w", METRIC)
+    return found.select("frame_id", "frame_index", rounded("error", 4))
+
+
 def plan_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Plans of parts' sizes as native heights of 96 lines, once each."""
     k = F.struct(F.lit("spline36").alias("id"), F.lit(None).cast("double").alias("b"), F.lit(None).cast("double").alias("c"), F.lit(None).cast("int").alias("taps"))
@@ -71,7 +84,7 @@ def capabilities(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scans.capabilities(spark)
 
 
-QUERIES = {f.__name__: f for f in (height_scan_bilinear, height_scan, width_scan, kernel_scan, verification, plan_table, capabilities)}
+QUERIES = {f.__name__: f for f in (height_scan_bilinear, height_scan, width_scan, kernel_scan, verification, media_verification, plan_table, capabilities)}
 
 _PROBLEM = "CASE WHEN error IS NULL THEN 'destination_out_of_range' ELSE 'none' END AS problem"
 _CUBIC = "'bicubic' AS id, 0.0::DOUBLE AS b, 0.5::DOUBLE AS cc, NULL::INTEGER AS taps"
@@ -82,6 +95,7 @@ ORACLES = {
     "height_scan": scan(f"SELECT f, w, h, c, {_CUBIC}, nw0::INTEGER AS nw, aw, (nw0 - aw) / 2 AS lw, nh0::INTEGER AS nh, ah, (nh0 - ah) / 2 AS th FROM ({_BASED})", 2, "hw", LINES, 5, f"SELECT f AS frame_id, c::INTEGER AS ordinal, ah AS value, round(error, 4) AS error, {_PROBLEM} FROM found"),
     "width_scan": scan("SELECT f, w, h, n - 30 AS c, 'lanczos' AS id, NULL::DOUBLE AS b, NULL::DOUBLE AS cc, 3 AS taps, n AS nw, n::DOUBLE AS aw, 0.0 AS lw, h AS nh, h::DOUBLE AS ah, 0.0 AS th FROM fr, range(30, 61) r(n)", 3, "w", LINES, 5, f"SELECT f AS frame_id, c::INTEGER AS ordinal, aw AS value, round(error, 4) AS error, {_PROBLEM} FROM found"),
     "kernel_scan": scan(f"SELECT f, w, h, c, id, b, cc, taps, {_FIXED} FROM fr, ({_SWEEP})", 4, "hw", LINES, 5, f"SELECT f AS frame_id, c::INTEGER AS ordinal, id, round(error, 4) AS error, {_PROBLEM} FROM found"),
+    "media_verification": scan(f"SELECT f, w, h, 0 AS c, {_CUBIC}, {_FIXED} FROM fr WHERE h = {LINES}", 2, "hw", LINES, 5, "SELECT f AS frame_id, frame_index, round(error, 4) AS error FROM (SELECT *, row_number() OVER (ORDER BY -f) - 1 AS frame_index FROM found) WHERE frame_index % 2 = 0"),
     "verification": scan(f"SELECT f, w, h, 0 AS c, {_CUBIC}, {_FIXED} FROM fr", 2, "hw", LINES, 5, f"SELECT f AS frame_id, round(error, 4) AS error, {_PROBLEM} FROM found"),
     "height_scan_bilinear": f"""WITH RECURSIVE px AS (SELECT vec_id // {LINES} AS f, vec_id % {LINES} AS i, unnest(range(64)) AS x, CAST(unnest(embedding) AS DOUBLE) AS b FROM embeddings),
  fr AS (SELECT vec_id // {LINES} AS f, count(*) AS s FROM embeddings GROUP BY 1), cand AS (SELECT f, s, c AS n FROM fr, (SELECT unnest([40, 45, 50, 55, 60]) AS c)), ok AS (SELECT * FROM cand WHERE n < s),

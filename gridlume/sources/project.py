@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import labels
 
+#: The documents' schema version and field names, and the export's header.
 SCHEMA_VERSION = 2
 MANIFEST_DDL = (
     "schema_version INT, id STRING, name STRING,"
@@ -18,6 +19,7 @@ MANIFEST_DDL = (
     " verification_reviews ARRAY<STRUCT<run_id: STRING, note: STRING>>"
 )
 COLLECTIONS = ("sources", "samples", "recipes", "run_groups", "runs", "verification_reviews")
+FUSION_COLUMNS = ("fusion_id", "source_id", "frame_index", "fused_error", "winner_run_id", "winner_recipe_id", "winner_recipe_name", "candidate_count", "candidate_run_id", "candidate_recipe_id", "candidate_recipe_name", "candidate_error", "is_winner")
 
 
 def read_manifests(spark: SparkSession, path: str) -> DataFrame:
@@ -57,9 +59,6 @@ def run_json(rows: DataFrame) -> DataFrame:
     return rows.groupBy("run_id", "run_type").agg(points.alias("rows")).select("run_id", F.to_json(F.struct("run_id", "run_type", "rows")).alias("value"))
 
 
-FUSION_COLUMNS = ("fusion_id", "source_id", "frame_index", "fused_error", "winner_run_id", "winner_recipe_id", "winner_recipe_name", "candidate_count", "candidate_run_id", "candidate_recipe_id", "candidate_recipe_name", "candidate_error", "is_winner")
-
-
 def fusion_rows(fusion: DataFrame, names: DataFrame, fusion_id: str, source_id: str) -> DataFrame:
     """One row per frame and candidate in FUSION_COLUMNS; ``names`` is (recipe_id, name), empty where unknown."""
     rows = fusion.select("frame_index", "fused_error", "winner_run_id", "winner_recipe_id", "candidate_count", F.explode("candidates").alias("c"))

@@ -310,3 +310,44 @@ def test_ordered_norm_is_the_same_however_rows_are_dealt(spark):
     assert one == two
     values = np.array([x.d for x in rows.where("key = 0").collect()])
     assert one[0][1] == pytest.approx((np.where(np.abs(values) > 0.1, np.abs(values) ** 3, 0).sum() / len(values)) ** (1 / 3))
+
+
+def test_media_verification_fails_as_a_whole(spark):
+    pixels = [float(v % 7) / 7 for v in range(48 * 48)]
+    rows = [(k, k, (5, 3, 4, None)[k], None, k, 48, 48, pixels if k != 2 else pixels[:5]) for k in range(4)]
+    media = spark.createDataFrame(rows, "frame_id long, decode_index long, pts long, best_effort long, dts long, width int, height int, pixels array<float>")
+    shape = geometry.plain_geometry(*geometry.active_lengths(F.lit(48), F.lit(48), F.lit("h_only"), F.lit(40.0)))
+    run = lambda scope: scans.verify_media(media, scope, shape, kernels.kernel("bilinear"), "h_only")
+    bad = run(F.lit(True))[0]
+    with pytest.raises(Exception, match="frame_missing"):
+        bad.collect()
+    index = {r.frame_id: r.frame_index for r in frames.presented(media.drop("pixels")).collect()}
+    found, covered = run(F.col("frame_index") != index[2])
+    assert {r.frame_id: r.frame_index for r in found.collect()} == {k: v for k, v in index.items() if k != 2}
+    assert covered.first().asDict() == {"eligible": 4, "selected": 3, "processed": 3, "failed": 0}
+
+
+def test_commands_and_manifests_as_json(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.jsonl").write_text('{"request_id": "r1", "type": "height"}\n{"request_id": "r2"}\n')
+    commands = verify.read_commands(spark, str(tmp_path / "in"), "request_id STRING, type STRING")
+    query = commands.writeStream.format("memory").queryName("commands").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+    query.awaitTermination()
+    assert sorted(map(tuple, spark.table("commands").collect()), key=str) == [("r1", "height"), ("r2", None)]
+    (tmp_path / "p.json").write_text('{"schema_version": 1, "id": "p", "sources": [{"id": "s", "path": "/x", "kind": "video"}]}')
+    (tmp_path / "q.json").write_text('{"schema_version": 9, "id": "q"}')
+    opened = project.read_manifests(spark, str(tmp_path / "*.json"))
+    assert {(r.id, r.read_only, r.migrated) for r in opened.collect()} == {("p", False, True), ("q", True, False)}
+    written = project.manifest_json(opened).collect()
+    again = spark.createDataFrame(written).select("id", F.from_json("json", project.MANIFEST_DDL).alias("m")).first()
+    assert len(written) == 1 and again.m.schema_version == project.SCHEMA_VERSION and again.m.sources[0].path == "/x" and again.m.runs == []
+
+
+def test_cheaper_axis_goes_first():
+    small, large = axis.build(axis.Request(64, 20, 20.0, 0.0, "bilinear")), axis.build(axis.Request(64, 60, 60.0, 0.0, "bicubic"))
+    taps = lambda p: p.forward_columns.shape
+    for h, v in ((small, large), (large, small), (small, small)):
+        (w, tw), (t, th), nw, nh = taps(h), taps(v), len(h.pivots), len(v.pivots)
+        horizontal, vertical = nh * w * tw + w * t * th, nw * t * th + w * t * tw
+        assert axis.forward_order(h, v) == ("horizontal" if horizontal <= vertical else "vertical")
+    assert axis.grid_period(axis.Request(1080, 720, 720.0, 0.0, "bilinear")) == 3 and axis.grid_period(axis.Request(1080, 720, 720.5, 0.0, "bilinear")) is None
