@@ -23,12 +23,12 @@ from .textbatch import PUNCTUATION, U, slices, words_and_prefixes
 
 BUCKET_BITS = 18
 PREFIXES = (5, 8)  #: bytes of a word's beginnings that are terms too, for words formed from the same stem
-FACTORS = 8
+FACTORS = 4
 MAX_TRAINING_ROWS = 20_000  #: labelled documents that a model is fitted on, whole texts
 MIN_DOCUMENTS = 5  #: a term must be in that many of them
 MIN_EVIDENCE = 3.0  #: terms whose share of toxic documents is that many standard errors from the rest's go first, then the most frequent ones
 MAX_TERMS = 20_000  #: of the model
-MAX_ENTRIES = 2_000_000  #: documents of all its terms together: what the driver fits on is bounded whatever the texts' lengths
+MAX_ENTRIES = 1_000_000  #: documents of all its terms together: what the driver fits on is bounded whatever the texts' lengths
 STEPS, RATE, PENALTY = 400, 0.05, 5e-5
 DOUBT = 200  #: times the penalty for terms of less evidence, which only strong pairs overcome
 ROWS, STEP_ENTRIES = 2048, 250_000  #: documents, and entries, of a step, about
@@ -68,7 +68,7 @@ class FactorizationMachine:
         return 1 / (1 + np.exp(-np.clip(self.raw(self.place[bucket], row, n), -30, 30)))
 
 
-def screened(seen: np.ndarray, toxic: np.ndarray, share: float, entries: int = MAX_ENTRIES) -> tuple[np.ndarray, int]:
+def screened(seen: np.ndarray, toxic: np.ndarray, share: float, entries: int | None = None) -> tuple[np.ndarray, int]:
     """(place, telling): the place of each bucket's term in the model, -1 for those that have none, and how many tell by themselves; ``seen`` and ``toxic`` count documents by bucket.
 
     Terms that tell by themselves come first, by their evidence. Terms that don't may tell together
@@ -79,7 +79,7 @@ def screened(seen: np.ndarray, toxic: np.ndarray, share: float, entries: int = M
     evidence[~np.isfinite(evidence) | (evidence < MIN_EVIDENCE)] = 0
     order = np.lexsort((np.arange(len(seen)), -seen, -evidence))
     chosen = order[seen[order] >= MIN_DOCUMENTS][:MAX_TERMS]
-    chosen = chosen[np.cumsum(seen[chosen]) <= entries]
+    chosen = chosen[np.cumsum(seen[chosen]) <= (MAX_ENTRIES if entries is None else entries)]
     place = np.full(len(seen), -1)
     place[chosen] = np.arange(len(chosen))
     return place, int(np.count_nonzero(evidence[chosen]))
