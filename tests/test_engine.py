@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from gridlume.functions import geometry, grids, kernels
-from gridlume.operators import catalog, curves, frames, fusion, metrics, scans, session
+from gridlume.operators import catalog, curves, frames, fusion, metrics, requests, scans, session
 from gridlume.plans import axis, store
 from gridlume.sources import files, index, project
 from gridlume.streaming import verify
@@ -351,3 +351,12 @@ def test_cheaper_axis_goes_first():
         horizontal, vertical = nh * w * tw + w * t * th, nw * t * th + w * t * tw
         assert axis.forward_order(h, v) == ("horizontal" if horizontal <= vertical else "vertical")
     assert axis.grid_period(axis.Request(1080, 720, 720.0, 0.0, "bilinear")) == 3 and axis.grid_period(axis.Request(1080, 720, 720.5, 0.0, "bilinear")) is None
+
+
+def test_cancelling_counts_between_queueing_and_the_end(spark):
+    rows = [("a", 1, "queue", 5), ("a", 2, "cancel", None), ("a", 3, "completed", None), ("b", 1, "queue", -5), ("b", 2, "completed", None), ("b", 3, "cancel", None)]
+    rows += [("c", 1, "cancel", None), ("c", 2, "queue", 7), ("d", 1, "cancel", None), ("e", 1, "queue", 1), ("e", 2, "completed", None), ("e", 3, "queue", None), ("e", 4, "cancel", None)]
+    found = requests.job_requests(spark.createDataFrame(rows, "job_id string, seq int, event string, total int"))
+    assert sorted(map(tuple, found.collect())) == [("a", 5, True, True), ("b", 0, True, False), ("c", 7, False, False), ("e", 0, False, True)]
+    with pytest.raises(ValueError, match="direction"):
+        requests.by_metric("up")
