@@ -10,10 +10,16 @@ MOST_NORM = 4_294_967_295
 CROP = ("crop_left", "crop_right", "crop_top", "crop_bottom")
 
 
+def empty(width: int, height: int, crop: tuple[int, int, int, int]) -> bool:
+    """Whether a crop of (left, right, top, bottom) keeps nothing."""
+    left, right, top, bottom = crop
+    return left + right >= width or top + bottom >= height
+
+
 def bounds(width: int, height: int, crop: tuple[int, int, int, int]) -> tuple[int, int, int, int]:
     """(left, right, top, bottom) of what a crop of (left, right, top, bottom) keeps; nothing left is an error."""
     left, right, top, bottom = crop
-    if min(crop) < 0 or left + right >= width or top + bottom >= height:
+    if min(crop) < 0 or empty(width, height, crop):
         raise ValueError("crop leaves no pixel")
     return left, width - right, top, height - bottom
 

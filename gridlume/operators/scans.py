@@ -107,14 +107,14 @@ def _plan(work: dict, side: str, size: int) -> axis.Plan:
     return axis.build(request)
 
 
-def _problem(work: dict, width: int, height: int, modes: str) -> str | None:
+def _problem(work: dict, width: int, height: int, modes: str, crop: tuple[int, int, int, int]) -> str | None:
     geometry, k = work["geometry"], work["kernel"]
     if geometry is None:
         return "geometry_missing"
     for side, size, name, length in (("w", width, "width", "src_width"), ("h", height, "height", "src_height")):
         if side in modes and axis.Request(size, int(geometry[name]), geometry[length], 0.0, k["id"]).problem():
             return "destination_out_of_range"
-    return None
+    return "crop_leaves_no_pixel" if metrics.empty(width, height, crop) else None
 
 
 _SIDES = {"h_only": "h", "w_only": "w", "h_plus_w": "hw"}
@@ -159,10 +159,10 @@ def _run(axis_mode: str, metric: dict, strict: bool, shared=None, parts: int = 1
                 if parts > 1:
                     works = works[int(first["part"]) :: parts]
                 good = [k for k, wrong in enumerate(problems) if wrong is None]
-                stack = Stack([images[k] for k in good], metric) if good else None
+                stack = Stack([images[k] for k in good], metric) if good and not metrics.empty(width, height, metric["crop"]) else None
                 found = []
                 for work in works:
-                    problem = _problem(work, width, height, sides)
+                    problem = _problem(work, width, height, sides, metric["crop"])
                     errors: list[float | None] = [None] * len(good)
                     if stack is not None and not problem:
                         errors = stack.errors(_plan(work, "h", width) if "w" in sides else None, _plan(work, "v", height) if "h" in sides else None)
@@ -183,8 +183,8 @@ def analyse(frames: DataFrame, works: DataFrame, axis_mode: str, metric: dict, s
 
     ``works`` is (width, height, ordinal, geometry, kernel) and, from a store, h_plan and v_plan:
     small, one row per candidate and frame shape. A problem, such as a frame whose pixels aren't
-    width times height or a canvas that isn't smaller than the frame, gives a null error; with
-    ``strict`` it is an error of the job. ``spread`` lets frames that are fewer than the tasks be
+    width times height, a canvas that isn't smaller than the frame or a crop that takes all of it,
+    gives a null error; with ``strict`` it is an error of the job. ``spread`` lets frames that are fewer than the tasks be
     dealt out in copies; works or plans too many to broadcast meet the frames in batches.
     """
     spark = frames.sparkSession

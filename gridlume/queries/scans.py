@@ -23,8 +23,9 @@ def image_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _found(rows: DataFrame, *columns: str) -> DataFrame:
-    """Errors to 4 places: plans hold 32-bit numbers."""
-    return rows.select("frame_id", *columns, rounded("error", 4), F.coalesce("problem", F.lit("none")).alias("problem"))
+    """Errors to 4 places: plans hold 32-bit numbers. The SQL has one name for a candidate without an error, also where the crop takes all of a frame."""
+    problem = F.when(F.col("problem") == "crop_leaves_no_pixel", "destination_out_of_range").otherwise(F.coalesce("problem", F.lit("none")))
+    return rows.select("frame_id", *columns, rounded("error", 4), problem.alias("problem"))
 
 
 def height_scan_bilinear(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,7 +1,8 @@
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from gridlume.functions import geometry
+from gridlume.functions import geometry, kernels
 from gridlume.operators import catalog, frames, scans
 from gridlume.queries import ORACLES, QUERIES
 from oracle import DATA, assert_same, connect
@@ -68,3 +69,27 @@ def test_kernel_lists_are_whole(spark):
     assert all(found[f, k].problem is None and found[f, k].error is not None for f in (1, 2) for k in (0, 5000))
     with pytest.raises(ValueError, match="4096"):
         scans.kernel_scan(images, spark.range(4097).select(F.col("id").cast("int").alias("ordinal"), F.struct(F.lit("bilinear").alias("id"), F.lit(None).cast("double").alias("b"), F.lit(None).cast("double").alias("c"), F.lit(None).cast("int").alias("taps")).alias("kernel")), shape, "h_only")
+
+
+@pytest.mark.parametrize("name", ["height_scan"])
+def test_last_frame_of_few_lines(spark, tmp_path, name):
+    """A crop of 5 on each side takes all of the last frame's 3 lines."""
+    spark.read.parquet(f"{DATA}/embeddings.parquet").where("vec_id < 96 + 3").write.parquet(f"{tmp_path}/embeddings.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet'")
+    found = QUERIES[name](spark, str(tmp_path))
+    assert found.where("frame_id = 1 AND error IS NULL").count() > 0
+    assert_same(found, con, ORACLES[name])
+
+
+def test_crop_of_a_whole_frame_is_a_problem_of_that_frame(spark):
+    large, small = ([float(v % 7) / 7 for v in range(48 * h)] for h in (48, 8))
+    images = spark.createDataFrame([(1, 48, 48, large), (2, 48, 8, small)], scans.FRAME_DDL)
+    shape = geometry.plain_geometry(*geometry.active_lengths(F.col("width"), F.col("height"), F.lit("w_only"), F.lit("40")))
+    metric = {"crop": (5, 5, 4, 4), "threshold": 0.0, "norm": 1}
+    kernel = kernels.kernel("bilinear")
+    found = {r.frame_id: r for r in scans.verify(images, shape, kernel, "w_only", metric).collect()}
+    assert found[1].problem is None and found[1].error is not None
+    assert found[2].problem == "crop_leaves_no_pixel" and found[2].error is None
+    with pytest.raises(Exception, match="frame 2: crop_leaves_no_pixel"):
+        scans.verify(images, shape, kernel, "w_only", metric, strict=True).collect()
