@@ -71,7 +71,7 @@ def test_kernel_lists_are_whole(spark):
         scans.kernel_scan(images, spark.range(4097).select(F.col("id").cast("int").alias("ordinal"), F.struct(F.lit("bilinear").alias("id"), F.lit(None).cast("double").alias("b"), F.lit(None).cast("double").alias("c"), F.lit(None).cast("int").alias("taps")).alias("kernel")), shape, "h_only")
 
 
-@pytest.mark.parametrize("name", ["height_scan", "height_scan_bilinear", "kernel_scan", "width_scan"])
+@pytest.mark.parametrize("name", ["height_scan", "height_scan_bilinear", "kernel_scan", "verification", "width_scan"])
 def test_last_frame_of_few_lines(spark, tmp_path, name):
     """A crop of 5 on each side takes all of the last frame's 3 lines."""
     spark.read.parquet(f"{DATA}/embeddings.parquet").where("vec_id < 96 + 3").write.parquet(f"{tmp_path}/embeddings.parquet")
