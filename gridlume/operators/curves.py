@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.numbers import floored_log
+from ..functions.numbers import c_log10
 
 PERFECT = 1e-6  #: an error up to this is a perfect reconstruction
 MOST_CATEGORIES = 120
@@ -22,12 +22,13 @@ def finite(x: str) -> Column:
 def smoothed(points: DataFrame, window: int | None = None) -> DataFrame:
     """Adds ``i`` (0-based place by x, then key), ``n`` and ``y``: the centred mean of log10 errors, cut at the edges.
 
-    The window is odd: 5 points from 5 on, else 3, unless given.
+    The window is odd: 5 points from 5 on, else 3, unless given. Means of the same errors in another
+    order differ in their last bit, if at all, and minima depend on it: hence the C library's log10.
     """
-    points = points.where(finite("x") & finite("metric"))
+    points = points.where(finite("x") & finite("metric")).withColumn("level", c_log10(F.greatest(F.col("metric").cast("double"), F.lit(1e-12))))
     run = Window.partitionBy("run_id")
     order = run.orderBy("x", "key")
-    points = points.withColumns({"i": F.row_number().over(order) - 1, "n": F.count(F.lit(1)).over(run), "level": floored_log(F.col("metric"))})
+    points = points.withColumns({"i": F.row_number().over(order) - 1, "n": F.count(F.lit(1)).over(run)})
     mean = lambda w: F.avg("level").over(order.rowsBetween(-(w // 2), w // 2))
     y = mean(window - (window + 1) % 2) if window else F.when(F.col("n") >= 5, mean(5)).otherwise(mean(3))
     return points.withColumn("y", y).drop("level")
