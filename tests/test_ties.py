@@ -32,7 +32,26 @@ def _lows(y):
 
 
 
+def _prominence(y, at, reach):
+    """The same as by the reference: shoulders are sought up to the first point that is no higher."""
+    tops = []
+    for side in (range(at - 1, max(0, at - reach) - 1, -1), range(at + 1, min(len(y), at + reach + 1))):
+        top = -math.inf
+        for j in side:
+            if y[j] <= y[at]:
+                break
+            top = max(top, y[j])
+        tops.append(top)
+    return min(tops) - y[at] if math.isfinite(min(tops)) else 0.0
+
+
 def test_minima_of_tied_means(spark):
     runs = _curves()
     found = {(r.run_id, r.i) for r in curves.local_minima(curves.smoothed(_points(spark, runs))).collect()}
     assert found == {(run, i) for run, errors in runs.items() for i in _lows(_smooth(errors))}
+
+
+def test_prominences_of_tied_means(spark):
+    runs = _curves()
+    found = {(r.run_id, r.i): r.prominence for r in curves.prominences(curves.smoothed(_points(spark, runs))).collect()}
+    assert found == {(run, i): _prominence(y, i, 10) for run, errors in runs.items() for y in [_smooth(errors)] for i in _lows(y)}
