@@ -25,6 +25,11 @@ def grid_round(x: Column) -> Column:
     return F.when(x < 0, F.floor(x + 0.5)).otherwise(F.floor(x + 0.49999999999999994)).cast("long")
 
 
+def round_scaled(x: Column, places: int) -> Column:
+    """Rounded as SQL and C do it: the product with the power of ten, halves away from zero. ``round`` goes by the shortest decimal, 0.03695 to 0.037 though the double is less."""
+    return F.round(x * 10.0**places) / 10.0**places
+
+
 def same_value(a: Column, b: Column) -> Column:
     """Equal as numbers up to a millionth of the larger (at least 1), or else as text; null only equals null."""
     x, y = a.try_cast("double"), b.try_cast("double")

@@ -87,12 +87,13 @@ def nearest(frames: DataFrame, targets: DataFrame, stream: tuple[str, ...] = ())
 
     Targets and frames are merged by time within a stream, so that no target meets all frames.
     """
-    order = Window.partitionBy(*stream).orderBy("_t", "_is_target", "_i")
+    place = ("_t", "_is_target", "_i")
+    order, back = Window.partitionBy(*stream).orderBy(*place), Window.partitionBy(*stream).orderBy(*map(F.desc, place))
     f = frames.where("seconds IS NOT NULL").groupBy(*stream, F.col("seconds").alias("_t")).agg(F.min("frame_index").alias("_i")).withColumns({"_is_target": F.lit(0), "target_seconds": F.lit(None).cast("double")})
     t = targets.select(*stream, F.col("target_seconds").alias("_t"), F.lit(None).cast("long").alias("_i"), F.lit(1).alias("_is_target"), "target_seconds").distinct()
     rows = f.select(*stream, "_t", "_i", "_is_target", "target_seconds").unionByName(t)
     at = F.when(F.col("_is_target") == 0, F.struct("_t", "_i"))
-    rows = rows.withColumns({"_a": F.last(at, ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0)), "_b": F.first(at, ignorenulls=True).over(order.rowsBetween(1, Window.unboundedFollowing))})
+    rows = rows.withColumns({"_a": F.last(at, ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0)), "_b": F.last(at, ignorenulls=True).over(back.rowsBetween(Window.unboundedPreceding, -1))})  # to an unbounded following each row would read all the rest
     gap = lambda c: F.abs(F.col(f"{c}._t") - F.col("target_seconds"))
     chosen = F.least(F.when(F.col("_a").isNotNull(), F.struct(gap("_a").alias("g"), F.col("_a._i").alias("i"))), F.when(F.col("_b").isNotNull(), F.struct(gap("_b").alias("g"), F.col("_b._i").alias("i"))))
     return rows.where("_is_target = 1").select(*stream, "target_seconds", chosen["i"].alias("frame_index"))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions import numbers
 from ..operators import frames, fusion
 from ..sources import project
 from .common import PRESENTED, STREAM, stream, table
@@ -46,7 +47,7 @@ def keyframe_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def nearest_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
     shown = _presented(spark, sf_dir).withColumn("seconds", F.col("pts") * 1001 / 24000)
-    targets = table(spark, sf_dir, "customer").select((F.col("c_custkey") % 150 + 1).alias("stream"), F.round(F.abs("c_acctbal") / 5000, 4).alias("target_seconds")).distinct()
+    targets = table(spark, sf_dir, "customer").select((F.col("c_custkey") % 150 + 1).alias("stream"), numbers.round_scaled(F.abs("c_acctbal") / 5000, 4).alias("target_seconds")).distinct()
     return frames.nearest(shown, targets.join(shown.select("stream").distinct(), "stream", "left_semi"), BY)
 
 

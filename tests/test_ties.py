@@ -1,7 +1,13 @@
 import math
 import random
 
+import duckdb
+from pyspark.sql import functions as F
+
+from gridlume.functions import numbers
 from gridlume.operators import curves
+from gridlume.queries import ORACLES, QUERIES
+from oracle import DATA, assert_same
 
 
 def _smooth(errors):
@@ -31,7 +37,6 @@ def _lows(y):
     return [i for i in range(1, len(y) - 1) if y[i] < y[i - 1] and y[i] <= y[i + 1]]
 
 
-
 def _prominence(y, at, reach):
     """The same as by the reference: shoulders are sought up to the first point that is no higher."""
     tops = []
@@ -55,3 +60,26 @@ def test_prominences_of_tied_means(spark):
     runs = _curves()
     found = {(r.run_id, r.i): r.prominence for r in curves.prominences(curves.smoothed(_points(spark, runs))).collect()}
     assert found == {(run, i): _prominence(y, i, 10) for run, errors in runs.items() for y in [_smooth(errors)] for i in _lows(y)}
+
+
+def test_rounding_goes_by_the_double(spark):
+    values = [0.03695, 0.12345, 0.00005, -0.00005, 1.00005, -2.5, 0.0, 123456.7, None]
+    found = [r.y for r in spark.createDataFrame([(v,) for v in values], "x double").select(numbers.round_scaled(F.col("x"), 4).alias("y")).collect()]
+    expected = [r[0] for v in values for r in duckdb.execute("SELECT round(CAST(? AS DOUBLE), 4)", [v]).fetchall()]
+    assert found == expected and found[0] == 0.0369
+
+
+def _changed(spark, folder, table, change):
+    """A connection to the small tables and a folder of them, in which one table is another."""
+    con = duckdb.connect()
+    con.execute("SET TimeZone = 'UTC'")
+    for name in ("customer", "events"):
+        con.execute(f"CREATE VIEW source_{name} AS SELECT * FROM '{DATA}/{name}.parquet'")
+        con.execute(f"COPY ({change if name == table else f'SELECT * FROM source_{name}'}) TO '{folder}/{name}.parquet' (FORMAT parquet)")
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{folder}/{name}.parquet'")
+    return con
+
+
+def test_nearest_frame_of_targets_at_a_half(spark, tmp_path):
+    con = _changed(spark, tmp_path, "customer", "SELECT * REPLACE (184.75 + 0.5 * (c_custkey // 150) AS c_acctbal) FROM source_customer")
+    assert_same(QUERIES["nearest_frame"](spark, str(tmp_path)), con, ORACLES["nearest_frame"])
