@@ -38,13 +38,13 @@ def same_value(a: Column, b: Column) -> Column:
 
 
 def nice_step(raw: Column) -> Column:
-    """The smallest of 1, 2, 2.5, 5 and 10 times a power of ten that is no less than ``raw``."""
+    """The smallest of 1, 2, 2.5, 5 and 10 times a power of ten that is no less than ``raw``; 0 of 0, whose power is 0."""
     power = F.pow(F.lit(10.0), F.floor(F.log10(raw)))
     part = raw / power
     steps = F.when(part <= 1, 1.0)
     for s in (2.0, 2.5, 5.0):
         steps = steps.when(part <= s, s)
-    return steps.otherwise(10.0) * power
+    return F.when(raw == 0, 0.0).otherwise(steps.otherwise(10.0) * power)
 
 
 def display_log(metric: Column) -> Column:

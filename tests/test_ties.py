@@ -83,3 +83,13 @@ def _changed(spark, folder, table, change):
 def test_nearest_frame_of_targets_at_a_half(spark, tmp_path):
     con = _changed(spark, tmp_path, "customer", "SELECT * REPLACE (184.75 + 0.5 * (c_custkey // 150) AS c_acctbal) FROM source_customer")
     assert_same(QUERIES["nearest_frame"](spark, str(tmp_path)), con, ORACLES["nearest_frame"])
+
+
+def test_step_of_nothing(spark):
+    rows = spark.createDataFrame([(0.0,), (-0.0,), (0.03,), (2.2,), (None,)], "x double")
+    assert [r.s for r in rows.select(F.round(numbers.nice_step(F.col("x")), 9).alias("s")).collect()] == [0.0, 0.0, 0.05, 2.5, None]
+
+
+def test_scalar_math_of_zeros(spark, tmp_path):
+    con = _changed(spark, tmp_path, "events", "SELECT * REPLACE (CASE WHEN event_id % 5 > 0 THEN value ELSE 0 END AS value) FROM source_events")
+    assert_same(QUERIES["scalar_math"](spark, str(tmp_path)), con, ORACLES["scalar_math"])
