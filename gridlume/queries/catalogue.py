@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import grids
+from ..functions import grids, numbers
 from ..operators import catalog
 from ..streaming import verify
 from .common import rounded, table
@@ -40,10 +40,10 @@ def group_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def throughput(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A user's events as a job's progress, in which views and clicks are measured phases and others aren't; rates by second."""
+    """A user's events as a job's progress, in which views and clicks are measured phases and others aren't; rates by second. Times are the nearest milliseconds."""
     phase = F.expr("CASE event_type WHEN 'view' THEN 'candidates' WHEN 'click' THEN 'verify' ELSE event_type END")
-    rows = table(spark, sf_dir, "events").select(F.col("user_id").alias("job_id"), F.unix_millis(F.col("ts").cast("timestamp")).alias("at_ms"), (F.col("event_id") % 1000).alias("completed"), phase.alias("phase"))
-    return catalog.throughput(rows).select("job_id", "phase", "completed", rounded("fps_average", 6))
+    rows = table(spark, sf_dir, "events").select(F.col("user_id").alias("job_id"), F.expr("round(unix_micros(CAST(ts AS TIMESTAMP)), -3) DIV 1000").alias("at_ms"), (F.col("event_id") % 1000).alias("completed"), phase.alias("phase"))
+    return catalog.throughput(rows).select("job_id", "phase", "completed", numbers.round_scaled(F.col("fps_average"), 6).alias("fps_average"))
 
 
 def terminal_rates(spark: SparkSession, sf_dir: str) -> DataFrame:

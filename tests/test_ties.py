@@ -93,3 +93,10 @@ def test_step_of_nothing(spark):
 def test_scalar_math_of_zeros(spark, tmp_path):
     con = _changed(spark, tmp_path, "events", "SELECT * REPLACE (CASE WHEN event_id % 5 > 0 THEN value ELSE 0 END AS value) FROM source_events")
     assert_same(QUERIES["scalar_math"](spark, str(tmp_path)), con, ORACLES["scalar_math"])
+
+
+def test_throughput_over_fractions_of_milliseconds(spark, tmp_path):
+    """An event every 3 ms or so, also before 1970, where halves go away from zero."""
+    con = _changed(spark, tmp_path, "events", "SELECT * REPLACE (make_timestamp(event_id * 3062 + event_id % 8 * 250 - 5000500) AS ts, event_id % 7 AS user_id) FROM source_events")
+    assert con.execute("SELECT count(*) FROM events WHERE epoch_ms(ts) <> epoch_us(ts) // 1000").fetchall()[0][0] > 100
+    assert_same(QUERIES["throughput"](spark, str(tmp_path)), con, ORACLES["throughput"])
