@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from gridlume.functions import numbers
 from gridlume.operators import curves
 from gridlume.queries import ORACLES, QUERIES
-from oracle import DATA, assert_same
+from oracle import DATA, assert_same, connect
 
 
 def _smooth(errors):
@@ -100,3 +100,8 @@ def test_throughput_over_fractions_of_milliseconds(spark, tmp_path):
     con = _changed(spark, tmp_path, "events", "SELECT * REPLACE (make_timestamp(event_id * 3062 + event_id % 8 * 250 - 5000500) AS ts, event_id % 7 AS user_id) FROM source_events")
     assert con.execute("SELECT count(*) FROM events WHERE epoch_ms(ts) <> epoch_us(ts) // 1000").fetchall()[0][0] > 100
     assert_same(QUERIES["throughput"](spark, str(tmp_path)), con, ORACLES["throughput"])
+
+
+def test_throughput_of_a_larger_table(spark):
+    folder = DATA.replace("sf0.001", "sf0.01")
+    assert_same(QUERIES["throughput"](spark, folder), connect(folder), ORACLES["throughput"])
