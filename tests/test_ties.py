@@ -105,3 +105,10 @@ def test_throughput_over_fractions_of_milliseconds(spark, tmp_path):
 def test_throughput_of_a_larger_table(spark):
     folder = DATA.replace("sf0.001", "sf0.01")
     assert_same(QUERIES["throughput"](spark, folder), connect(folder), ORACLES["throughput"])
+
+
+def test_valleys_of_tied_means(spark):
+    runs = _curves()
+    found = {(r.run_id, r.key): r.prominence for r in curves.valleys(_points(spark, runs)).collect()}
+    deep = {(run, str(i)): _prominence(y, i, 10) for run, errors in runs.items() for y in [_smooth(errors)] for i in _lows(y)}
+    assert found == {k: p for k, p in deep.items() if p >= 0.1}
