@@ -112,3 +112,10 @@ def test_valleys_of_tied_means(spark):
     found = {(r.run_id, r.key): r.prominence for r in curves.valleys(_points(spark, runs)).collect()}
     deep = {(run, str(i)): _prominence(y, i, 10) for run, errors in runs.items() for y in [_smooth(errors)] for i in _lows(y)}
     assert found == {k: p for k, p in deep.items() if p >= 0.1}
+
+
+def test_clusters_of_tied_means(spark):
+    runs = _curves()
+    found = curves.clusters(curves.valleys(_points(spark, runs)), 0.2).groupBy("cluster").agg(F.min("x").alias("x"), F.count(F.lit(1)).alias("n")).collect()
+    members = [i for errors in runs.values() for y in [_smooth(errors)] for i in _lows(y) if _prominence(y, i, 10) >= 0.1]
+    assert {(r.x, r.n) for r in found} == {(float(i), members.count(i)) for i in members}
